@@ -162,8 +162,12 @@ def cannibal_pressure(
     def neg_corr(n: int) -> Column:
         w = last_rows(n)
         enough = F.count(focal).over(w) >= min(min_rows, n)
-        spread = (F.stddev_samp(focal).over(w) > 0) & (F.stddev_samp(d).over(w) > 0)
-        return F.when(enough & spread, -F.corr(F.col(focal), d).over(w))
+        # corr() itself fails on a constant window under ANSI rules
+        spread = F.stddev_samp(focal).over(w) * F.stddev_samp(d).over(w)
+        return F.when(
+            enough & (spread > 0),
+            -F.try_divide(F.covar_samp(F.col(focal), d).over(w), spread),
+        )
 
     out = panel.select(
         "*", neg_corr(long).alias("rolling_cannibal_pressure"), neg_corr(short).alias("_short")

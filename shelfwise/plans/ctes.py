@@ -372,3 +372,143 @@ SELECT z.*, {_class('base_units_z13')} AS base_units_outlier_class,
 FROM (SELECT r.*, {', '.join(_z(c, n, k) for c, n in (('base_units', 'base_units'),
     ('avg_weekly_units_spm', 'velocity_spm'), ('tdp', 'tdp')) for k in (8, 13))} FROM @rolling r) z
 """
+
+
+# ---------------------------------------------------------------- wins, launches
+
+CTE["flags"] = """
+SELECT x.*,
+  avg_weekly_units_spm > tv AS velocity_win_flag,
+  base_units > tb AS base_units_win_flag,
+  dollars > td AS dollars_win_flag,
+  tdp > tt * 1.15 AS distribution_jump_flag,
+  promo AS promo_confounded_flag,
+  CASE WHEN tv IS NOT NULL THEN avg_weekly_units_spm > tv AND NOT promo END AS sku_week_win_flag,
+  CASE WHEN tv IS NOT NULL AND tb IS NOT NULL
+    THEN base_units > tb AND avg_weekly_units_spm > tv AND NOT promo END AS quality_win_flag
+FROM (
+  SELECT e.*, avg(avg_weekly_units_spm) OVER p AS tv, avg(base_units) OVER p AS tb,
+    avg(dollars) OVER p AS td, avg(tdp) OVER p AS tt,
+    promo_weeks > 0 OR incr_units > 0 AS promo, units - lag(units) OVER w AS du
+  FROM @enriched e
+  WINDOW w AS (PARTITION BY upc, channel_outlet, retail_account, geography_raw ORDER BY week),
+    p AS (PARTITION BY upc, channel_outlet, retail_account, geography_raw ORDER BY week
+      ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)
+) x
+"""
+
+CTE["assoc"] = f"""
+SELECT focal_upc, comparison_upc, comparison_type, relationship_distance, {MARKET},
+  count(*) AS active_pair_weeks,
+  count(*) FILTER (WHERE fw) AS focal_win_weeks,
+  count(*) FILTER (WHERE cw) AS comparison_win_weeks,
+  count(*) FILTER (WHERE fw AND cw) AS co_win_weeks,
+  count(*) FILTER (WHERE fw AND NOT cw) AS focal_win_comparison_loss_weeks,
+  co_win_weeks / count(*) AS co_win_rate,
+  focal_win_comparison_loss_weeks / count(*) AS opposition_rate,
+  focal_win_comparison_loss_weeks / nullif(focal_win_weeks, 0) AS comparison_loss_given_focal_win,
+  (focal_win_comparison_loss_weeks / nullif(focal_win_weeks, 0))
+    / nullif(count(*) FILTER (WHERE NOT cw) / count(*), 0) AS conditional_loss_lift
+FROM (
+  SELECT p.focal_upc, p.candidate_upc AS comparison_upc, p.comparison_type,
+    p.relationship_distance, p.channel_outlet, p.retail_account, p.geography_raw,
+    f.sku_week_win_flag AS fw, c.sku_week_win_flag AS cw
+  FROM @pool p
+  JOIN @flags f ON f.week = p.week AND f.upc = p.focal_upc AND f.channel_outlet = p.channel_outlet
+    AND f.retail_account = p.retail_account AND f.geography_raw = p.geography_raw
+  JOIN @flags c ON c.week = p.week AND c.upc = p.candidate_upc
+    AND c.channel_outlet = p.channel_outlet AND c.retail_account = p.retail_account
+    AND c.geography_raw = p.geography_raw
+) j GROUP BY ALL
+"""
+
+CTE["conc"] = f"""
+SELECT {MW}, sum(du) FILTER (WHERE upc = 'SKU-05') AS focal_units_change,
+  sum(du) AS group_units_change,
+  greatest(focal_units_change, 0) / nullif(sum(du) FILTER (WHERE du > 0), 0)
+    AS win_concentration_ratio,
+  focal_units_change / nullif(sum(du), 0) AS focal_share_of_group_gain,
+  count(*) FILTER (WHERE upc <> 'SKU-05' AND NOT sku_week_win_flag)
+    / nullif(count(sku_week_win_flag) FILTER (WHERE upc <> 'SKU-05'), 0) AS related_loss_pct,
+  bool_or(sku_week_win_flag) FILTER (WHERE upc = 'SKU-05') AS focal_won
+FROM @flags GROUP BY ALL
+"""
+
+CTE["new_upcs"] = f"""
+SELECT week, {SERIES}, description, source_brand, flavor_raw, flavor_mapped, flavor,
+  specific_flavor_normalized, pack_count, size_oz, first_week_selling, units AS units_first_week,
+  base_units AS base_units_first_week, tdp AS tdp_first_week, 'Y' AS manual_review_needed
+FROM (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY week) AS rn FROM @own
+  WHERE first_week_selling >= DATE '1997-04-06') x WHERE rn = 1
+"""
+
+CTE["classified"] = """
+SELECT n.*,
+  CASE WHEN fj.dp > 0 AND n.pack_count IN (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 18, 20, 24)
+    THEN 'NEW_PACK_SIZE' WHEN fj.sp > 0 THEN 'DUPLICATE_OR_RELAUNCH'
+    ELSE 'NEW_FLAVOR_CANDIDATE' END AS upc_classification,
+  fj.partner AS closest_pack_partner_upc, fj.partner_desc AS closest_pack_partner_description,
+  CASE WHEN n.flavor_mapped <> n.flavor THEN 'Y' ELSE 'N' END AS flavor_taxonomy_conflict
+FROM @new_upcs n LEFT JOIN (
+  SELECT p.upc,
+    count(*) FILTER (WHERE c.pack_count <> p.pack_count AND p.flavor_mapped = p.flavor) AS dp,
+    count(*) FILTER (WHERE c.pack_count = p.pack_count) AS sp,
+    min(c.upc) FILTER (WHERE c.pack_count <> p.pack_count) AS partner,
+    arg_min(c.description, c.upc) FILTER (WHERE c.pack_count <> p.pack_count) AS partner_desc
+  FROM (SELECT DISTINCT upc, specific_flavor_normalized, flavor, flavor_mapped, pack_count
+    FROM @new_upcs) p
+  LEFT JOIN (SELECT DISTINCT upc, specific_flavor_normalized, flavor, pack_count, description
+    FROM @own WHERE first_week_selling < DATE '1997-04-06') c
+    ON c.specific_flavor_normalized = p.specific_flavor_normalized AND c.flavor = p.flavor
+  GROUP BY p.upc
+) fj USING (upc)
+"""
+
+_RIBBON = """'RAMP WEEK ' || CAST(n + 1 AS VARCHAR) || ' of {total} · ' || CASE
+    WHEN n <= 5 THEN 'Cannibalization scoring suppressed'
+    WHEN n <= 7 THEN 'Early signal · Low confidence'
+    WHEN n <= {mature} THEN 'Signal maturing' ELSE 'Scoring fully active' END"""
+
+_RAMP = f"""
+SELECT week, {SERIES}, description, pack_count, first_week_selling, n AS weeks_since_launch,
+  tdp, avg_weekly_units_spm, base_units, arp, peak_tdp, rolling_4w_avg_velocity_spm, tdp_4w_change,
+  velocity_vs_4w_avg_ratio, {{trend}} AS distribution_trend,
+  CASE WHEN n <= 5 THEN 'SUPPRESSED' WHEN n <= 7 THEN 'LOW_CONFIDENCE' ELSE 'ACTIVE' END
+    AS scoring_status,
+  {{confidence}} AS ramp_confidence, {{ribbon}} AS ui_ramp_ribbon,
+  CASE WHEN {{under}} THEN 1 ELSE 0 END AS underperforming_flag,
+  tdp / peak_tdp AS tdp_ratio_to_peak, {{slash}} AS tdp_now_slash_peak
+FROM (
+  SELECT b.*, max(tdp) OVER (s ROWS UNBOUNDED PRECEDING) AS peak_tdp,
+    avg(avg_weekly_units_spm) OVER (s ROWS 3 PRECEDING) AS rolling_4w_avg_velocity_spm,
+    tdp - lag(tdp, 4) OVER s AS tdp_4w_change,
+    avg_weekly_units_spm / nullif(avg(avg_weekly_units_spm) OVER (s ROWS 3 PRECEDING), 0)
+      AS velocity_vs_4w_avg_ratio
+  FROM ({{rows}}) b
+  WINDOW s AS (PARTITION BY {SERIES} ORDER BY week)
+) r
+"""
+CTE["ramp16"] = _RAMP.format(
+    rows="SELECT * FROM (SELECT *, datediff('day', first_week_selling, week) // 7 AS n FROM @own) q"
+         " WHERE n BETWEEN 0 AND 15",
+    trend="CASE WHEN tdp_4w_change IS NULL OR n < 4 OR tdp_4w_change > 0 THEN 'RAMPING' "
+          "WHEN tdp_4w_change = 0 THEN 'STABLE' ELSE 'DECLINING' END",
+    confidence="CASE WHEN n <= 5 THEN NULL WHEN n <= 7 THEN 'Low' ELSE 'Medium' END",
+    ribbon=_RIBBON.format(total=13, mature=11),
+    under="(n >= 6 AND velocity_vs_4w_avg_ratio < 0.85 AND tdp_4w_change <= 0) "
+          "OR (n >= 8 AND velocity_vs_4w_avg_ratio < 0.85)",
+    slash="CAST(CAST(tdp AS BIGINT) AS VARCHAR) || ' / ' || CAST(CAST(peak_tdp AS BIGINT) AS VARCHAR)",
+)
+CTE["ramp12"] = _RAMP.format(
+    rows="SELECT * FROM (SELECT * REPLACE (fws AS first_week_selling), "
+         "datediff('day', fws, week) // 7 AS n FROM (SELECT *, min(week) OVER (PARTITION BY "
+         f"{SERIES}) AS fws FROM @own) o) q WHERE n < 12 AND fws >= DATE '1997-10-06'",
+    trend="CASE WHEN tdp > coalesce(tdp - tdp_4w_change, tdp) * 1.05 THEN 'RAMPING' "
+          "WHEN tdp / peak_tdp < 0.9 THEN 'DECLINING' "
+          "WHEN tdp < coalesce(tdp - tdp_4w_change, tdp) * 0.95 THEN 'PEAKED' ELSE 'STABLE' END",
+    confidence="CASE WHEN n <= 5 THEN NULL WHEN n <= 7 THEN 'Low' WHEN n <= 10 THEN 'Medium' "
+               "ELSE 'High' END",
+    ribbon=_RIBBON.format(total=12, mature=10),
+    under="velocity_vs_4w_avg_ratio < 0.8",
+    slash="printf('%.1f', tdp) || ' / ' || printf('%.1f', peak_tdp)",
+)
