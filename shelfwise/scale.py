@@ -79,7 +79,14 @@ def exact_quantiles(
         ).alias("_q"),
     )
     counts = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    joined = counts.join(brackets, keys) if keys else counts.crossJoin(F.broadcast(brackets))
+    if keys:
+        joined = counts.join(brackets, keys)
+    else:
+        # the few brackets of the whole table travel as one scalar
+        packed = brackets.agg(F.collect_list(F.struct("_total", "_q")).alias("_b"))
+        joined = counts.select(
+            "*", F.explode(packed.select("_b").scalar()).alias("_b")
+        ).select("_v", "_n", "_b._total", "_b._q")
     low, high = F.col("_q.lo"), F.col("_q.hi")
     below = joined.where(F.col("_v") < low).groupBy(*keys, "_q.name").agg(
         F.sum("_n").alias("_below")
