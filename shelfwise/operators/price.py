@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import DISCOUNT_SHIFT, PROMO_WEEK_SHIFT, RetailConfig
 from shelfwise.functions.scalar import (
-    case, clamp, flag, pack_bucket, pct_change, promo_depth_bucket, protein_tier, safe_div,
-    week_of_year,
+    case, flag, pack_bucket, pct_change, promo_depth_bucket, protein_tier, safe_div, week_of_year,
+    weeks_between,
 )
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import attach_tier, excluded_market, is_own, own_scored, price_quality
-from shelfwise.scale import config_lookup, exact_quantiles
+from shelfwise.scale import exact_quantiles
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, PRICE_EVENT_SCHEMA, SERIES_KEYS
 
 #: Fixed value: log price moves from here on are drastic (15 percent).
@@ -680,22 +680,33 @@ def ols_slope2(df: DataFrame, keys: Sequence[str], y: str, x: str, z: Sequence[s
     )
 
 
-def account_elasticity(prices: DataFrame, keys: Sequence[str] = ("retail_account",), min_rows: int = 20) -> DataFrame:
-    """Log-log price response per account, controlling reach, promotion and season.
+#: Confounders of the price response that every panel row carries.
+CONFOUNDERS = ("tdp", "weeks_since_launch", "pack_count", "week_of_year")
+
 
-    Rows count only where the price moved from the previous row of the series.
+def response_rows(prices: DataFrame) -> DataFrame:
+    """Log units, log price and confounders of weeks with a genuine price move.
+
+    Genuine means five cents or 2.5 percent against the previous row of the series.
     """
-    moved = prices.withColumn(
-        "_move", F.abs(F.col("price_per_unit") - F.lag("price_per_unit").over(w.series()))
-    ).where(F.col("_move") >= MIN_PRICE_MOVE)
-    sin, cos = w.fourier()
-    frame = moved.select(
-        *keys, F.col("ln_base_units").alias("y"), F.col("ln_price_per_unit").alias("x"),
-        F.ln(F.greatest("tdp", F.lit(0.01))).alias("z_tdp"),
-        F.col("promo_confounded").cast("double").alias("z_promo"),
-        sin.alias("z_sin"), cos.alias("z_cos"),
-    )
-    out = ols_slope2(frame, list(keys), "y", "x", ["z_tdp", "z_promo", "z_sin", "z_cos"], min_rows)
+    before = F.lag("arp").over(w.series())
+    rows = prices.select("*", F.abs(F.col("arp") - before).alias("_move"), before.alias("_before"))
+    return rows.where(
+        ((F.col("_move") >= MIN_PRICE_MOVE) | (safe_div("_move", "_before") >= 0.025))
+        & (F.col("base_units") > 0) & (F.col("arp") > 0)
+    ).select(
+        "week", *SERIES_KEYS, "promo_confounded",
+        F.ln("base_units").alias("y"), F.ln("arp").alias("x"),
+        F.col("tdp").cast("double").alias("tdp"),
+        weeks_between("week", "first_week_selling").cast("double").alias("weeks_since_launch"),
+        F.col("pack_count").cast("double").alias("pack_count"),
+        F.col("week_of_year").cast("double").alias("week_of_year"),
+    )
+
+
+def account_elasticity(prices: DataFrame, keys: Sequence[str] = ("retail_account",), min_rows: int = 20) -> DataFrame:
+    """Log-log price response per account given the confounders, on genuine price moves."""
+    out = ols_slope2(response_rows(prices), list(keys), "y", "x", CONFOUNDERS, min_rows)
     return out.select(*keys, F.col("n").alias("n_rows"), F.col("coef").alias("elasticity"),
                       F.col("se").alias("std_error"),
                       (F.col("coef") - 1.96 * F.col("se")).alias("ci_low"),
@@ -714,11 +725,8 @@ def refute(prices: DataFrame, seed: int = 42, min_rows: int = 20) -> DataFrame:
         return F.pmod(F.xxhash64(key, F.lit(f"{tag}{seed}")), F.lit(1_000_003)) / 1_000_003
 
     shuffled = Window.partitionBy(*SERIES_KEYS).orderBy(F.xxhash64(key, F.lit(f"order{seed}")), "week")
-    base = prices.select(
-        F.col("ln_base_units").alias("y"), F.col("ln_price_per_unit").alias("x"),
-        F.ln(F.greatest("tdp", F.lit(0.01))).alias("z_tdp"),
-        F.col("promo_confounded").cast("double").alias("z_promo"),
-        F.lead("ln_price_per_unit").over(shuffled).alias("_placebo"),
+    base = response_rows(prices).select(
+        "y", "x", *CONFOUNDERS, F.lead("x").over(shuffled).alias("_placebo"),
         u("cause").alias("z_random"), u("subset").alias("_subset"), u("boot").alias("_boot"),
     )
     # Poisson(1) weights by inversion stand in for resampling with replacement
@@ -737,9 +745,9 @@ def refute(prices: DataFrame, seed: int = 42, min_rows: int = 20) -> DataFrame:
     }
     tagged = None
     for name, df in variants.items():
-        part = df.select(F.lit(name).alias("variant"), "y", "x", "z_tdp", "z_promo", "z_random")
+        part = df.select(F.lit(name).alias("variant"), "y", "x", *CONFOUNDERS, "z_random")
         tagged = part if tagged is None else tagged.unionByName(part)
-    return ols_slope2(tagged, ["variant"], "y", "x", ["z_tdp", "z_promo", "z_random"], min_rows)
+    return ols_slope2(tagged, ["variant"], "y", "x", [*CONFOUNDERS, "z_random"], min_rows)
 
 
 def validate_price_events(scored: DataFrame) -> DataFrame:

@@ -671,3 +671,31 @@ FROM (
   GROUP BY ALL
 ) g
 """
+
+
+# ---------------------------------------------------------------- panel, flat forecast
+
+CTE["flat"] = f"""
+SELECT {SERIES}, anchor_week + CAST(7 * h AS INTEGER) AS week, h AS forecast_week_number,
+  anchor_week, m * 0.8 AS forecast_units_low, m AS forecast_units_base, m * 1.2 AS forecast_units_high,
+  arp, wsl + h AS weeks_since_launch, anchor_value
+FROM (
+  SELECT {SERIES}, max(week) AS anchor_week, avg(base_units) FILTER (WHERE rb <= 13) AS m,
+    max(arp) FILTER (WHERE rb = 1) AS arp, max(base_units) FILTER (WHERE rb = 1) AS anchor_value,
+    max(datediff('day', first_week_selling, week) // 7) AS wsl
+  FROM (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY week DESC) AS rb FROM @own
+    WHERE week <= DATE '1998-06-29') q
+  GROUP BY ALL
+) a, (SELECT unnest(range(1, 14)) AS h) s
+"""
+
+CTE["promo_panel"] = f"""
+SELECT *, greatest(r8 - arp, 0) AS dd0 FROM (
+  SELECT week, {SERIES}, arp, units, base_units, units_promo, incr_units,
+    lag(arp) OVER w AS l1, arp - lag(arp) OVER w AS delta,
+    CASE WHEN count(arp) OVER p8 >= 2 THEN avg(arp) OVER p8 END AS r8
+  FROM @own
+  WINDOW w AS (PARTITION BY {SERIES} ORDER BY week),
+    p8 AS (PARTITION BY {SERIES} ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)
+) x
+"""

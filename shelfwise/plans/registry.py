@@ -79,13 +79,17 @@ def _expand(sql: str) -> str:
     visit(sql)
     parts = [f"{k} AS MATERIALIZED (\n{v.strip()}\n)" for k, v in done.items()]
     # a query may bring its own CTEs: "WITH a AS (...) SELECT ..."
-    body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        head, select = body[5:].rsplit("\n--\n", 1)
+    body, opening = sql.strip(), "WITH "
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if not body.startswith(start):
+            continue
+        opening = start
+        head, select = body[len(start):].rsplit("\n--\n", 1)
         parts.append(head.strip())
         body = select.strip()
+        break
     parts.append(f"result AS (\n{body}\n)")
-    return "WITH " + ",\n".join(parts)
+    return opening + ",\n".join(parts)
 
 
 @lru_cache(maxsize=1)
