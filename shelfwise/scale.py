@@ -61,6 +61,8 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_total"),
         F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_e"),
     )
+    # a small group is ordered whole; in a larger one the slack is at least two ranks
+    small = F.col("_total") <= SKETCH_ACCURACY
     brackets = bounds.select(
         *keys,
         "_total",
@@ -70,8 +72,8 @@ def exact_quantiles(
                     F.struct(
                         F.lit(n).alias("name"),
                         F.lit(p).alias("prob"),
-                        F.col("_e")[i].alias("lo"),
-                        F.col("_e")[i + len(points)].alias("hi"),
+                        F.when(small, float("-inf")).otherwise(F.col("_e")[i]).alias("lo"),
+                        F.when(small, float("inf")).otherwise(F.col("_e")[i + len(points)]).alias("hi"),
                     )
                     for i, (n, p) in enumerate(zip(names, points))
                 ]
