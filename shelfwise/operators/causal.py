@@ -93,7 +93,8 @@ def control_pairs(panel: DataFrame, events: DataFrame, min_weeks: int = 8) -> Da
     path = F.filter(_at("_cp", F.concat("_pre", "_post")), lambda p: p.isNotNull())
     j = j.select("*", _moments(_at("_fu", F.col("_pre")), _at("_cu", F.col("_pre"))).alias("_m"), path.alias("_p"))
     r = safe_div("_m.sxy", F.sqrt(F.col("_m.sxx") * F.col("_m.syy")))
-    drift = (F.element_at("_p", -1) - F.element_at("_p", 1)) / F.greatest(F.element_at("_p", 1), F.lit(0.01))
+    first, last = F.try_element_at("_p", F.lit(1)), F.try_element_at("_p", F.lit(-1))
+    drift = (last - first) / F.greatest(first, F.lit(0.01))
     return j.where((F.size("_p") >= 2) & (F.col("_m.n") >= min_weeks)).select(
         *EVENT_KEYS, "price_pct_chg", "control_account", "control_geography",
         r.alias("pre_corr"), F.abs(drift).alias("control_price_drift"), "_fu", "_cu", "_pre", "_post")

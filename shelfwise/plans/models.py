@@ -17,6 +17,7 @@ from shelfwise.functions.scalar import weeks_between
 from shelfwise.plans.price import prices
 from shelfwise.plans.registry import query
 from shelfwise.plans.transfer import pairs, rates
+from shelfwise.scale import durable
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 SERIES = "upc, channel_outlet, retail_account, geography_raw"
@@ -24,8 +25,18 @@ MARKET = "channel_outlet, retail_account, geography_raw"
 
 
 def own(t):
-    return own_scored(t.enriched, t.cfg).withColumn(
-        "weeks_since_launch", weeks_between("week", "first_week_selling"))
+    """Own rows, written once: model fitting reads its input several times."""
+    return durable(own_scored(t.enriched, t.cfg).select(
+        "week", *SERIES_KEYS, "base_units", "arp", "tdp", "pack_count", "promo_weeks",
+        weeks_between("week", "first_week_selling").alias("weeks_since_launch")))
+
+
+def pair_table(t):
+    return durable(pairs(t))
+
+
+def weekly_units(t):
+    return durable(t.filtered.select("week", *SERIES_KEYS, "base_units", F.col("source_pack_count").alias("pack_count")))
 
 
 # ---------------------------------------------------------------- K
@@ -33,26 +44,27 @@ def own(t):
 
 @query("K1_transfer_classifier", trim_launch=False)
 def _(t):
-    model, _ = mo.fit_transfer(pairs(t), 5, 3)
-    return tr.score_bands(mo.score_pairs(model, pairs(t))).select(
+    frame = pair_table(t)
+    model, _ = mo.fit_transfer(frame, 5, 3)
+    return tr.score_bands(mo.score_pairs(model, frame)).select(
         "focal_upc", "donor_upc", *MARKET_KEYS, "transfer_prob", "transfer_status", "transfer_confidence")
 
 
 @query("K2_donor_ranker", trim_launch=False)
 def _(t):
-    frame = tr.ranking_frame(pairs(t))
+    frame = tr.ranking_frame(pair_table(t))
     return mo.ndcg(mo.rank_scores(mo.fit_ranker(frame, iterations=5, depth=3), frame))
 
 
 @query("K3_event_classifier", trim_launch=False)
 def _(t):
-    frame = tr.event_label(pairs(t))
+    frame = tr.event_label(pair_table(t))
     return mo.score_events(mo.fit_event(frame, 5), frame).select(
         "focal_upc", "donor_upc", *MARKET_KEYS, "event_significant", "event_prob")
 
 
 def fitted_elasticity(t):
-    frame = pr.elasticity_frame(pr.price_windows(prices(t), 4), guard=False)
+    frame = durable(pr.elasticity_frame(pr.price_windows(prices(t), 4), guard=False))
     return pr.elasticity_score(mo.score_price(mo.fit_price(frame, 5, 3), frame))
 
 
@@ -72,7 +84,7 @@ UNION ALL SELECT 'lasso', count(*), avg(log_unit_change), avg(log_unit_change) F
 """)
 def _(t):
     # a fit with intercept reproduces the mean of its target, whatever the penalty
-    frame = pr.elasticity_frame(pr.price_windows(prices(t), 4), guard=False)
+    frame = durable(pr.elasticity_frame(pr.price_windows(prices(t), 4), guard=False))
     out = None
     for name, alpha, l1 in (("ols", 0.0, 0.0), ("ridge", 0.1, 0.0), ("lasso", 0.01, 1.0)):
         p = mo.predict_linear(mo.fit_linear(frame, _LIN, "log_unit_change", alpha, l1), frame, _LIN)
@@ -84,7 +96,7 @@ def _(t):
 
 @query("K6_top_drivers", trim_launch=False)
 def _(t):
-    scored = pairs(t).withColumn("transfer_prob", F.expr(
+    scored = pair_table(t).withColumn("transfer_prob", F.expr(
         "least(0.99, greatest(0.01, 0.5 - 0.4 * donor_base_units_pct_chg - 0.05 * relationship_distance))"))
     return mo.top_drivers(scored, tr.TRANSFER_FEATURES, "transfer_prob").select(
         "focal_upc", "donor_upc", *MARKET_KEYS, "drivers")
@@ -92,19 +104,19 @@ def _(t):
 
 @query("K7_importance", trim_launch=False)
 def _(t):
-    model, _ = mo.fit_transfer(pairs(t), 5, 3)
+    model, _ = mo.fit_transfer(pair_table(t), 5, 3)
     return mo.importance(t.spark, model, tr.TRANSFER_FEATURES)
 
 
 @query("K8_ablation")
 def _(t):
     sets = {"all": mo.PANEL_FEATURES, "no_season": ["lag1", "lag4", "lag13", "lag52"], "short": ["lag1", "lag4"]}
-    return mo.ablate(t.filtered, sets, "all")
+    return mo.ablate(weekly_units(t), sets, "all")
 
 
 @query("K9_grid_cv")
 def _(t):
-    return mo.grid_cv(t.filtered, (0.01, 0.1), (0.0, 1.0), [dt.date(2000, 1, 3)])
+    return mo.grid_cv(weekly_units(t), (0.01, 0.1), (0.0, 1.0), [dt.date(2000, 1, 3)])
 
 
 @query("K10_segment_effect")
@@ -116,31 +128,34 @@ def _(t):
         (F.col("base_units") / F.nullif(F.lag("base_units").over(w.series()), F.lit(0)) - 1).alias("unit_move"),
         "tdp", "week_of_year", "pack_count", F.col("promo_confounded").cast("double").alias("promo"))
     rows = rows.where((F.abs("price_move") > 0.005) & (F.abs("price_move") < 0.5) & (F.abs("unit_move") < 3))
-    return mo.segment_effect(rows, "pack_count", "unit_move", "price_move", ["tdp", "week_of_year", "promo"])
+    return mo.segment_effect(durable(rows), "pack_count", "unit_move", "price_move", ["tdp", "week_of_year", "promo"])
 
 
 @query("I23_ipw")
 def _(t):
-    return mo.ipw(pr.response_rows(prices(t)), "y", "x", list(pr.CONFOUNDERS))
+    return mo.ipw(durable(pr.response_rows(prices(t))), "y", "x", list(pr.CONFOUNDERS))
 
 
 @query("J9_quantile_model")
 def _(t):
-    model, bands = mo.fit_quantiles(t.filtered, 5, 4)
-    frame = mo.temporal_split(mo.lag_frame(t.filtered)).where(~F.col("is_train"))
+    panel = weekly_units(t)
+    model, bands = mo.fit_quantiles(panel, 5, 4)
+    frame = mo.temporal_split(mo.lag_frame(panel)).where(~F.col("is_train"))
     p = mo.quantile_predictions(model, bands, frame)
     return p.select("week", *SERIES_KEYS, "actual", "low", "base", "high")
 
 
 @query("J11_recursive_model")
 def _(t):
-    model, bands = mo.fit_quantiles(own(t), 5, 3)
-    return fo.recursive_model_forecast(own(t), mo.step_predictor(model, bands), seasonal=fo.seasonal_index(t.filtered))
+    panel = own(t)
+    model, bands = mo.fit_quantiles(panel, 5, 3)
+    return fo.recursive_model_forecast(
+        panel, mo.step_predictor(model, durable(bands)), seasonal=durable(fo.seasonal_index(panel)))
 
 
 @query("J12_rate_forecast")
 def _(t):
-    r = rates(t).withColumnRenamed("focal_upc", "upc")
+    r = durable(rates(t).withColumnRenamed("focal_upc", "upc"))
     rule = mo.fit_linear_rule(r, "cannibalization_rate")
     f = fo.recursive_forecast(r, rule, target="cannibalization_rate", lags=(1, 4, 8), clip=(0.0, 1.0), blend=0.0)
     return f.select("week", *SERIES_KEYS, "forecast_week_number", *[
@@ -155,7 +170,7 @@ def events(t):
 
 
 def control_pairs(t):
-    return ca.control_pairs(own(t), events(t), min_weeks=4)
+    return ca.control_pairs(own_scored(t.enriched, t.cfg), events(t), min_weeks=4)
 
 
 EVENT_SQL = f"""
