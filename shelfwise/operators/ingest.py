@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from datetime import date
 
@@ -45,19 +44,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder on storage all executors share (the checkpoint folder's file system)."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to storage that every executor can reach")
-        return tempfile.mkdtemp(prefix="shelfwise-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/shelfwise-{uuid.uuid4().hex}"
-
-
 def _by_month(df: DataFrame) -> DataFrame:
     return df.withColumn("month", F.date_format("week", "yyyy-MM"))
 

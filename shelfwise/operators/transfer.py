@@ -65,31 +65,42 @@ def donor_prepost(pool: DataFrame, filtered: DataFrame, cfg: RetailConfig) -> Da
     """
     pairs = launch_pairs(pool)
     anchors = pairs.select(
-        F.col("candidate_upc").alias("upc"), *MARKET_KEYS, F.col("focal_first_week_selling").alias("_launch")
+        F.col("candidate_upc").alias("upc"), *MARKET_KEYS,
+        F.col("focal_first_week_selling").alias("_launch"),
     ).distinct()
     history = filtered.where(
         ~F.col("channel_outlet").isin(*cfg.excluded_channels)
         & ~F.col("retail_account").isin(*cfg.excluded_accounts)
+    ).select(
+        "*", F.col("description").alias("candidate_description"),
+        F.col("flavor_raw").alias("candidate_flavor"),
+        F.col("source_pack_count").alias("candidate_pack_count"),
+        parent_brand(cfg).alias("candidate_brand"),
+        F.col("source_brand").alias("candidate_brand_line"),
     )
+    ids = ["candidate_description", "candidate_flavor", "candidate_pack_count", "candidate_brand",
+           "candidate_brand_line"]
+    # only weeks that some window can hold are joined; pairs without any keep zero sums
+    first, last = min(s.first for s, *_ in DONOR_SPEC), max(s.last for s, *_ in DONOR_SPEC)
     tagged = anchors.join(history, SERIES_KEYS).withColumn(
         "_offset", weeks_between("week", "_launch")
-    )
-    identity = {
-        "description": F.col("description"), "candidate_flavor": F.col("flavor_raw"),
-        "candidate_pack_count": F.col("source_pack_count"),
-        "candidate_brand": parent_brand(cfg), "candidate_brand_line": F.col("source_brand"),
-    }
-    ids = ["candidate_description", *list(identity)[1:]]
-    stats = tagged.select(
-        "*", identity["description"].alias("candidate_description"),
-        *[c.alias(n) for n, c in list(identity.items())[1:]],
-    ).groupBy(*SERIES_KEYS, "_launch", *ids).agg(
+    ).where(F.col("_offset").between(first, last))
+    stats = tagged.groupBy(*SERIES_KEYS, "_launch", *ids).agg(
         *w.span_measures("_offset", DONOR_SPEC, "donor_"),
         w.sum_in(w.POST13, "base_units_yago", "_offset").alias("donor_yago_13w_base_units"),
-    ).withColumnRenamed("upc", "candidate_upc").withColumnRenamed(
-        "_launch", "focal_first_week_selling")
-    on = ["candidate_upc", *MARKET_KEYS, "focal_first_week_selling"]
-    return pairs.join(stats, on).select(*LAUNCH_PAIR, *[c for c in stats.columns if c not in on])
+    ).withColumnsRenamed({"upc": "candidate_upc", "_launch": "focal_first_week_selling"})
+    series = ["candidate_upc", *MARKET_KEYS]
+    products = history.withColumnRenamed("upc", "candidate_upc").select(*series, *ids).distinct()
+    measures = [c for c in stats.columns if c.startswith("donor_")]
+    averaged = tuple(f"_{m}" for m in w.AVERAGED)
+    return (
+        pairs.join(products, series)
+        .join(stats, [*series, "focal_first_week_selling", *ids], "left")
+        .select(
+            *LAUNCH_PAIR, *ids,
+            *[F.col(c) if c.endswith(averaged) else F.coalesce(c, F.lit(0)).alias(c) for c in measures],
+        )
+    )
 
 
 #: Pair measures handed through to scoring under these names.

@@ -21,7 +21,7 @@ SELECT {_KEYS}, source_brand, units, base_units, dollars, tdp, stores_selling, s
 FROM c_filtered WHERE week >= DATE '1996-01-01' AND week < DATE '1999-01-01'
 """)
 def _(t):
-    out = en.filter_category(t.filtered, t.cfg, dt.date(1996, 1, 1), dt.date(1999, 1, 1))
+    out = en.filter_category(t.build_filtered(), t.cfg, dt.date(1996, 1, 1), dt.date(1999, 1, 1))
     return out.select(*KEYS, "source_brand", "units", "base_units", "dollars", "tdp",
                       "stores_selling", "store_count", "arp", "base_units_yago", "tdp_yago",
                       "avg_weekly_units_spm_yago")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import ingest as ing
 from shelfwise.operators.pool import comparison_pool
 from shelfwise.plans.registry import query
+from shelfwise.scale import scratch_dir
 from shelfwise.schema import EXTRACT_COLUMNS, SERIES_KEYS, assert_columns
 
 SERIES = "upc, channel_outlet, retail_account, geography_raw"
@@ -46,7 +47,7 @@ _MONTH = "SELECT CAST(strftime(week, '%Y-%m') AS VARCHAR) AS month, count(*) AS
     m="CASE WHEN week >= DATE '1999-03-01' AND week < DATE '1999-05-01' THEN 2 * units ELSE units END")
     + " FROM c_filtered GROUP BY 1")
 def _(t):
-    path = ing.scratch_dir(t.spark)
+    path = scratch_dir(t.spark)
     rows = t.filtered.select("week", *SERIES_KEYS, "source_brand", "source_pack_count", "base_units", "units")
     ing.rebuild(rows, path, "filtered_weekly")
     restated = rows.withColumn("units", F.col("units") * 2)
@@ -58,7 +59,7 @@ def _(t):
 
 @query("A4_rebuild", _MONTH.format(m="units") + " FROM c_filtered GROUP BY 1")
 def _(t):
-    path = ing.scratch_dir(t.spark)
+    path = scratch_dir(t.spark)
     rows = t.filtered.select("week", *SERIES_KEYS, "units")
     for part in (rows.where("units > 10"), rows):
         ing.rebuild(part, path)
@@ -71,7 +72,7 @@ SELECT 'r1' AS run_id, count(*) AS n, sum(units) AS units FROM c_filtered WHERE
 UNION ALL SELECT 'r2', count(*), sum(units) FROM c_filtered WHERE year(week) = 2000
 """)
 def _(t):
-    path = ing.scratch_dir(t.spark)
+    path = scratch_dir(t.spark)
     rows = t.filtered.select("week", *SERIES_KEYS, "units")
     for run, year in (("r1", 1999), ("r2", 2000), ("r2", 2000)):
         ing.append_run(rows.where(F.year("week") == year), path, run)
@@ -81,7 +82,7 @@ def _(t):
 
 @query("A6_write_clustered", _MONTH.format(m="units") + " FROM c_filtered GROUP BY 1")
 def _(t):
-    path = ing.scratch_dir(t.spark)
+    path = scratch_dir(t.spark)
     ing.write_clustered(t.filtered.select("week", *SERIES_KEYS, "units"), path)
     return ing.read_table(t.spark, path).groupBy("month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("units").alias("units"))

@@ -8,7 +8,10 @@ a single-task sort or an exact-percentile buffer.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,17 +33,40 @@ def config_lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage (spark.checkpoint.dir), so lost executors lose no state."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: spark.checkpoint.dir, or a temporary one in local mode."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to storage that every executor can reach")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shelfwise-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="shelfwise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new, not yet existing path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/shelfwise-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage on reliable storage, so lost executors lose no state."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For inputs that a job scans several times: unlike a checkpoint, the parquet copy keeps column
+    pruning, filter pushdown and size statistics.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exact_quantiles(

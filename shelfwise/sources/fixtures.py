@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import PriceRules, RetailConfig
 from shelfwise.functions.scalar import case, flag, safe_div
+from shelfwise.scale import written
 from shelfwise.schema import SERIES_KEYS
 
 CUSTOMERS_PER_ACCOUNT = 1000
@@ -64,8 +65,12 @@ def sku_columns(bn: Column) -> dict[str, Column]:
     }
 
 
+#: (application, directory, channel, trimmed) -> stored panel
+_STORED: dict[tuple, DataFrame] = {}
+
+
 class Tables:
-    """Lazy views over one data directory; nothing here triggers a job."""
+    """Tables over one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, channel: str = "segment",
                  trim_launch: bool = True, cfg: RetailConfig = FIXTURE_CONFIG):
@@ -103,6 +108,17 @@ class Tables:
 
     @cached_property
     def filtered(self) -> DataFrame:
+        """The weekly panel as a stored table; built on first use in an application.
+
+        Every later step scans it several times, so it is written once, as the pipeline this
+        library serves does, instead of being derived from the order lines again by each scan.
+        """
+        key = (self.spark.sparkContext.applicationId, self.dir, self.channel, self.trim_launch)
+        if key not in _STORED:
+            _STORED[key] = written(self.build_filtered())
+        return _STORED[key]
+
+    def build_filtered(self) -> DataFrame:
         """One row per SKU x channel x account x market x week, measures included."""
         money = "cast(l_extendedprice as decimal(18,2))"
         disc = "cast(l_discount as decimal(4,2))"
