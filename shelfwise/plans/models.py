@@ -278,7 +278,7 @@ WITH r AS (
 a AS (
   SELECT max(m) FILTER (WHERE t = 1 AND p = 0) AS treated_pre, max(m) FILTER (WHERE t = 1 AND p = 1) AS treated_post,
     max(m) FILTER (WHERE t = 0 AND p = 0) AS control_pre, max(m) FILTER (WHERE t = 0 AND p = 1) AS control_post,
-    sqrt(sum(s) / (sum(n) - 4) * sum(1.0 / n)) AS did_se FROM c
+    CASE WHEN count(*) = 4 THEN sqrt(sum(s) / (sum(n) - 4) * sum(1.0 / n)) END AS did_se FROM c
 ), sl AS (
   SELECT regr_slope(y, CAST(datediff('day', DATE '1970-01-05', week) AS DOUBLE) / 7) FILTER (WHERE t = 1 AND p = 0) AS ts,
     regr_slope(y, CAST(datediff('day', DATE '1970-01-05', week) AS DOUBLE) / 7) FILTER (WHERE t = 0 AND p = 0) AS cs FROM y
