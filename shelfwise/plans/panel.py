@@ -535,6 +535,13 @@ def _(t):
     return _recursion(t).select(*SERIES_KEYS, "week", "forecast_week_number", "forecast_units_base")
 
 
+@query("J11_coherent_totals")
+def _(t):
+    p = own(t).withColumn("weeks_since_launch", weeks_between("week", "first_week_selling"))
+    rule = fo.lag_rule({1: 0.5, 4: 0.3, 13: 0.2})
+    return fo.coherent_total(fo.recursive_forecast(p, rule), fo.recursive_forecast(p, rule, target="units"))
+
+
 @query("J15_forecast_ladder")
 def _(t):
     model = _recursion(t).where(F.col("upc") != "SKU-03")

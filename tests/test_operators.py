@@ -224,6 +224,16 @@ def test_recursion_matches_a_loop_and_the_model_variant(spark):
     assert stepped == pytest.approx(want)
 
 
+def test_totals_never_fall_below_base(spark):
+    df = frame(spark, [10] * 60, arp=2.0, units=[12.0] * 59 + [1.0])
+    rule = forecast.lag_rule({1: 1.0})
+    base, total = forecast.recursive_forecast(df, rule), forecast.recursive_forecast(df, rule, target="units")
+    rows = forecast.coherent_total(base, total).collect()
+    assert len(rows) == 13
+    assert all(r.forecast_total_units_base >= r.forecast_units_base for r in rows)
+    assert {r.forecast_dollars_base for r in rows} == {20.0}
+
+
 def test_holt_finds_a_straight_line(spark):
     rows = forecast.holt_forecast(frame(spark, [3 + 2 * i for i in range(20)])).orderBy("forecast_week_number").collect()
     assert [r.holt_units for r in rows] == pytest.approx([3 + 2 * (19 + k) for k in range(1, 14)])
