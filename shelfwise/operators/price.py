@@ -15,7 +15,7 @@ from shelfwise.functions.scalar import (
 )
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import attach_tier, excluded_market, is_own, own_scored, price_quality
-from shelfwise.scale import exact_quantiles
+from shelfwise.scale import exact_quantiles, written
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, PRICE_EVENT_SCHEMA, SERIES_KEYS
 
 #: Fixed value: log price moves from here on are drastic (15 percent).
@@ -187,6 +187,8 @@ def pack_norms(competitive: DataFrame, min_skus: int = 3) -> DataFrame:
         F.avg("competitor_price_per_unit").alias("price"),
         F.avg("competitor_velocity_spm").alias("velocity"),
     )
+    # one row per product and market; counts and both medians scan it, the price join runs once
+    item = written(item)
     scopes = F.array(
         F.struct(F.lit("account").alias("norm_scope"), F.col("channel_outlet").alias("ch"),
                  F.col("retail_account").alias("ac")),

@@ -20,6 +20,7 @@ from shelfwise.plans import transfer as tp
 from shelfwise.plans.price import LIFT_SQL, EV_SQL, detectors, rule_elasticity
 from shelfwise.plans.registry import query
 from shelfwise.plans.transfer import RATE_SQL, RULE_SCORED_SQL
+from shelfwise.scale import written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 SERIES = "upc, channel_outlet, retail_account, geography_raw"
@@ -402,7 +403,7 @@ def _(t):
 
 
 def panel(t):
-    scored = tp.rule_scored(t)
+    scored = written(tp.rule_scored(t))
     events = w.event_detection(t.enriched)
     elas = rule_elasticity(t).groupBy(*SERIES_KEYS).agg(
         F.max_by("implied_elasticity", "week").alias("implied_elasticity"))

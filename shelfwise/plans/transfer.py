@@ -11,6 +11,7 @@ from shelfwise.operators import transfer as tr
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import select_pool
 from shelfwise.plans.registry import query
+from shelfwise.scale import written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 MARKET = "channel_outlet, retail_account, geography_raw"
@@ -329,7 +330,7 @@ RATE_SQL = RULE_SCORED_SQL.replace("\n--\n", f""", losses AS (
 
 
 def rates(t):
-    return tr.rate_weekly(rule_scored(t), w.event_detection(t.enriched))
+    return tr.rate_weekly(written(rule_scored(t)), w.event_detection(t.enriched))
 
 
 @query("H7_rate_weekly", RATE_SQL + "SELECT * FROM rate")
