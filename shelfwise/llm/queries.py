@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.host_rules import host_quality
 from shelfwise.llm.ngram_join import ngram_jaccard_components
+from shelfwise.llm.packing import pack_documents
+from shelfwise.llm.sharding import extendible_shards
 from shelfwise.llm.text import table
 
+SHARD_BYTES = 16 << 20
+
 #: Words of a text, as DuckDB: A-Z lowered, split at ASCII white space.
 SQL_WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -39,12 +44,86 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(comp.c, s.doc_
 FROM s LEFT JOIN k ON list_sort(s.g) = k.g LEFT JOIN comp ON comp.d = k.d
 """
 
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), length=2048)
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality(table(spark, sf_dir, "documents"), host="source")
+
+
+#: Words of a text in DuckDB, as they stand.
+SQL_RAW_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+OP9_SQL = f"""
+WITH t AS MATERIALIZED (SELECT doc_id, source AS host, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS MATERIALIZED (SELECT r, {SQL_RAW_WORDS.format("text")} AS w FROM t),
+five AS MATERIALIZED (
+  SELECT r, unnest(range(1, len(w) - 3)) AS i,
+    unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] FOR i IN range(1, len(w) - 3)]) AS g
+  FROM w WHERE len(w) > 4),
+twice AS (SELECT r, i FROM five QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM line
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+s AS MATERIALIZED (
+  SELECT t.doc_id, t.host, CAST(len(w.w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+m AS MATERIALIZED (
+  SELECT *, unnest([{{'rule': 'symbols', 'x': n_symbols / greatest(n_words, 1), 'strict': 0.1, 'loose': 0.3}},
+    {{'rule': 'dup_lines', 'x': n_dup_lines / greatest(n_lines, 1), 'strict': 0.3, 'loose': 0.6}},
+    {{'rule': 'repeats', 'x': n_repeat_words / greatest(n_words, 1), 'strict': 0.1, 'loose': 0.2}},
+    {{'rule': 'long_words', 'x': word_chars / greatest(n_words, 1), 'strict': 15, 'loose': 30}}], recursive := true),
+    row_number() OVER () AS k
+  FROM (SELECT *, row_number() OVER () AS r FROM s)),
+h AS (SELECT host, rule, count(*) AS n, sum(CAST(x > strict AS INTEGER)) AS f FROM m GROUP BY host, rule),
+a AS (SELECT rule, sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2
+    - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * (count(*) - 1) / sum(n) AS tau2 FROM h GROUP BY rule),
+b AS (SELECT rule, mean, CASE WHEN tau2 <= 0 THEN 1e6
+    ELSE least(greatest(mean * (1 - mean) / tau2 - 1, 1.0), 1e6) END AS strength FROM a),
+v AS (SELECT host, rule, (f + mean * strength) / (n + strength) AS rate, mean FROM h JOIN b USING (rule)),
+j AS (SELECT m.r, bool_or(m.x > CASE WHEN v.rate > 0.2 AND v.rate > 1.5 * v.mean THEN strict ELSE loose END) AS beyond
+  FROM m JOIN v ON m.rule = v.rule AND m.host IS NOT DISTINCT FROM v.host GROUP BY m.r)
+SELECT s.* EXCLUDE (r), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT beyond AS kept
+FROM (SELECT *, row_number() OVER () AS r FROM s) s JOIN j USING (r)
+"""
+
+
+def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP10_SQL = f"""
+WITH t AS MATERIALIZED (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+p AS MATERIALIZED (SELECT d, h >> (60 - d) AS p, sum(n_bytes) AS b, count(*) AS c, min(h) = max(h) AS single
+  FROM t, range(0, 25) x(d) GROUP BY ALL),
+leaf AS (SELECT n.* FROM p n LEFT JOIN p up ON up.d = n.d - 1 AND up.p = n.p >> 1
+  WHERE (n.b <= {SHARD_BYTES} OR n.single) AND (n.d = 0 OR NOT (up.b <= {SHARD_BYTES} OR up.single)))
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), CAST(d AS INTEGER), '0') END AS shard,
+  CAST(d AS INTEGER) AS depth, CAST(b AS BIGINT) AS shard_bytes, c AS shard_rows
+FROM t JOIN leaf ON leaf.p = t.h >> (60 - leaf.d)
+"""
+
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op7_best_two_fit": op7_best_two_fit,
+    "op9_host_rules": op9_host_rules,
+    "op10_extendible_sharding": op10_extendible_sharding,
 }
 
 _SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op9_host_rules": OP9_SQL,
+    "op10_extendible_sharding": OP10_SQL,
 }
 
 
