@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.decontaminate import benchmark_hits
 from shelfwise.llm.host_rules import host_quality
+from shelfwise.llm.lattice_lm import lattice_scores
 from shelfwise.llm.ngram_join import ngram_jaccard_components
 from shelfwise.llm.packing import pack_documents
+from shelfwise.llm.pii import find_pii
+from shelfwise.llm.quality_gbdt import quality_scores
+from shelfwise.llm.secrets import find_secrets
 from shelfwise.llm.sharding import extendible_shards
 from shelfwise.llm.text import table
+from shelfwise.llm.toxicity import toxicity_scores
 
 SHARD_BYTES = 16 << 20
 
@@ -44,6 +50,30 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(comp.c, s.doc_
 FROM s LEFT JOIN k ON list_sort(s.g) = k.g LEFT JOIN comp ON comp.d = k.d
 """
 
+def op2_zstd_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), length=2048)
 
@@ -115,7 +145,13 @@ FROM t JOIN leaf ON leaf.p = t.h >> (60 - leaf.d)
 
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_zstd_secret_scan": op2_zstd_secret_scan,
+    "op3_subword_lattice": op3_subword_lattice,
+    "op4_toxic_segments": op4_toxic_segments,
+    "op5_pigeonhole_decontamination": op5_pigeonhole_decontamination,
+    "op6_quality_trees": op6_quality_trees,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_host_rules": op9_host_rules,
     "op10_extendible_sharding": op10_extendible_sharding,
 }
