@@ -3,7 +3,7 @@
 The pieces of an existing subword vocabulary weight every segmentation of a word; a forward
 recursion in log space sums them, so a word's probability does not hang on one segmentation. Piece
 weights come from the corpus: the vocabulary's own segmentation of all training words, counted by
-use. A word seen in training adds one more arc, spanning it whole, with its corpus share.
+use, then one round of expected uses over all their segmentations (forward-backward). A word seen in training adds one more arc, spanning it whole, with its corpus share.
 
 All costly work is done once per distinct word. Documents then need one look-up per word: frequent
 words travel to the documents, in a table of bounded size; the others are joined by a shuffle.
@@ -32,7 +32,7 @@ HEAD = 300_000
 #: Distinct words a task counts before it hands them on.
 FLUSH = 400_000
 #: Share of the whole-word arcs; the rest is the lattice of pieces.
-WHOLE = 0.85
+WHOLE = 0.93
 SMOOTH = 0.1
 LONGEST = 16
 LN10 = float(np.log(10))
@@ -129,11 +129,8 @@ class Lattice:
             weights.setdefault(bytes([b]), 0.0)
         total = sum(weights.values()) + ends + SMOOTH * (len(weights) + 1)
         logs = {p: float(np.log((n + SMOOTH) / total)) for p, n in weights.items()}
-        begins = sum(np.exp(v) for p, v in logs.items() if p[:1] == b" ")
-        end = (ends + SMOOTH) / total
-        #: Log probability that a text ends here rather than going on with a word.
-        self.end = float(np.log(end / (end + begins)))
-        self.keys, self.logs = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        self.ends = ends
+        self.keys, self.logs, self.begins = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, bool)]
         for size in range(1, LONGEST + 1):
             of = sorted(p for p in logs if len(p) == size)
             grid = np.frombuffer(b"".join(of), np.uint8).reshape(-1, size)
@@ -144,6 +141,18 @@ class Lattice:
             order = np.argsort(keys)
             self.keys.append(keys[order])
             self.logs.append(np.array([logs[p] for p in of])[order])
+            self.begins.append(np.array([p[:1] == b" " for p in of], bool)[order])
+
+    @property
+    def end(self) -> float:
+        """Log probability that a text ends here rather than going on with a word."""
+        begins = sum(float(np.exp(v[b]).sum()) for v, b in zip(self.logs, self.begins))
+        pieces = sum(float(np.exp(v).sum()) for v in self.logs)
+        return float(np.log((1 - pieces) / (1 - pieces + begins)))
+
+    def reweigh(self, uses: list[np.ndarray]) -> None:
+        total = sum(float(u.sum()) for u in uses) + self.ends + SMOOTH * (sum(map(len, uses)) + 1)
+        self.logs = [np.log((u + SMOOTH) / total) for u in uses]
 
     @staticmethod
     def _extend(low, high, byte, size):
@@ -157,16 +166,21 @@ class Lattice:
 
     def words(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))
+        for at, grid in self._grids(words):
+            out[at] = self._forward(grid, self._arcs(grid))[-1]
+        return out
+
+    @staticmethod
+    def _grids(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length at a time: their places, and their bytes after a space."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
-            out[at] = self._forward(np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), -1))
-        return out
+            yield at, np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), -1)
 
-    def _forward(self, grid: np.ndarray) -> np.ndarray:
+    def _arcs(self, grid: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(end, size, rows, piece numbers of that size) of all pieces within the words, by end."""
         n, size = grid.shape
-        alpha = np.full((size + 1, n), -np.inf)
-        alpha[0] = 0.0
         for end in range(1, size + 1):
             low = high = np.zeros(n, np.uint64)
             for back in range(1, min(end, LONGEST) + 1):
@@ -177,8 +191,50 @@ class Lattice:
                 pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 hit = np.flatnonzero(keys[pos] == key)
                 if len(hit):
-                    alpha[end, hit] = np.logaddexp(alpha[end, hit], alpha[end - back, hit] + self.logs[back][pos[hit]])
-        return alpha[size]
+                    yield end, back, hit, pos[hit]
+
+    def _forward(self, grid: np.ndarray, arcs) -> np.ndarray:
+        alpha = np.full((grid.shape[1] + 1, len(grid)), -np.inf)
+        alpha[0] = 0.0
+        for end, back, rows, piece in arcs:
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - back, rows] + self.logs[back][piece])
+        return alpha
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
+        """Expected uses of each piece, per size, over all segmentations of words with counts."""
+        uses = [np.zeros(len(k)) for k in self.keys]
+        for at, grid in self._grids(words):
+            arcs = list(self._arcs(grid))
+            alpha = self._forward(grid, arcs)
+            beta = np.full(alpha.shape, -np.inf)
+            beta[-1] = 0.0
+            for end, back, rows, piece in reversed(arcs):
+                through = self.logs[back][piece] + beta[end, rows]
+                beta[end - back, rows] = np.logaddexp(beta[end - back, rows], through)
+                share = np.exp(alpha[end - back, rows] + through - alpha[-1, rows])
+                uses[back] += np.bincount(piece, share * counts[at[rows]], len(uses[back]))
+        return uses
+
+
+def expected_uses(words: DataFrame, lattice: Lattice) -> list[np.ndarray]:
+    """`Lattice.expected` over all training words; one number per piece reaches the driver."""
+    schema = words.sparkSession.createDataFrame([], "size int, piece int, uses double").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        total = [np.zeros(len(k)) for k in lattice.keys]
+        for batch in batches:
+            found = lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            total = [a + b for a, b in zip(total, found)]
+        for size, uses in enumerate(total):
+            at = np.flatnonzero(uses)
+            yield to_batch({"size": np.full(len(at), size, np.int32), "piece": at.astype(np.int32), "uses": uses[at]}, arrow)
+
+    rows = words.where("count > 0").select("word", "count").mapInArrow(run, schema)
+    out = [np.zeros(len(k)) for k in lattice.keys]
+    for r in rows.groupBy("size", "piece").agg(F.sum("uses").alias("uses")).collect():
+        out[r["size"]][r["piece"]] = r["uses"]
+    return out
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -274,6 +330,7 @@ def lattice_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     sums = words.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
     tokens, kinds = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     lattice = Lattice(path, piece_counts(words, path), ends)
+    lattice.reweigh(expected_uses(words, lattice))
     scored = written(word_scores(words, lattice, tokens, kinds))
     # the head: all words at least as frequent as the smallest count that keeps it within HEAD
     by_count = scored.where("count > 1").groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).collect()

@@ -3,9 +3,10 @@
 Each word carries a log-odds of toxic against clean documents under an informative Dirichlet prior,
 less a drift, so that ordinary text scores below zero. One linear scan (Ruzzo and Tompa) finds all
 maximal segments of a text. How high the best segment of a clean text of n words reaches follows an
-extreme-value law, fitted to clean documents that took no part in the log-odds; a segment is
-significant by its probability under that law, and a text's evidence is turned into a probability
-on the same held-apart documents.
+extreme-value law, fitted to clean documents; a segment is significant by its probability under
+that law, and a text's evidence is turned into a probability. Both are fitted crosswise: each half
+of the training documents is scored with the log-odds of the other half, so no document vouches
+for itself. The log-odds in use come from both halves.
 
 A word that was not seen in training is judged by its first five, else its first four letters.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from math import log, pi, sqrt
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,11 +25,10 @@ from shelfwise.llm.text import fold, map_batches, texts, with_labels
 from shelfwise.scale import written
 
 FOLDS, HELD_OUT = 3, 1
-#: Documents of fold 0 give the log-odds, those of fold 2 the calibration.
-ODDS_FOLD, CALIBRATION_FOLD = 0, 2
+HALVES = (0, 2)
 STRIP = ".,;:!?\"'()[]"
-#: Prior strength in documents, and the least |z| and uses of a feature that is kept.
-PRIOR, LEAST_Z, LEAST_USES = 50.0, 2.0, 3
+#: Prior strength in uses, the least uses of a feature, and features that chance may keep.
+PRIOR, LEAST_USES, CHANCE = 1000.0, 3, 10
 DRIFT, MOST = 1.0, 6.0
 #: A passage is significant when a clean text of its length reaches its score this rarely.
 SIGNIFICANT = 0.01
@@ -43,31 +44,42 @@ def word_features(word: str) -> list[str]:
 
 
 def feature_counts(docs: DataFrame) -> DataFrame:
-    """feature, toxic, clean: labelled documents that hold it."""
+    """feature and, per half, documents that hold it: toxic0, clean0, toxic2, clean2."""
+    names = [f"{kind}{half}" for half in HALVES for kind in ("clean", "toxic")]
 
     def run(batch):
-        toxic, clean = Counter(), Counter()
-        for raw, label in zip(texts(batch), batch.column(1).to_pylist()):
+        counts = [Counter() for _ in names]
+        for raw, label, half in zip(texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             found = {f for w in set(raw.decode().lower().split()) for f in word_features(w)}
-            (toxic if label else clean).update(found)
-        keys = list(toxic.keys() | clean.keys())
-        return {"feature": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]}
+            counts[2 * HALVES.index(half) + bool(label)].update(found)
+        keys = list(set().union(*counts))
+        return {"feature": keys, **{n: [c[k] for k in keys] for n, c in zip(names, counts)}}
+
+    found = map_batches(
+        docs.select("text", "label", "half"), run, "feature string, " + ", ".join(f"{n} long" for n in names)
+    )
+    return found.groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
 
-    found = map_batches(docs.select("text", "label"), run, "feature string, toxic long, clean long")
-    return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
+def log_odds(counts: DataFrame) -> dict[str, float]:
+    """Log-odds of the features that tell toxic from clean documents; `counts` has toxic and clean.
 
-def log_odds(counts: DataFrame) -> DataFrame:
-    """feature, odds of those that tell the classes apart."""
-    totals = counts.agg(F.struct(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))).scalar()
-    t = counts.where(F.col("toxic") + F.col("clean") >= LEAST_USES).withColumn("all", totals)
-    share = (F.col("toxic") + F.col("clean")) / (F.col("all.toxic") + F.col("all.clean"))
-    weight = PRIOR * share * F.least(F.col("all.toxic"), F.col("all.clean")) ** 0.5 + 0.5
-    y, z = F.col("toxic") + weight * F.col("all.toxic") / (F.col("all.toxic") + F.col("all.clean")), F.col("clean") + weight * F.col("all.clean") / (F.col("all.toxic") + F.col("all.clean"))
-    odds = F.log(y / F.col("all.toxic")) - F.log(z / F.col("all.clean"))
-    return t.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y + 1 / z)).alias("z")).where(
-        F.abs("z") >= LEAST_Z
-    ).select("feature", "odds")
+    Of the many features tested, about CHANCE are kept by chance. What is kept is the evidence for
+    toxic language, a few hundred features, which bounds what travels to the tasks.
+    """
+    tested = counts.where(F.col("toxic") + F.col("clean") >= LEAST_USES)
+    sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    if not sums[0] or not sums[1]:
+        return {}
+    least = NormalDist().inv_cdf(1 - CHANCE / max(tested.count(), 10 * CHANCE))
+    toxic, clean = map(float, sums)
+    # the prior: a feature's share of all uses, in both classes alike
+    prior = PRIOR * (F.col("toxic") + F.col("clean")) / (toxic + clean) + 0.5
+    share = toxic / (toxic + clean)
+    y, z = F.col("toxic") + prior * share, F.col("clean") + prior * (1 - share)
+    odds = F.log(y / (toxic + PRIOR * share)) - F.log(z / (clean + PRIOR * (1 - share)))
+    kept = tested.select("feature", odds.alias("odds"), (odds / F.sqrt(1 / y + 1 / z)).alias("z"))
+    return {r["feature"]: r["odds"] for r in kept.where(F.abs("z") >= least).toLocalIterator()}
 
 
 class Scores(dict):
@@ -144,14 +156,21 @@ def extreme_value_law(rows: DataFrame) -> tuple[float, float]:
 def platt(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Slope and offset of the probability of label 1 by evidence; rows of (evidence, label, count)."""
     x, y, w = (np.array(v, float) for v in zip(*rows)) if rows else (np.zeros(1),) * 3
+
+    def value(a: float, b: float) -> float:
+        z = a * x + b
+        # a weak pull to slope 1 and offset 0 keeps separable classes finite
+        return float((w * (y * z - np.logaddexp(0, z))).sum() - 0.05 * ((a - 1) ** 2 + b * b))
+
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
         g, h = w * (y - p), w * p * (1 - p)
-        # a weak pull to slope 1 keeps separable classes finite
         grad = np.array([(g * x).sum() - (a - 1) * 0.1, g.sum() - b * 0.1])
         hess = np.array([[(h * x * x).sum() + 0.1, (h * x).sum()], [(h * x).sum(), h.sum() + 0.1]])
-        step = np.linalg.solve(hess, grad)
+        step, now = np.linalg.solve(hess, grad), value(a, b)
+        while value(a + step[0], b + step[1]) < now and np.abs(step).max() > 1e-9:
+            step = step / 2
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
@@ -162,7 +181,8 @@ def evidence(rate: float, log_k: float):
     """-log10 of the chance that a clean text has a segment as good as its best; 0 without any."""
     best = F.array_max("found.score")
     hits = F.exp(F.lit(log_k) + F.log(F.greatest("words", F.lit(1))) - rate * best)
-    return F.coalesce(-F.log10(F.greatest(-F.expm1(-hits), F.lit(1e-30))), F.lit(0.0))
+    # greatest() would take the constant for a text without segments
+    return F.when(best.isNull(), 0.0).otherwise(-F.log10(F.greatest(-F.expm1(-hits), F.lit(1e-30))))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,9 +195,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     f = fold(F.col("doc_id"), FOLDS)
     text = docs.select("doc_id", "text")
-    counts = feature_counts(with_labels(text, labels, "toxic", f == ODDS_FOLD))
-    odds = {r["feature"]: r["odds"] for r in log_odds(written(counts)).toLocalIterator()}
-    apart = written(passage_scores(with_labels(text, labels, "toxic", f == CALIBRATION_FOLD), odds, "label"))
+    known = with_labels(text, labels, "toxic", f != HELD_OUT).withColumn("half", f.cast("int"))
+    counts = written(feature_counts(known))
+
+    def odds_of(*halves: int) -> dict[str, float]:
+        both = [sum((F.col(f"{kind}{h}") for h in halves), F.lit(0)).alias(kind) for kind in ("toxic", "clean")]
+        return log_odds(counts.select("feature", *both))
+
+    first, last = HALVES
+    apart = written(
+        passage_scores(known.where(F.col("half") == last), odds_of(first), "label").unionAll(
+            passage_scores(known.where(F.col("half") == first), odds_of(last), "label")
+        )
+    )
+    odds = odds_of(*HALVES)
     rate, log_k = extreme_value_law(apart)
     grid = apart.groupBy(F.round(evidence(rate, log_k), 2).alias("e"), "label").count().collect()
     slope, offset = platt([(r["e"], r["label"], r["count"]) for r in grid])
