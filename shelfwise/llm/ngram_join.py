@@ -9,8 +9,9 @@ columns.
    agrees on a whole block. Each row contributes one hash per block; the product over blocks is
    taken in column stripes, a stripe per task, and names the rows that agree somewhere. Unlike
    single n-grams, a block holds many, so a passage that many documents share makes no pairs.
-2. Rows that agree on a block are compared by a 32-cell count of their columns, whose L1 distance
-   never exceeds the difference; pairs beyond the size-derived bound are discarded.
+2. Rows that agree on a block are compared by their column counts in 32 cells and by the parity of
+   512 finer ones; neither distance ever exceeds the difference, the first tells long rows apart,
+   the second short ones. Pairs beyond the size-derived bound are discarded.
 3. The rest are multiplied exactly, stripe by stripe, and dropped as soon as the count so far plus
    what is left cannot reach the bound.
 
@@ -37,6 +38,7 @@ from shelfwise.llm.text import keep_ids, map_batches, mix64, texts, to_batch
 from shelfwise.scale import written
 
 CELLS = 32
+PARITIES = 512
 STRIPES = 16
 #: Block hashes a task gathers before it deals them out, and that a stripe holds on average.
 FLUSH = 1_000_000
@@ -89,8 +91,10 @@ def block_hashes(grams: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def cells(grams: np.ndarray) -> bytes:
+    """Counts of columns in CELLS cells, then the parity bits of PARITIES cells."""
     counts = np.bincount((grams >> np.uint64(7)).astype(np.int64) % CELLS, minlength=CELLS)
-    return counts.astype("<u4").tobytes()
+    odd = np.bincount((grams >> np.uint64(17)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return counts.astype("<u4").tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def row_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -204,7 +208,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs within each block that pass both bounds: a spanning forest, or all between components.
 
-    `members` has block, set_id, size, cells, component. One block's rows take about 150 bytes
+    `members` has block, set_id, size, cells, component. One block's rows take about 400 bytes
     each in a task; distances are taken a row at a time, so memory stays linear in the group.
     """
     out = members.sparkSession.createDataFrame([], "a long, b long").schema
@@ -214,7 +218,9 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
     def passing(i, j, ids, sizes, sig):
         """Which rows j row i may link with, and their distances."""
         low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        apart = np.abs(sig[j] - sig[i]).sum(axis=-1)
+        apart = np.abs(sig[j, :CELLS] - sig[i, :CELLS]).sum(axis=-1)
+        odd = sig[j, CELLS:] ^ sig[i, CELLS:]
+        apart = np.maximum(apart, np.bitwise_count(odd.view(np.uint64)).sum(axis=-1, dtype=np.int64))
         return (low * den >= high * num) & (apart <= (low + high) * gap // whole), apart
 
     def spanning(ids, sizes, sig):
@@ -276,7 +282,10 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
             if not batch.num_rows:
                 continue
             block, ids, sizes, component = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64)
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            sig = np.concatenate([
+                raw[:, : 4 * CELLS].copy().view("<u4").astype(np.int64), raw[:, 4 * CELLS :].copy().view(np.int64),
+            ], axis=1)
             now = [block, ids, sizes, sig, component]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
