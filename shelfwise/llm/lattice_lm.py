@@ -30,7 +30,9 @@ FOLDS = 10
 #: Words that travel to the documents at most (24 bytes each).
 HEAD = 300_000
 #: Distinct words a task counts before it hands them on.
-FLUSH = 400_000
+FLUSH = 200_000
+#: Documents whose words a task holds at once.
+SLICE = 500
 #: Share of the whole-word arcs; the rest is the lattice of pieces.
 WHOLE = 0.93
 SMOOTH = 0.1
@@ -277,12 +279,12 @@ def document_parts(docs: DataFrame, head: pa.Table) -> DataFrame:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            words = [t.lower().split() for t in texts(batch)]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            n = len(words)
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            each = [hashes(t.lower().split()) for t in texts(batch)]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            n = len(each)
             doc = np.repeat(np.arange(n), sizes)
-            h = np.concatenate([hashes(w) for w in words]) if n else np.zeros(0, np.uint64)
+            h = np.concatenate(each)
             if len(keys):
                 pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = keys[pos] == h
