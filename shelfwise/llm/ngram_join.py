@@ -5,13 +5,14 @@ Documents are rows, distinct word n-grams (64-bit hashes) columns. Two rows link
 `num/den` as many n-grams, and the rows differ in at most `(|A|+|B|) * (den-num) / (den+num)`
 columns.
 
-1. Columns are cut into one more block than a pair of that size may differ in, so a linked pair
-   agrees on a whole block. Each row contributes one hash per block; the product over blocks is
+1. Columns are cut into more blocks than a pair of that size may differ in, so a linked pair agrees
+   on a whole block. About 10 percent more blocks than that are cut: a row with no more empty blocks
+   than are spare need not show them, as an agreement that is not empty is left over. Each row contributes one hash per block; the product over blocks is
    taken in column stripes, a stripe per task, and names the rows that agree somewhere. Unlike
    single n-grams, a block holds many, so a passage that many documents share makes no pairs.
-2. Rows that agree on a block are compared by their column counts in 32 cells and by the parity of
-   512 finer ones; neither distance ever exceeds the difference, the first tells long rows apart,
-   the second short ones. Pairs beyond the size-derived bound are discarded.
+2. Rows that agree on a block are compared by their column counts in cells, about one for each
+   dozen columns, and by the parity of 512 finer ones; neither distance ever exceeds the
+   difference, the first tells long rows apart, the second short ones. Pairs beyond the size-derived bound are discarded.
 3. The rest are multiplied exactly, stripe by stripe, and dropped as soon as the count so far plus
    what is left cannot reach the bound.
 
@@ -37,7 +38,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfwise.llm.text import keep_ids, map_batches, mix64, texts, to_batch
 from shelfwise.scale import written
 
-CELLS = 32
+#: Count cells of a row at least, and columns per cell beyond that.
+CELLS, PER_CELL = 32, 12
 PARITIES = 512
 STRIPES = 16
 #: Block hashes a task gathers before it deals them out, and that a stripe holds on average.
@@ -64,37 +66,54 @@ def set_id(grams: np.ndarray) -> int:
 
 
 @lru_cache(maxsize=8)
-def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest size of each band, and the number of column blocks for pairs whose smaller row is in it."""
-    last, blocks, size = [], [], 1
+def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest size of each band; for pairs whose smaller row is in it, column blocks and spare ones."""
+    last, blocks, spare, size = [], [], [], 1
     while size < 1 << 40:
         top = size * den // num
+        need = (top + top * den // num) * (den - num) // (den + num) + 1
         last.append(top)
-        blocks.append((top + top * den // num) * (den - num) // (den + num) + 1)
+        spare.append(0 if need == 1 else -(-need // 10))
+        blocks.append(need + spare[-1])
         size = top + 1
-    return np.array(last), np.array(blocks)
+    return np.array(last), np.array(blocks), np.array(spare)
 
 
 def block_hashes(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each column block, at the levels where a partner may look."""
-    last, blocks = bands(num, den)
+    """A hash for each column block to show, at the levels where a partner may look."""
+    last, blocks, spare = bands(num, den)
     own = int(np.searchsorted(last, len(grams)))
     mixed = mix64(grams)
     out = []
     for level in range(max(0, own - 1), own + 1):
         count = int(blocks[level])
+        cut = (mixed >> np.uint64(33)).astype(np.int64) % count
         sums = np.zeros(count, np.uint64)
-        np.add.at(sums, (mixed >> np.uint64(33)).astype(np.int64) % count, grams)
+        np.add.at(sums, cut, grams)
         at = np.arange(count, dtype=np.uint64) + np.uint64(level << 40)
-        out.append(mix64(sums ^ mix64(at)))
+        own_blocks = mix64(sums ^ mix64(at))
+        held = np.bincount(cut, minlength=count) > 0
+        out.append(own_blocks[held] if count - held.sum() <= spare[level] else own_blocks)
     return np.concatenate(out)
 
 
 def cells(grams: np.ndarray) -> bytes:
-    """Counts of columns in CELLS cells, then the parity bits of PARITIES cells."""
-    counts = np.bincount((grams >> np.uint64(7)).astype(np.int64) % CELLS, minlength=CELLS)
+    """Parity bits of PARITIES cells, then counts (at most 255) of columns in a power of two of cells."""
+    size = CELLS
+    while size * PER_CELL < len(grams):
+        size *= 2
+    counts = np.bincount((grams >> np.uint64(7)).astype(np.int64) % size, minlength=size)
     odd = np.bincount((grams >> np.uint64(17)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
-    return counts.astype("<u4").tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def aligned(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity words and cell counts of rows, counts folded to the coarsest row's cells."""
+    bits = PARITIES // 8
+    size = min(map(len, signatures)) - bits
+    odd = np.frombuffer(b"".join(s[:bits] for s in signatures), np.uint64).reshape(len(signatures), -1)
+    counts = [np.frombuffer(s, np.uint8, offset=bits).reshape(-1, size).sum(axis=0, dtype=np.int64) for s in signatures]
+    return odd, np.stack(counts)
 
 
 def row_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -112,7 +131,11 @@ def row_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) -> DataFrame:
-    """(block, set_id) of every column block on which at least two different rows agree."""
+    """(block, set_id) of every group of different rows that agree on a column block.
+
+    Near copies agree on many blocks; groups of the same rows are named alike, and are one. Within
+    a stripe, blocks are told apart by 32 bits more; a chance agreement only adds a candidate.
+    """
     bits = (stripes - 1).bit_length()
     spark = docs.sparkSession
     dealt = spark.createDataFrame([], "stripe int, blocks binary, sets binary").schema
@@ -138,7 +161,7 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
             rows = [(k, edges[k], edges[k + 1]) for k in range(stripes) if edges[k] < edges[k + 1]]
             return to_batch({
                 "stripe": [k for k, _, _ in rows],
-                "blocks": [blocks[a:b].tobytes() for _, a, b in rows],
+                "blocks": [blocks[a:b].astype(np.uint32).tobytes() for _, a, b in rows],
                 "sets": [sets[a:b].tobytes() for _, a, b in rows],
             }, dealt_arrow)
 
@@ -157,14 +180,17 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
     def product(batches):
         def stripe(parts):
             blocks, sets = once(
-                np.frombuffer(b"".join(b for b, _ in parts), np.uint64),
+                np.frombuffer(b"".join(b for b, _ in parts), np.uint32),
                 np.frombuffer(b"".join(s for _, s in parts), np.int64),
             )
-            same = np.zeros(len(blocks) + 1, bool)
-            same[1:-1] = blocks[1:] == blocks[:-1]
-            kept = same[1:] | same[:-1]
+            first = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+            count = np.diff(np.r_[first, len(blocks)])
+            name = mix64(np.add.reduceat(mix64(sets.view(np.uint64)), first))
+            shared = np.flatnonzero(count > 1)
+            shared = shared[np.unique(name[shared], return_index=True)[1]]
+            kept = np.repeat(np.isin(np.arange(len(first)), shared), count)
             return to_batch({
-                "block": pa.array(blocks[kept].view(np.int64)), "set_id": pa.array(sets[kept]),
+                "block": pa.array(np.repeat(name, count)[kept].view(np.int64)), "set_id": pa.array(sets[kept]),
             }, found_arrow)
 
         now, parts = None, []
@@ -184,11 +210,12 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
         .repartition(stripes, "stripe")
         .sortWithinPartitions("stripe")
         .mapInArrow(product, found)
+        .distinct()
     )
 
 
 def candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """set_id, size, cells and sorted grams of the rows named by `ids`, once per set."""
+    """set_id, size, cells and sorted grams of the rows named by `ids`, written, once per set."""
 
     def run(batch):
         sets = [ngram_set(t, n) for t in texts(batch)]
@@ -200,16 +227,20 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         }
 
     some = keep_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
-    return map_batches(some, run, "set_id long, size long, cells binary, grams binary").where(
-        "set_id is not null"
-    ).dropDuplicates(["set_id"])
+    found = written(
+        map_batches(some, run, "set_id long, size long, cells binary, grams binary").where("set_id is not null")
+    )
+    # ids are as good as unique: only where rows repeat one do sets come twice
+    if found.count() == found.select("set_id").distinct().count():
+        return found
+    return written(found.dropDuplicates(["set_id"]))
 
 
 def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs within each block that pass both bounds: a spanning forest, or all between components.
 
-    `members` has block, set_id, size, cells, component. One block's rows take about 400 bytes
-    each in a task; distances are taken a row at a time, so memory stays linear in the group.
+    `members` has block, set_id, size, cells, component. One block's rows take a hundred bytes
+    and a twelfth of their columns each in a task; distances are taken a row at a time, so memory stays linear in the group.
     """
     out = members.sparkSession.createDataFrame([], "a long, b long").schema
     arrow = to_arrow_schema(out)
@@ -218,21 +249,25 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
     def passing(i, j, ids, sizes, sig):
         """Which rows j row i may link with, and their distances."""
         low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        apart = np.abs(sig[j, :CELLS] - sig[i, :CELLS]).sum(axis=-1)
-        odd = sig[j, CELLS:] ^ sig[i, CELLS:]
-        apart = np.maximum(apart, np.bitwise_count(odd.view(np.uint64)).sum(axis=-1, dtype=np.int64))
+        odd, counts = sig
+        apart = np.abs(counts[j] - counts[i]).sum(axis=-1)
+        apart = np.maximum(apart, np.bitwise_count(odd[j] ^ odd[i]).sum(axis=-1, dtype=np.int64))
         return (low * den >= high * num) & (apart <= (low + high) * gap // whole), apart
 
     def spanning(ids, sizes, sig):
-        """Prim's forest over passing pairs, nearest first."""
-        rest, best, link = np.arange(1, len(ids)), None, None
-        new = 0
+        """Prim's forest over passing pairs, nearest first.
+
+        Ties go to the pair with the smallest id, so that blocks with many rows in common choose
+        the same pairs.
+        """
+        rest, new = np.arange(1, len(ids)), 0
         best = np.full(len(ids) - 1, np.iinfo(np.int64).max)
         link = np.zeros(len(ids) - 1, np.int64)
         while len(rest):
             ok, apart = passing(new, rest, ids, sizes, sig)
-            nearer = ok & (apart < best)
-            best[nearer], link[nearer] = apart[nearer], new
+            far = (apart << 32) + (np.minimum(ids[new], ids[rest]) >> 32) + (1 << 31)
+            nearer = ok & (far < best)
+            best[nearer], link[nearer] = far[nearer], new
             at = int(best.argmin())
             new = int(rest[at])
             if best[at] < np.iinfo(np.int64).max:
@@ -254,20 +289,21 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
         a, b = [], []
         two = edges[:-1][counts == 2]
         two = two[component[two] != component[two + 1]]
-        if len(two):
-            ok = passing(two, two + 1, ids, sizes, sig)[0]
-            a.append(ids[two[ok]])
-            b.append(ids[two[ok] + 1])
+        longest = np.fromiter(map(len, sig), np.int64, len(sig))
+        coarse = np.minimum(longest[two], longest[two + 1])
+        for size in np.unique(coarse):
+            x = two[coarse == size]
+            at, half = np.concatenate([x, x + 1]), np.arange(len(x))
+            ok = passing(half, half + len(x), ids[at], sizes[at], aligned(sig[at]))[0]
+            a.append(ids[x[ok]])
+            b.append(ids[x[ok] + 1])
         for s, c in zip(edges[:-1][counts > 2], counts[counts > 2]):
             own = slice(s, s + c)
             part = component[own]
             if (part == part[0]).all():
                 continue
-            found = list(
-                spanning(ids[own], sizes[own], sig[own])
-                if forest
-                else across(ids[own], sizes[own], sig[own], part)
-            )
+            rows = ids[own], sizes[own], aligned(sig[own])
+            found = list(spanning(*rows) if forest else across(*rows, part))
             if found:
                 at = np.array(found) + s
                 a.append(ids[at[:, 0]])
@@ -282,10 +318,8 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
             if not batch.num_rows:
                 continue
             block, ids, sizes, component = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            sig = np.concatenate([
-                raw[:, : 4 * CELLS].copy().view("<u4").astype(np.int64), raw[:, 4 * CELLS :].copy().view(np.int64),
-            ], axis=1)
+            sig = np.empty(batch.num_rows, object)
+            sig[:] = batch.column(3).to_pylist()
             now = [block, ids, sizes, sig, component]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
@@ -384,7 +418,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
         .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
     )
     named = classes.join(agree.select("set_id").distinct(), "set_id")
-    sets = written(candidate_sets(docs, named.select(F.col("first_id").alias("doc_id")).distinct(), n))
+    sets = candidate_sets(docs, named.select(F.col("first_id").alias("doc_id")).distinct(), n)
     members = written(agree.join(sets.select("set_id", "size", "cells"), "set_id"))
     first = written(links(
         surviving_pairs(members.withColumn("component", F.col("set_id")), num, den, True), sets, num, den
