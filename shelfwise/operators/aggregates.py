@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import RetailConfig
 from shelfwise.functions.scalar import clamp, flag, safe_div, weighted_avg
 from shelfwise.operators.enrich import is_own
-from shelfwise.scale import exact_quantiles
+from shelfwise.scale import exact_quantiles, join_null_safe
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, SERIES_KEYS
 
 
@@ -57,7 +57,7 @@ def mix_share(panel: DataFrame) -> DataFrame:
     pack = panel.groupBy(*pack_keys).agg(
         F.sum("units").alias("_pu"), F.sum("base_units").alias("_pb"))
     item = panel.groupBy("week", "upc").agg(F.sum("units").alias("_iu"))
-    return panel.join(pack, pack_keys).join(item, ["week", "upc"]).select(
+    return join_null_safe(panel, pack, pack_keys).join(item, ["week", "upc"]).select(
         "week", *SERIES_KEYS,
         safe_div("units", "_pu").alias("pack_mix_share"),
         safe_div("base_units", "_pb").alias("pack_mix_base_share"),

@@ -15,7 +15,7 @@ from shelfwise.functions.scalar import (
 )
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import attach_tier, excluded_market, is_own, own_scored, price_quality
-from shelfwise.scale import exact_quantiles, written
+from shelfwise.scale import exact_quantiles, join_null_safe, written
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, PRICE_EVENT_SCHEMA, SERIES_KEYS
 
 #: Fixed value: log price moves from here on are drastic (15 percent).
@@ -260,7 +260,7 @@ def driver_features(filtered: DataFrame, cfg: RetailConfig) -> DataFrame:
     )
     means = rows.groupBy(*keys).agg(
         F.avg("avg_weekly_units_spm").alias("_v"), F.avg("pct_stores_selling").alias("_p"))
-    return rows.join(means, keys).select(
+    return join_null_safe(rows, means, keys).select(
         "week", *SERIES_KEYS, "source_brand", "flavor_raw", "nfp_protein", "nfp_protein_range",
         safe_div("arp", "source_pack_count").alias("price_per_unit"),
         safe_div("avg_weekly_units_spm", "_v").alias("velocity_flavor_index"),

@@ -12,7 +12,7 @@ from shelfwise.functions.stats import student_sf2
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import own_scored, parent_brand
 from shelfwise.operators.pool import LAUNCH_PAIR, launch_pairs
-from shelfwise.scale import written
+from shelfwise.scale import join_null_safe, written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 _AVG4 = ("velocity_spm", "velocity_store_selling", "pct_stores_selling", "arp", "units_pct_promo")
@@ -96,8 +96,10 @@ def donor_prepost(pool: DataFrame, filtered: DataFrame, cfg: RetailConfig) -> Da
     measures = [c for c in stats.columns if c.startswith("donor_")]
     averaged = tuple(f"_{m}" for m in w.AVERAGED)
     return (
-        pairs.join(products, series)
-        .join(stats, [*series, "focal_first_week_selling", *ids], "left")
+        # a candidate may lack its description, flavor or pack count
+        join_null_safe(
+            pairs.join(products, series), stats, [*series, "focal_first_week_selling", *ids], "left"
+        )
         .select(
             *LAUNCH_PAIR, *ids,
             *[F.col(c) if c.endswith(averaged) else F.coalesce(c, F.lit(0)).alias(c) for c in measures],
