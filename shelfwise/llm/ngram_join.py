@@ -193,22 +193,18 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
                 "block": pa.array(np.repeat(name, count)[kept].view(np.int64)), "set_id": pa.array(sets[kept]),
             }, found_arrow)
 
-        now, parts = None, []
-        for batch in batches:
-            for k, b, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != now and parts:
-                    yield stripe(parts)
-                    parts = []
-                now = k
-                parts.append((b, s))
+        parts = [
+            pair
+            for batch in batches
+            for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        ]
         if parts:
             yield stripe(parts)
 
     return (
         docs.select("text")
         .mapInArrow(deal, dealt)
-        .repartition(stripes, "stripe")
-        .sortWithinPartitions("stripe")
+        .repartitionById(stripes, F.col("stripe"))
         .mapInArrow(product, found)
         .distinct()
     )
