@@ -210,22 +210,22 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
     )
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """set_id, size, cells and sorted grams of the rows named by `ids`, written, once per set."""
+def candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, column: str) -> DataFrame:
+    """set_id, size and "cells" or sorted "grams" of the sets that `wanted` names, written, once per set."""
 
     def run(batch):
         sets = [ngram_set(t, n) for t in texts(batch)]
         return {
             "set_id": [set_id(s) if len(s) else None for s in sets],
             "size": [len(s) for s in sets],
-            "cells": [cells(s) for s in sets],
-            "grams": [s.tobytes() for s in sets],
+            column: [cells(s) if column == "cells" else s.tobytes() for s in sets],
         }
 
-    some = keep_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
-    found = written(
-        map_batches(some, run, "set_id long, size long, cells binary, grams binary").where("set_id is not null")
+    ids = written(
+        classes.join(wanted.select("set_id").distinct(), "set_id").select(F.col("first_id").alias("doc_id")).distinct()
     )
+    some = keep_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
+    found = written(map_batches(some, run, f"set_id long, size long, {column} binary").where("set_id is not null"))
     # ids are as good as unique: only where rows repeat one do sets come twice
     if found.count() == found.select("set_id").distinct().count():
         return found
@@ -413,17 +413,21 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_class"))
     )
-    named = classes.join(agree.select("set_id").distinct(), "set_id")
-    sets = candidate_sets(docs, named.select(F.col("first_id").alias("doc_id")).distinct(), n)
-    members = written(agree.join(sets.select("set_id", "size", "cells"), "set_id"))
-    first = written(links(
-        surviving_pairs(members.withColumn("component", F.col("set_id")), num, den, True), sets, num, den
-    ))
+    sets = candidate_sets(docs, classes, agree, n, "cells")
+    members = written(agree.join(sets, "set_id"))
+
+    def linked(rows: DataFrame, forest: bool) -> DataFrame:
+        # only rows of pairs within the bounds are multiplied, so only theirs are written as sets
+        pairs = written(surviving_pairs(rows, num, den, forest))
+        named = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b"))
+        return written(links(pairs, candidate_sets(docs, classes, named, n, "grams"), num, den))
+
+    first = linked(members.withColumn("component", F.col("set_id")), True)
     roots = components(first)
     apart = members.join(roots, members["set_id"] == roots["node"], "left").select(
         members["*"], F.coalesce("root", "set_id").alias("component")
     )
-    second = written(links(surviving_pairs(apart, num, den, False), sets, num, den))
+    second = linked(apart, False)
     if not second.isEmpty():
         roots = components(first.unionAll(second))
     placed = classes.join(roots, classes["set_id"] == roots["node"], "left").select(
