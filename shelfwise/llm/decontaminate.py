@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.text import map_batches, texts
+from shelfwise.llm.text import map_arrow, map_batches, texts
 
 #: Edits per character of an item.
 RATE = 1 / 16
@@ -165,5 +165,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE)
                 clean = [next(matcher.search(raw.decode()), None) is None for raw in texts(batch)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

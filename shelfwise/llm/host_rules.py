@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.llm.text import CONTINUATION, WORD_BREAKS, mix64, texts
+from shelfwise.llm.text import CONTINUATION, WORD_BREAKS, map_arrow, mix64, texts
 from shelfwise.scale import written
 
 WINDOW = 5
@@ -106,7 +106,7 @@ def with_stats(docs: DataFrame, column: str) -> DataFrame:
                 [c.cast(f.type) for c, f in zip(batch.columns, arrow)] + [more], schema=arrow
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def host_verdicts(failures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

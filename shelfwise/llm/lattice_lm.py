@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.llm.text import map_batches, mix64, texts, to_batch
+from shelfwise.llm.text import map_arrow, map_batches, mix64, texts, to_batch
 from shelfwise.scale import written
 
 FOLDS = 10
@@ -94,7 +94,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    found = docs.select("doc_id", "text").mapInArrow(run, schema)
+    found = map_arrow(docs.select("doc_id", "text"), run, schema)
     return found.groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -115,7 +115,7 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield to_batch({"piece": used.astype(np.int32), "uses": total[used].astype(np.int64)}, arrow)
 
-    rows = words.where("count > 0").select("word", "count").mapInArrow(run, schema)
+    rows = map_arrow(words.where("count > 0").select("word", "count"), run, schema)
     return {r["piece"]: r["uses"] for r in rows.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
 
 
@@ -232,7 +232,7 @@ def expected_uses(words: DataFrame, lattice: Lattice) -> list[np.ndarray]:
             at = np.flatnonzero(uses)
             yield to_batch({"size": np.full(len(at), size, np.int32), "piece": at.astype(np.int32), "uses": uses[at]}, arrow)
 
-    rows = words.where("count > 0").select("word", "count").mapInArrow(run, schema)
+    rows = map_arrow(words.where("count > 0").select("word", "count"), run, schema)
     out = [np.zeros(len(k)) for k in lattice.keys]
     for r in rows.groupBy("size", "piece").agg(F.sum("uses").alias("uses")).collect():
         out[r["size"]][r["piece"]] = r["uses"]
@@ -314,7 +314,7 @@ def document_parts(docs: DataFrame, head: pa.Table) -> DataFrame:
             }, arrow)
             first += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def lattice_scores(docs: DataFrame, path: str | None = None) -> DataFrame:

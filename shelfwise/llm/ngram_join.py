@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.llm.text import keep_ids, map_batches, mix64, texts, to_batch
+from shelfwise.llm.text import keep_ids, map_arrow, map_batches, mix64, texts, to_batch
 from shelfwise.scale import written
 
 #: Count cells of a row at least, and columns per cell beyond that.
@@ -201,13 +201,8 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
         if parts:
             yield stripe(parts)
 
-    return (
-        docs.select("text")
-        .mapInArrow(deal, dealt)
-        .repartitionById(stripes, F.col("stripe"))
-        .mapInArrow(product, found)
-        .distinct()
-    )
+    by_stripe = map_arrow(docs.select("text"), deal, dealt).repartitionById(stripes, F.col("stripe"))
+    return map_arrow(by_stripe, product, found).distinct()
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, column: str) -> DataFrame:
@@ -225,6 +220,8 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: in
         classes.join(wanted.select("set_id").distinct(), "set_id").select(F.col("first_id").alias("doc_id")).distinct()
     )
     some = keep_ids(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").select("text")
+    if not ids.where("doc_id is null").isEmpty():  # sets that only rows without id have
+        some = some.unionAll(docs.where("doc_id is null").select("text"))
     found = written(map_batches(some, run, f"set_id long, size long, {column} binary").where("set_id is not null"))
     # ids are as good as unique: only where rows repeat one do sets come twice
     if found.count() == found.select("set_id").distinct().count():
@@ -326,13 +323,8 @@ def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> Dat
         if held is not None:
             yield pairs(*held)
 
-    return (
-        members.select("block", "set_id", "size", "cells", "component")
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(run, out)
-        .distinct()
-    )
+    rows = members.select("block", "set_id", "size", "cells", "component")
+    return map_arrow(rows.repartition("block").sortWithinPartitions("block"), run, out).distinct()
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

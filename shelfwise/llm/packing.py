@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfwise.llm.text import texts, to_batch
+from shelfwise.llm.text import map_arrow, texts, to_batch
 from shelfwise.scale import written
 
 #: Pieces packed together; bounds a task's memory.
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, length: int, vocabulary: str, with_ids: bool) -> Dat
                     row += 1
             yield to_batch(out, arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def best_two_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest number of keys that is hinted for broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Largest Arrow batch that goes to Python, so that long texts do not add up in a worker.
+BATCH_BYTES = 8 << 20
 
 WORD_BREAKS = bytes([0x20, *range(0x09, 0x0E)])
 #: UTF-8 continuation bytes: all other bytes begin a code point.
@@ -31,6 +34,12 @@ def code_points(raw: bytes) -> int:
     return len(raw.translate(None, CONTINUATION))
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema: StructType) -> DataFrame:
+    """`mapInArrow` with batches bounded by bytes as well as by rows (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str
 ) -> DataFrame:
@@ -45,7 +54,7 @@ def map_batches(
             if batch.num_rows:
                 yield to_batch(fn(batch), arrow)
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)
 
 
 def to_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:

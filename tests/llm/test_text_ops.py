@@ -113,6 +113,16 @@ def test_ngram_components(spark, corpus, n, num):
     assert rows == sorted(map(str, brute_components(corpus, ids, n, num, 100)))
 
 
+def test_a_row_without_id_links_its_neighbours(spark):
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda a, b: " ".join(w + "x" * (a <= i < b) for i, w in enumerate(words))
+    texts, ids = [edit(0, 6), edit(10, 16), edit(0, 0), edit(150, 200)], [7, 3, None, 1]
+    got = ngram_join.ngram_jaccard_components(frame(spark, texts, ids), 5, 90, 100)
+    rows = sorted(map(str, [(r[0], r[1], r[2]) for r in got.collect()]))
+    assert rows == sorted(map(str, brute_components(texts, ids, 5, 90, 100)))
+    assert {r[0]: r[2] for r in got.collect()}[7] == 3
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     docs = frame(spark, [*corpus, corpus[3]], [*range(len(corpus)), 3])
     got = ngram_join.drop_near_duplicates(docs)
