@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,12 +250,34 @@ def donor_pool(others: DataFrame, focal: DataFrame, min_coverage: float = 0.75,
     ).select(*SERIES_KEYS, "n_weeks", "pre_units", "price_cv", "pre_corr")
 
 
-def synthetic_control(others: DataFrame, focal: DataFrame, donors: DataFrame, steps: int = 20) -> tuple[DataFrame, DataFrame]:
+def simplex_weights(x: np.ndarray, y: np.ndarray, start: np.ndarray, gap: float) -> np.ndarray:
+    """Weights (at least 0, sum 1) of the rows of `x` that come closest to `y`.
+
+    Weight moves from the worst row that has some to the best one, until that gains less than `gap`.
+    """
+    weight = start.copy()
+    while True:
+        slope = x @ (weight @ x - y)
+        held = np.flatnonzero(weight)
+        to, source = int(slope.argmin()), int(held[slope[held].argmax()])
+        if slope[source] - slope[to] <= gap:
+            return weight
+        d = x[to] - x[source]
+        move = min(weight[source], (slope[source] - slope[to]) / float(d @ d))
+        rest = weight[source] - move
+        if move <= 0 or weight[to] + move == weight[to]:  # no progress left in doubles
+            return weight
+        weight[to], weight[source] = weight[to] + move, max(rest, 0.0)
+
+
+def synthetic_control(others: DataFrame, focal: DataFrame, donors: DataFrame, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """M5: donor weights on the simplex and the lift against the weighted donors.
 
-    Frank-Wolfe: every step scores all donors in parallel against the current residual and moves
-    toward the best one. The driver holds only the residual (one number per pre-period week) and
-    the chosen donors, at most one per step; the donor matrix stays distributed.
+    Every step scores all donors in parallel against the current residual, adds the best one and
+    fits the weights of those chosen so far anew. It ends when no donor is left that could lower
+    the squared pre-period error by more than `tolerance` of the squared series. The driver holds
+    one number per pre-period week for the chosen donors, about as many as weigh something; the
+    donor matrix stays distributed.
     """
     pre = [(r.week, float(r.y)) for r in focal.where("post = 0").orderBy("week").collect()]
     weeks, y = [w for w, _ in pre], [v for _, v in pre]
@@ -263,24 +286,27 @@ def synthetic_control(others: DataFrame, focal: DataFrame, donors: DataFrame, st
         F.map_from_entries(F.collect_list(F.struct("week", F.col("base_units").cast("double").alias("u")))).alias("m"))
     x = F.array(*[F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) for d in weeks])
     matrix = durable(by_week.select(*SERIES_KEYS, x.alias("x")))
-    synth, weights = [0.0] * len(y), {}
-    for step in range(steps):
-        resid = [s - t for s, t in zip(synth, y)]
+    goal = np.array(y)
+    limit = tolerance * max(float(goal @ goal), 1.0)
+    synth, weights, rows = np.zeros(len(y)), {}, np.zeros((0, len(y)))
+    while True:
+        resid = [float(v) for v in synth - goal]
         grad = F.aggregate(
             F.zip_with("x", F.array(*[F.lit(r) for r in resid]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         best = matrix.select(*SERIES_KEYS, "x", grad.alias("g")).agg(
             F.min_by(F.struct(*SERIES_KEYS, "x"), F.struct("g", *SERIES_KEYS)).alias("b")).first().b
         if best is None:
             break
-        d = [a - b for a, b in zip(best.x, synth)]
-        dd = sum(v * v for v in d)
-        gamma = 1.0 if step == 0 else (0.0 if dd == 0 else min(1.0, max(0.0, -sum(a * b for a, b in zip(d, resid)) / dd)))
-        if gamma <= 1e-9:
+        key, x_best = tuple(best[c] for c in SERIES_KEYS), np.array(best.x)
+        if key in weights or (weights and float((synth - x_best) @ (synth - goal)) <= limit):
             break
-        synth = [s + gamma * v for s, v in zip(synth, d)]
-        weights = {key: wt * (1 - gamma) for key, wt in weights.items()}
-        key = tuple(best[c] for c in SERIES_KEYS)
-        weights[key] = weights.get(key, 0.0) + gamma
+        rows = np.vstack([rows, x_best])
+        start = np.array([*weights.values(), 0.0 if weights else 1.0])
+        fitted = simplex_weights(rows, goal, start, limit / 10)
+        used = np.flatnonzero(fitted)
+        weights = {k: float(fitted[i]) for i, k in enumerate([*weights, key]) if fitted[i]}
+        rows = rows[used]
+        synth = fitted[used] @ rows
     spark = others.sparkSession
     w = spark.createDataFrame(
         [(*key, wt) for key, wt in weights.items()], ", ".join(f"{c} string" for c in SERIES_KEYS) + ", weight double")

@@ -143,10 +143,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _seed(panel: DataFrame, target: str, seasonal: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """One row per series: the last 65 values, static columns and the year-on-year level."""
+def _seed(
+    panel: DataFrame, target: str, seasonal: DataFrame | None, lags: Sequence[int], horizon: int
+) -> tuple[DataFrame, list[str]]:
+    """One row per series: the values that the lags reach, static columns and the year-on-year level."""
     static = [c for c in _STATIC if c in panel.columns]
-    frame = history_arrays(panel, target, keep=65)
+    frame = history_arrays(panel, target, keep=max(*lags, 52) + horizon)
     if static:
         newest = panel.groupBy(*SERIES_KEYS).agg(*[F.max_by(c, "week").alias(c) for c in static])
         frame = frame.join(newest, SERIES_KEYS)
@@ -218,7 +220,7 @@ def recursive_forecast(
     Every step predicts, bends the result toward the year-ago value, and appends the base forecast
     to the history array. One pass over the series, no shuffle between steps.
     """
-    frame, static = _seed(panel, target, seasonal)
+    frame, static = _seed(panel, target, seasonal, lags, horizon)
     start = F.struct(F.col("history").alias("h"), F.array().cast(f"array<{_STEP}>").alias("out"))
 
     def advance(acc: Column, step: Column) -> Column:
@@ -247,7 +249,7 @@ def recursive_model_forecast(
     `predict` adds low, base and high to a frame of step features. The frame (one row per series)
     is checkpointed after each step: the steps nest, and an unbroken plan would grow with them.
     """
-    frame, static = _seed(panel, target, seasonal)
+    frame, static = _seed(panel, target, seasonal, lags, horizon)
     frame = frame.withColumn("out", F.array().cast(f"array<{_STEP}>"))
     kept = frame.columns
     for i in range(1, horizon + 1):

@@ -293,7 +293,7 @@ def launch_projection(enriched: DataFrame, cfg: RetailConfig, fit_weeks: int = 1
 
 
 def ramp_curves(enriched: DataFrame, cfg: RetailConfig, weeks: int = 13) -> DataFrame:
-    """Peak-normalised velocity of the first weeks per own product and channel (missing = 0).
+    """Velocity by age in the first weeks per own product and channel; weeks without sales are absent.
 
     Accounts are averaged first, so the number of curves is that of the own catalogue.
     """
@@ -303,20 +303,25 @@ def ramp_curves(enriched: DataFrame, cfg: RetailConfig, weeks: int = 13) -> Data
     by_age = rows.groupBy(*product, "_a").agg(
         F.avg("avg_weekly_units_spm").alias("_v"), F.avg("arp").alias("_arp"),
         F.min("pack_count").alias("_pack"), F.min("flavor").alias("_flavor"),
+        F.min("first_week_selling").alias("_first"),
     )
     # at most `weeks` entries per product and channel
     folded = by_age.groupBy(*product).agg(
-        F.map_from_entries(F.collect_list(F.struct("_a", "_v"))).alias("_m"),
-        F.max("_v").alias("_peak"), F.avg("_arp").alias("_arp"),
+        F.sort_array(F.collect_list(F.struct(F.col("_a").alias("age"), F.col("_v").alias("velocity")))).alias("curve"),
+        F.max("_v").alias("_peak"), F.avg("_arp").alias("_arp"), F.max("_a").alias("last_age"),
         F.min("_pack").alias("pack_count"), F.min("_flavor").alias("flavor"),
-        F.count(F.lit(1)).alias("n_weeks"),
+        F.count(F.lit(1)).alias("n_weeks"), F.min("_first").alias("first_week"),
     ).where(F.col("_peak") > 0)
-    curve = F.transform(
-        F.sequence(F.lit(0), F.lit(weeks - 1)),
-        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_peak"),
-    )
-    return folded.select(*product, "pack_count", "flavor", "n_weeks",
-                         safe_div("_arp", "pack_count").alias("unit_price"), curve.alias("curve"))
+    return folded.select(*product, "pack_count", "flavor", "n_weeks", "first_week", "last_age",
+                         safe_div("_arp", "pack_count").alias("unit_price"), "curve")
+
+
+def ramp_shape(curve: str, last_age: str) -> Column:
+    """Velocities of a curve up to an age, as shares of their peak."""
+    v = F.transform(
+        F.filter(curve, lambda p: (p["age"] <= F.col(last_age)) & p["velocity"].isNotNull()),
+        lambda p: p["velocity"])
+    return F.transform(v, lambda x: F.try_divide(x, F.array_max(v)))
 
 
 def dtw_distance(a: Column, b: Column) -> Column:
@@ -340,20 +345,25 @@ def dtw_distance(a: Column, b: Column) -> Column:
 
 
 def ramp_match(enriched: DataFrame, cfg: RetailConfig, n: int = 3) -> DataFrame:
-    """Own launches with the most similar ramp in the same channel and pack.
+    """For each launch of the last year, the established own products with the most similar ramp.
 
-    Ties go to the closer unit price, then the same flavor. Curves have at most 13 points and meet
+    Both are compared over the weeks that the launch has had so far (13 at most), each as a share of
+    its peak in these weeks. Ties go to the closer unit price, then the same flavor. Curves meet
     inside (channel, pack count) only.
     """
     curves = ramp_curves(enriched, cfg)
     block = ["channel_outlet", "pack_count"]
-    a = curves.select(*block, "upc", F.col("curve").alias("_ca"), F.col("unit_price").alias("_pa"),
-                      F.col("flavor").alias("_fa"))
-    b = curves.select(*block, F.col("upc").alias("analog_upc"), F.col("curve").alias("_cb"),
+    cut = _year_before(cfg)
+    a = curves.where(F.col("first_week") >= cut).select(
+        *block, "upc", "last_age", F.col("curve").alias("_ca"), F.col("unit_price").alias("_pa"),
+        F.col("flavor").alias("_fa"))
+    b = curves.where(F.col("first_week") < cut).select(*block, F.col("upc").alias("analog_upc"), F.col("curve").alias("_cb"),
                       F.col("unit_price").alias("_pb"), F.col("flavor").alias("_fb"))
-    scored = a.join(b, block).where(F.col("upc") != F.col("analog_upc")).select(
+    met = a.join(b, block).where(F.col("upc") != F.col("analog_upc")).select(
+        "*", ramp_shape("_ca", "last_age").alias("_sa"), ramp_shape("_cb", "last_age").alias("_sb"))
+    scored = met.where((F.size("_sa") > 0) & (F.array_max("_sb") > 0)).select(
         "upc", *block, "analog_upc",
-        dtw_distance(F.col("_ca"), F.col("_cb")).alias("dtw"),
+        dtw_distance(F.col("_sa"), F.col("_sb")).alias("dtw"),
         F.abs(F.col("_pa") - F.col("_pb")).alias("_dp"),
         flag(F.col("_fa") != F.col("_fb")).alias("_df"),
     )

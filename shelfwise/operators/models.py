@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalar import case, flag, safe_div
 from shelfwise.operators.evaluate import hash_unit, row_key, wmape
 from shelfwise.operators.transfer import TRANSFER_FEATURES
-from shelfwise.scale import exact_quantiles
+from shelfwise.scale import exact_quantiles, written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 #: Features of the event classifier and of the price response.
@@ -194,19 +194,30 @@ def temporal_split(frame: DataFrame, weeks: int = 13) -> DataFrame:
         "is_train", F.col("week") <= F.date_sub("_newest", 7 * weeks)).drop("_newest")
 
 
-def fit_quantiles(panel: DataFrame, iterations: int = 15, depth: int = 4, seed: int = 42, target: str = "base_units") -> tuple[PipelineModel, DataFrame]:
+def fit_quantiles(
+    panel: DataFrame, iterations: int = 15, depth: int = 4, seed: int = 42, target: str = "base_units", share: float = 1.0
+) -> tuple[PipelineModel, DataFrame]:
     """Boosted trees on log units, with conformal residual quantiles per channel.
 
     MLlib has no quantile loss; the spread comes from held-out residuals (10th and 90th percentile).
+    With a `share` below one, bands see only that part of the held-out rows; the rest, which
+    `unseen_rows` returns, can tell how often they hold.
     """
     frame = temporal_split(numeric(lag_frame(panel, target), PANEL_FEATURES))
     gbt = GBTRegressor(featuresCol="features", labelCol="log_target", maxIter=iterations, maxDepth=depth, seed=seed)
     model = Pipeline(stages=[_assembler(PANEL_FEATURES), gbt]).fit(frame.where("is_train"))
-    held = model.transform(frame.where(~F.col("is_train"))).withColumn("_r", F.col("log_target") - F.col("prediction"))
+    held = frame.where(~F.col("is_train") & (hash_unit(row_key(), "bands") < share))
+    held = model.transform(held).withColumn("_r", F.col("log_target") - F.col("prediction"))
     bands = exact_quantiles(held, ["channel_outlet"], "_r", {"r10": 0.1, "r50": 0.5, "r90": 0.9})
     return model, bands
 
 
+def unseen_rows(panel: DataFrame, share: float, target: str = "base_units") -> DataFrame:
+    """Held-out rows of `fit_quantiles` that its bands have not seen."""
+    frame = temporal_split(lag_frame(panel, target))
+    return frame.where(~F.col("is_train") & (hash_unit(row_key(), "bands") >= share))
+
+
 def quantile_predictions(model: PipelineModel, bands: DataFrame, frame: DataFrame) -> DataFrame:
     """Low, base and high units for rows with lags on the log scale."""
     p = model.transform(numeric(frame, PANEL_FEATURES)).join(bands, "channel_outlet", "left")
@@ -269,7 +280,7 @@ def _split_error(frame: DataFrame, features: Sequence[str], alpha: float, l1: fl
 
 def ablate(panel: DataFrame, feature_sets: dict[str, Sequence[str]], base: str, promote: float = 0.03) -> DataFrame:
     """K8: error of feature sets against a base set; a set is promoted for a lower error."""
-    frame = temporal_split(lag_frame(panel))
+    frame = written(temporal_split(lag_frame(panel)))
     out = None
     for name, feats in feature_sets.items():
         m = _split_error(frame, feats, 1e-3, 0.0).agg(F.lit(name).alias("variant"), wmape("actual", "pred").alias("wmape"))
@@ -281,7 +292,7 @@ def ablate(panel: DataFrame, feature_sets: dict[str, Sequence[str]], base: str,
 
 def grid_cv(panel: DataFrame, alphas: Sequence[float], l1s: Sequence[float], cutpoints: Sequence[date]) -> DataFrame:
     """K9: regularisation grid on temporal folds; mean error per setting, best first."""
-    frame = lag_frame(panel)
+    frame = written(lag_frame(panel))
     out = None
     for cut in cutpoints:
         inside = frame.where(F.col("week") < F.date_add(F.lit(cut), 91)).withColumn("is_train", F.col("week") < F.lit(cut))

@@ -686,16 +686,16 @@ def ols_slope2(df: DataFrame, keys: Sequence[str], y: str, x: str, z: Sequence[s
 CONFOUNDERS = ("tdp", "weeks_since_launch", "pack_count", "week_of_year")
 
 
-def response_rows(prices: DataFrame) -> DataFrame:
-    """Log units, log price and confounders of weeks with a genuine price move.
+def response_rows(prices: DataFrame, moved_only: bool = True) -> DataFrame:
+    """Log units, log price and confounders of weeks with a genuine price move (or of all weeks).
 
     Genuine means five cents or 2.5 percent against the previous row of the series.
     """
     before = F.lag("arp").over(w.series())
     rows = prices.select("*", F.abs(F.col("arp") - before).alias("_move"), before.alias("_before"))
+    genuine = (F.col("_move") >= MIN_PRICE_MOVE) | (safe_div("_move", "_before") >= 0.025)
     return rows.where(
-        ((F.col("_move") >= MIN_PRICE_MOVE) | (safe_div("_move", "_before") >= 0.025))
-        & (F.col("base_units") > 0) & (F.col("arp") > 0)
+        (genuine if moved_only else F.lit(True)) & (F.col("base_units") > 0) & (F.col("arp") > 0)
     ).select(
         "week", *SERIES_KEYS, "promo_confounded",
         F.ln("base_units").alias("y"), F.ln("arp").alias("x"),
@@ -706,15 +706,28 @@ def response_rows(prices: DataFrame) -> DataFrame:
     )
 
 
-def account_elasticity(prices: DataFrame, keys: Sequence[str] = ("retail_account",), min_rows: int = 20) -> DataFrame:
-    """Log-log price response per account given the confounders, on genuine price moves."""
-    out = ols_slope2(response_rows(prices), list(keys), "y", "x", CONFOUNDERS, min_rows)
+def account_elasticity(
+    prices: DataFrame, keys: Sequence[str] = ("retail_account",), min_rows: int = 20, min_history: int = 30
+) -> DataFrame:
+    """Log-log price response per account given the confounders, on genuine price moves.
+
+    An account needs `min_history` complete rows before, and `min_rows` after, only genuine moves
+    are kept.
+    """
+    whole = response_rows(prices, moved_only=False).dropna(subset=["y", "x", *CONFOUNDERS])
+    enough = whole.groupBy(*keys).count().where(F.col("count") >= min_history).select(*keys)
+    moved = join_null_safe(response_rows(prices), enough, keys, "left_semi")
+    out = ols_slope2(moved, list(keys), "y", "x", CONFOUNDERS, min_rows)
     return out.select(*keys, F.col("n").alias("n_rows"), F.col("coef").alias("elasticity"),
                       F.col("se").alias("std_error"),
                       (F.col("coef") - 1.96 * F.col("se")).alias("ci_low"),
                       (F.col("coef") + 1.96 * F.col("se")).alias("ci_high"))
 
 
+#: Poisson(1) draws above this have odds below 1e-12.
+MOST_DRAWS = 15
+
+
 def refute(prices: DataFrame, seed: int = 42, min_rows: int = 20) -> DataFrame:
     """The portfolio effect against placebo, random-cause, subset and bootstrap refits.
 
@@ -731,12 +744,13 @@ def refute(prices: DataFrame, seed: int = 42, min_rows: int = 20) -> DataFrame:
         "y", "x", *CONFOUNDERS, F.lead("x").over(shuffled).alias("_placebo"),
         u("cause").alias("z_random"), u("subset").alias("_subset"), u("boot").alias("_boot"),
     )
-    # Poisson(1) weights by inversion stand in for resampling with replacement
+    # Poisson(1) weights by inversion stand in for resampling with replacement; the hash has six
+    # digits, so no draw reaches MOST_DRAWS
     steps, total = [], 0.0
-    for n in range(6):
+    for n in range(MOST_DRAWS):
         total += math.exp(-1) / math.factorial(n)
         steps.append((F.col("_boot") <= total, n))
-    weight = case(steps, 6)
+    weight = case(steps, MOST_DRAWS)
     variants = {
         "estimate": base.withColumn("z_random", F.lit(0.0)),
         "placebo": base.withColumn("x", F.col("_placebo")).withColumn("z_random", F.lit(0.0)),

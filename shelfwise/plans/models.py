@@ -45,7 +45,7 @@ def weekly_units(t):
 @query("K1_transfer_classifier", trim_launch=False)
 def _(t):
     frame = pair_table(t)
-    model, _ = mo.fit_transfer(frame, 5, 3)
+    model, _ = mo.fit_transfer(frame)
     return tr.score_bands(mo.score_pairs(model, frame)).select(
         "focal_upc", "donor_upc", *MARKET_KEYS, "transfer_prob", "transfer_status", "transfer_confidence")
 
@@ -53,19 +53,19 @@ def _(t):
 @query("K2_donor_ranker", trim_launch=False)
 def _(t):
     frame = tr.ranking_frame(pair_table(t))
-    return mo.ndcg(mo.rank_scores(mo.fit_ranker(frame, iterations=5, depth=3), frame))
+    return mo.ndcg(mo.rank_scores(mo.fit_ranker(frame), frame))
 
 
 @query("K3_event_classifier", trim_launch=False)
 def _(t):
     frame = tr.event_label(pair_table(t))
-    return mo.score_events(mo.fit_event(frame, 5), frame).select(
+    return mo.score_events(mo.fit_event(frame), frame).select(
         "focal_upc", "donor_upc", *MARKET_KEYS, "event_significant", "event_prob")
 
 
 def fitted_elasticity(t):
     frame = durable(pr.elasticity_frame(pr.price_windows(prices(t), 4), guard=False))
-    return pr.elasticity_score(mo.score_price(mo.fit_price(frame, 5, 3), frame))
+    return pr.elasticity_score(mo.score_price(mo.fit_price(frame), frame))
 
 
 @query("K4_price_response")
@@ -104,7 +104,7 @@ def _(t):
 
 @query("K7_importance", trim_launch=False)
 def _(t):
-    model, _ = mo.fit_transfer(pair_table(t), 5, 3)
+    model, _ = mo.fit_transfer(pair_table(t))
     return mo.importance(t.spark, model, tr.TRANSFER_FEATURES)
 
 
@@ -116,7 +116,8 @@ def _(t):
 
 @query("K9_grid_cv")
 def _(t):
-    return mo.grid_cv(weekly_units(t), (0.01, 0.1), (0.0, 1.0), [dt.date(2000, 1, 3)])
+    cuts = [dt.date(1999, 7, 5), dt.date(2000, 1, 3), dt.date(2000, 7, 3)]
+    return mo.grid_cv(weekly_units(t), (0.001, 0.01, 0.1), (0.0, 0.5, 1.0), cuts)
 
 
 @query("K10_segment_effect")
@@ -139,16 +140,17 @@ def _(t):
 @query("J9_quantile_model")
 def _(t):
     panel = weekly_units(t)
-    model, bands = mo.fit_quantiles(panel, 5, 4)
-    frame = mo.temporal_split(mo.lag_frame(panel)).where(~F.col("is_train"))
-    p = mo.quantile_predictions(model, bands, frame)
-    return p.select("week", *SERIES_KEYS, "actual", "low", "base", "high")
+    # bands from one half of the held-out rows, reported on the other
+    model, bands = mo.fit_quantiles(panel, share=0.5)
+    p = mo.quantile_predictions(model, bands, mo.unseen_rows(panel, 0.5))
+    return p.select("week", *SERIES_KEYS, "actual", "low", "base", "high",
+                    F.col("actual").between(F.col("low"), F.col("high")).alias("covered"))
 
 
 @query("J11_recursive_model")
 def _(t):
     panel = own(t)
-    model, bands = mo.fit_quantiles(panel, 5, 3)
+    model, bands = mo.fit_quantiles(panel)
     return fo.recursive_model_forecast(
         panel, mo.step_predictor(model, durable(bands)), seasonal=durable(fo.seasonal_index(panel)))
 
@@ -170,7 +172,7 @@ def events(t):
 
 
 def control_pairs(t):
-    return ca.control_pairs(own_scored(t.enriched, t.cfg), events(t), min_weeks=4)
+    return ca.control_pairs(own_scored(t.enriched, t.cfg), events(t))
 
 
 EVENT_SQL = f"""
@@ -194,7 +196,7 @@ ev AS (
       THEN corr(cu, fu) FILTER (WHERE pre) END AS pre_corr,
     abs(arg_max(cp, cw) - arg_min(cp, cw)) / greatest(arg_min(cp, cw), 0.01) AS control_price_drift
   FROM (SELECT *, cw < post_start AND fu IS NOT NULL AS pre FROM cand) q GROUP BY ALL
-  HAVING count(*) FILTER (WHERE pre) >= 4 AND count(*) >= 2
+  HAVING count(*) FILTER (WHERE pre) >= 8 AND count(*) >= 2
 )
 """
 
@@ -210,22 +212,20 @@ WITH {EVENT_SQL}
 --
 SELECT {SERIES}, event_week, control_account, rn AS control_rank FROM (SELECT *, row_number() OVER
   (PARTITION BY {SERIES}, event_week ORDER BY pre_corr DESC, control_account, control_geography) AS rn
-  FROM prs WHERE pre_corr >= -1 AND control_price_drift < 0.9) q WHERE rn <= 3
+  FROM prs WHERE pre_corr >= 0.40 AND control_price_drift < 0.05) q WHERE rn <= 3
 """)
 def _(t):
-    return ca.select_controls(control_pairs(t), -1.0, 0.9).select(*ca.EVENT_KEYS, "control_account", "control_rank")
+    return ca.select_controls(control_pairs(t)).select(*ca.EVENT_KEYS, "control_account", "control_rank")
 
 
 @query("M2_event_impact")
 def _(t):
-    return ca.event_impact(control_pairs(t), -1.0, 0.9, 4, 2)
+    return ca.event_impact(control_pairs(t))
 
 
 @query("M3_impact_sensitivity")
 def _(t):
-    # prices of the fixture scatter widely, so its tolerances are widened with the price unit
-    calm = control_pairs(t).withColumn("control_price_drift", F.col("control_price_drift") / 20)
-    return ca.impact_sensitivity(calm.withColumn("pre_corr", F.col("pre_corr") + 0.5), 4, 2)
+    return ca.impact_sensitivity(control_pairs(t))
 
 
 PRE, CUT, END = dt.date(1999, 1, 4), dt.date(2000, 1, 3), dt.date(2000, 7, 3)
@@ -241,8 +241,8 @@ st AS (
     CASE WHEN stddev_samp(base_units) > 0 AND stddev_samp(y) > 0 THEN corr(base_units, y) END AS pre_corr
   FROM oth JOIN foc USING (week) WHERE week < DATE '{CUT}' GROUP BY ALL
 ), ok AS (
-  SELECT * FROM st WHERE n_weeks >= floor((SELECT count(*) FROM foc WHERE week < DATE '{CUT}') * 0.5)
-    AND pre_units > 0 AND (n_weeks <= 3 OR coalesce(price_cv <= 5, TRUE))
+  SELECT * FROM st WHERE n_weeks >= floor((SELECT count(*) FROM foc WHERE week < DATE '{CUT}') * 0.75)
+    AND pre_units > 0 AND (n_weeks <= 3 OR coalesce(price_cv <= 0.08, TRUE))
 ), big AS (SELECT {SERIES} FROM ok ORDER BY pre_units DESC, {SERIES} LIMIT 30),
 pool AS (
   SELECT * FROM ok WHERE CASE WHEN (SELECT count(*) FROM ok WHERE pre_corr > 0.4) >= 5 THEN pre_corr > 0.4
@@ -258,14 +258,14 @@ def treated(t):
 @query("M4_donor_pool", f"WITH {POOL_SQL}\n--\nSELECT * FROM pool")
 def _(t):
     focal, others = treated(t)
-    return ca.donor_pool(others, focal, 0.5, 5.0)
+    return ca.donor_pool(others, focal)
 
 
 @query("M5_synthetic_control")
 def _(t):
     focal, others = treated(t)
-    weights, lift = ca.synthetic_control(others, focal, ca.donor_pool(others, focal, 0.5, 5.0), steps=8)
-    return weights.join(lift.select("pct_lift", "pre_rmse"))
+    weights, lift = ca.synthetic_control(others, focal, ca.donor_pool(others, focal))
+    return weights.withColumns({c: lift.select(c).scalar() for c in ("pct_lift", "pre_rmse")})
 
 
 @query("M6_diff_in_diff", f"""

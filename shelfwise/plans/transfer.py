@@ -419,10 +419,15 @@ def _(t):
 def _(t):
     sig = tr.window_significance(_pair_history(t), _SIG_KEYS).select(
         *_SIG_KEYS, "significant", "pct_change", "p_value")
-    z = w.tail_n(w.event_detection(t.enriched), 1).select(
-        F.col("upc").alias("donor_upc"), *MARKET_KEYS, F.col("base_units_z13").alias("z_score"))
-    evidence = rule_scored(t).join(sig, _SIG_KEYS, "left").join(
-        z, ["donor_upc", *MARKET_KEYS], "left")
+    scored = rule_scored(t)
+    # the donor's z-score in the newest week of the 13 after the launch
+    seen = w.event_detection(t.enriched).select(
+        F.col("upc").alias("donor_upc"), *MARKET_KEYS, F.col("week").alias("_week"), F.col("base_units_z13").alias("_z"))
+    launch = F.col("focal_first_week_selling")
+    z = scored.select(*_SIG_KEYS).distinct().join(seen, ["donor_upc", *MARKET_KEYS]).where(
+        F.col("_week").between(launch, F.date_add(launch, 91))
+    ).groupBy(*_SIG_KEYS).agg(F.max_by("_z", "_week").alias("z_score"))
+    evidence = scored.join(sig, _SIG_KEYS, "left").join(z, _SIG_KEYS, "left")
     return tr.assemble_events(evidence).select(
         *_cols(PAIR), "transfer_prob", "z_score", "pct_change", "confidence", "event_label")
 

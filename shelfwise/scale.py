@@ -115,7 +115,7 @@ def exact_quantiles(
     )
     counts = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     if keys:
-        joined = counts.join(brackets, keys)
+        joined = join_null_safe(counts, brackets, keys)
     else:
         # the few brackets of the whole table travel as one scalar
         packed = brackets.agg(F.collect_list(F.struct("_total", "_q")).alias("_b"))
@@ -130,7 +130,7 @@ def exact_quantiles(
         *keys, F.col("_q.name").alias("name"), F.col("_q.prob").alias("prob"), "_total", "_v", "_n"
     )
     ranked = (
-        inside.join(below, [*keys, "name"], "left")
+        join_null_safe(inside, below, [*keys, "name"], "left")
         .withColumn(
             "_upto",
             F.coalesce("_below", F.lit(0))
@@ -170,7 +170,7 @@ def running_totals(
             F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], SKETCH_ACCURACY
         ).alias("_cuts")
     )
-    placed = df.join(cuts, keys).withColumn(
+    placed = join_null_safe(df, cuts, keys).withColumn(
         "_bucket",
         F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double"))),
     ).drop("_cuts")
@@ -186,7 +186,7 @@ def running_totals(
     within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return placed.join(offsets, [*keys, "_bucket"]).select(
+    return join_null_safe(placed, offsets, [*keys, "_bucket"]).select(
         *df.columns,
         *[(F.sum(c).over(within) + F.col(f"_o_{o}")).alias(o) for o, c in amounts.items()],
     )

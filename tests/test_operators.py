@@ -312,7 +312,7 @@ def test_synthetic_control_recovers_a_mixture(spark):
         df = df.unionByName(frame(spark, v, upc=k, arp=1.0))
     focal, others = causal.treated_panel(df, {"upc": "t"}, week(0), week(20), week(29))
     donors = causal.donor_pool(others, focal, min_donors=1, min_corr=-1.0)
-    w, lift = causal.synthetic_control(others, focal, donors, steps=40)
+    w, lift = causal.synthetic_control(others, focal, donors)
     got = {r.upc: r.weight for r in w.collect()}
     assert sum(got.values()) == pytest.approx(1)
     assert got["d0"] == pytest.approx(0.6, abs=0.1)
