@@ -303,6 +303,41 @@ def test_planted_step_is_found_and_its_absence_too(spark):
     assert s.robust_verdict == "ROBUST" and s.direction_consistent and "held in all 9" in s.narrative
 
 
+def test_ramps_meet_on_the_weeks_the_launch_has_had(spark):
+    def product(upc, start, speeds):
+        speeds = [float(v) for v in speeds]
+        return frame(spark, speeds, upc=upc, weeks=range(start, start + len(speeds)), parent_brand="ME",
+                     market_excluded_flag=0, avg_weekly_units_spm=speeds, arp=2.0, pack_count=4, flavor="x",
+                     first_week_selling=week(start))
+
+    ramp = [1, 2, 4, 7, 8]
+    rows = product("new", 0, ramp).unionByName(
+        product("grew", -1500, [3 * v for v in ramp] + [60, 80, 90])
+    ).unionByName(product("faded", -1500, [8, 8, 7, 8, 8] + [0.1] * 8))
+    got = {r.analog_upc: r for r in launch.ramp_match(rows, CFG).collect()}
+    # what the analogs did later plays no part, and neither is compared with the other
+    assert {r.upc for r in got.values()} == {"new"} and set(got) == {"grew", "faded"}
+    assert got["grew"].match_rank == 1 and got["grew"].dtw == pytest.approx(0)
+
+
+def test_donor_weights_are_optimal(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.random((12, 20)) * 10, rng.random(20) * 10
+    fitted = causal.simplex_weights(x, y, np.eye(12)[0], 1e-9)
+    slope = x @ (fitted @ x - y)
+    assert fitted.min() >= 0 and fitted.sum() == pytest.approx(1)
+    # no donor lowers the error: the condition of an optimum on the simplex
+    assert slope @ fitted - slope.min() < 1e-6
+
+
+def test_quantiles_and_running_sums_keep_the_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    got = {r.k: r.m for r in scale.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+    sums = {(r.k, r.v): r.s for r in scale.running_totals(df, ["k"], "v", {"s": "v"}).collect()}
+    assert sums == {(None, 1.0): 1.0, (None, 3.0): 4.0, ("a", 5.0): 5.0}
+
+
 def test_synthetic_control_recovers_a_mixture(spark):
     rng = random.Random(7)
     d = {f"d{k}": [rng.random() * 10 for _ in range(30)] for k in range(4)}
