@@ -1,15 +1,19 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Three patterns make the base, always reported. Beyond them, every long mixed token after a
-sensitive word is a candidate. A candidate's novelty is what it adds, in compressed bytes per
-character, to its surrounding code under a compressor primed with the identifiers that the corpus
-uses around candidates: names, paths and repeated boilerplate compress away, key material does not.
+Three patterns make the base, always reported. Beyond them, every long token after a sensitive
+word is a candidate, and so are the tokens adjoining it and the body of a key block. A candidate's
+novelty is what it adds, in compressed bytes per character, to its surrounding code under a
+compressor primed with the identifiers that the corpus uses around candidates: names, paths and
+repeated boilerplate compress away, key material does not. Letters in the proportions of plain
+writing go ahead, so that words cost less than key material however short the surroundings are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Lines around the body of a key, and what may be left of the body after its last long line.
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----|-----END")
+REST = re.compile(r"(?:\\[rn]|[^A-Za-z0-9+/_=])*([A-Za-z0-9+/_=]{1,15})(?:\\[rn]|[^A-Za-z0-9+/_=])*")
 SENSITIVE = re.compile(
     r"(?:key|secret|token|passw|pwd|auth|bearer|credential|private|signature|cert|ssh|session|cookie)", re.I | re.A
 )
@@ -38,6 +45,13 @@ NEAR, AROUND = 48, 256
 DICTIONARY = 4096
 #: Compressed bytes a character adds at least.
 NOVEL = 0.7
+#: A longer value is measured in equal pieces of at most so many characters; one novel piece suffices.
+PIECE = 512
+#: Characters of plain writing in a thousand.
+PLAIN = dict(zip("etaonirshldcumfgpywbvk_-/.xjqzAEISTCRNPDMLOBF0123+=:", [
+    115, 82, 75, 68, 62, 65, 58, 56, 50, 38, 38, 29, 25, 24, 21, 19, 20, 17, 19, 14, 10, 8, 8, 6, 6, 6, 3, 2, 2, 2,
+    *[2] * 15, *[2] * 4, 1, 2, 2,
+]))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,19 +66,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, surrounding code) of tokens worth measuring, outside the base spans."""
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the bodies between a BEGIN line with a sensitive word and the next END or BEGIN line."""
+    out, opened = [], None
+    for m in ARMOUR.finditer(text):
+        if opened is not None:
+            out.append((opened, m.start()))
+        opened = m.end() if m[1] and SENSITIVE.search(m[1]) else None
+    return out
+
+
+def tokens(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, end of the key block or 0) of long tokens with a letter, in order."""
+    at = 0
+    for a, b in [*key_blocks(text), (len(text), len(text))]:
+        for lo, hi, block in ((at, a, 0), (a, b, b)):
+            for m in CANDIDATE.finditer(text, lo, hi):
+                if any(c.isalpha() for c in m.group()):
+                    yield m.start(), m.end(), block
+        at = b
+
+
+def candidates(
+    text: str, base: list[tuple[int, int, int]]
+) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """(surrounding code, [(start, end, value)]) of adjoining tokens worth measuring, outside the base spans.
+
+    The sensitive word stands before the first of them. The lines of a key block are one value.
+    """
     if not SENSITIVE.search(text):
         return
-    for m in CANDIDATE.finditer(text):
-        value = m.group()
-        if sum(c.isdigit() for c in value) < 3 or not any(c.isalpha() for c in value):
+    starts, reach = [s for s, _, _ in base], [0]
+    for _, _, e in base:
+        reach.append(max(reach[-1], e))
+    chain: list[tuple[int, int, str]] = []
+    # the last token in context, whether it is in the chain or in a base span
+    last, before = None, 0
+
+    def done():
+        s, e = chain[0][0], chain[-1][1]
+        return text[max(0, s - AROUND) : s] + text[e : e + AROUND], chain
+
+    for s, e, block in tokens(text):
+        adjoins = last is not None and not any(c.isalnum() for c in text[last:s])
+        near = SENSITIVE.search(text, max(0, s - NEAR), s)
+        if not (block or near or adjoins):
+            last = None
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        if not block and reach[bisect_left(starts, e)] > s:
+            last = e
             continue
-        if SENSITIVE.search(text, max(0, m.start() - NEAR), m.start()):
-            around = text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]
-            yield m.start(), m.end(), around
+        if block and block == before and adjoins:
+            chain[-1] = (chain[-1][0], e, chain[-1][2] + text[s:e])
+        else:
+            if chain and (block or near or not adjoins):
+                yield done()
+                chain = []
+            chain.append((s, e, text[s:e]))
+        last, before = e, block
+        if block and (rest := REST.fullmatch(text, e, block)):
+            last = rest.end(1)
+            chain[-1] = (chain[-1][0], last, chain[-1][2] + rest[1])
+    if chain:
+        yield done()
 
 
 @lru_cache(maxsize=2)
@@ -77,11 +141,26 @@ def compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=3, dict_data=primed)
 
 
+@lru_cache(maxsize=1)
+def plain() -> bytes:
+    """PLAIN twice over in a fixed shuffled order: nothing in it repeats, so only its proportions count."""
+    letters = [c for c, n in PLAIN.items() for _ in range(2 * n)]
+    random.Random(1).shuffle(letters)
+    return "".join(letters).encode()
+
+
 def novelty(value: str, around: str, dictionary: bytes) -> float:
-    """Compressed bytes that `value` adds to `around`, per character."""
+    """Compressed bytes that `value` adds to `around`, per character; the most that a piece adds.
+
+    A value without small letters counts as if written small: its case tells nothing.
+    """
     c = compressor(dictionary)
-    context = around.encode()
-    return (len(c.compress(context + b" " + value.encode())) - len(c.compress(context + b" "))) / len(value)
+    if value.upper() == value:
+        value, around = value.lower(), around.lower()
+    context = plain() + around.encode() + b" "
+    before, size = len(c.compress(context)), -(-len(value) // -(-len(value) // PIECE))
+    pieces = [value[i : i + size] for i in range(0, len(value), size)]
+    return max((len(c.compress(context + p.encode())) - before) / len(p) for p in pieces)
 
 
 def _joined(spans) -> str:
@@ -102,7 +181,8 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL) -> DataFrame:
             text = raw.decode()
             base.append(spans := base_spans(text))
             found.append([
-                {"start": s, "end": e, "value": text[s:e], "around": a} for s, e, a in candidates(text, spans)
+                {"around": a, "parts": [{"start": s, "end": e, "value": v} for s, e, v in parts]}
+                for a, parts in candidates(text, spans)
             ])
         return {
             "doc_id": batch.column(0),
@@ -113,7 +193,7 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL) -> DataFrame:
     spans = written(map_batches(
         docs.select("doc_id", "text"), scan,
         "doc_id long, base array<struct<start:long,kind:int,end:long>>, "
-        "found array<struct<start:long,end:long,value:string,around:string>>",
+        "found array<struct<around:string,parts:array<struct<start:long,end:long,value:string>>>>",
     ))
     words = spans.select(
         F.explode(F.array_distinct(F.flatten(F.transform(
@@ -130,7 +210,8 @@ def find_secrets(docs: DataFrame, novel: float = NOVEL) -> DataFrame:
         for base, found in rows:
             own = [(s["start"], s["kind"], s["end"]) for s in base]
             more = [
-                (c["start"], 3, c["end"]) for c in found if novelty(c["value"], c["around"], dictionary) >= novel
+                (p["start"], 3, p["end"])
+                for c in found for p in c["parts"] if novelty(p["value"], c["around"], dictionary) >= novel
             ]
             for k, name in enumerate(KINDS[:3]):
                 out[f"n_{name}"].append(sum(x[1] == k for x in own))
