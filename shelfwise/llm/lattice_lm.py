@@ -3,7 +3,9 @@
 The pieces of an existing subword vocabulary weight every segmentation of a word; a forward
 recursion in log space sums them, so a word's probability does not hang on one segmentation. Piece
 weights come from the corpus: the vocabulary's own segmentation of all training words, counted by
-use, then one round of expected uses over all their segmentations (forward-backward). A word seen in training adds one more arc, spanning it whole, with its corpus share.
+use, then one round of expected uses over all their segmentations (forward-backward). A word seen in
+training adds one more arc, spanning it whole, with its corpus share. The weight of these arcs against
+the pieces is the likeliest for the training words, each judged by the counts without it.
 
 All costly work is done once per distinct word. Documents then need one look-up per word: frequent
 words travel to the documents, in a table of bounded size; the others are joined by a shuffle.
@@ -33,10 +35,11 @@ HEAD = 300_000
 FLUSH = 200_000
 #: Documents whose words a task holds at once.
 SLICE = 500
-#: Share of the whole-word arcs; the rest is the lattice of pieces.
-WHOLE = 0.93
+#: Log odds of the whole-word arcs that are tried.
+ODDS = np.arange(-8, 8.01, 0.1)
 SMOOTH = 0.1
-LONGEST = 16
+#: Bytes of a piece; a vocabulary with longer ones is refused.
+LONGEST = 1024
 LN10 = float(np.log(10))
 
 
@@ -125,15 +128,18 @@ class Lattice:
     def __init__(self, path: str, uses: dict[int, int], ends: int):
         weights: dict[bytes, float] = {}
         for i, p in enumerate(vocabulary(path)[1]):
-            if p and len(p) <= LONGEST:
+            if p:
                 weights[p] = weights.get(p, 0.0) + uses.get(i, 0)
         for b in range(256):
             weights.setdefault(bytes([b]), 0.0)
+        self.longest = max(map(len, weights))
+        if self.longest > LONGEST:
+            raise ValueError(f"a piece of {self.longest} bytes")
         total = sum(weights.values()) + ends + SMOOTH * (len(weights) + 1)
         logs = {p: float(np.log((n + SMOOTH) / total)) for p, n in weights.items()}
         self.ends = ends
         self.keys, self.logs, self.begins = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, bool)]
-        for size in range(1, LONGEST + 1):
+        for size in range(1, self.longest + 1):
             of = sorted(p for p in logs if len(p) == size)
             grid = np.frombuffer(b"".join(of), np.uint8).reshape(-1, size)
             keys = np.zeros(len(of), np.uint64)
@@ -163,6 +169,9 @@ class Lattice:
         if size <= 8:
             low = low | byte << np.uint64(8 * (size - 1))
             return low, high, low
+        if size > 16:
+            high = mix64(high + byte + np.uint64(1))
+            return low, high, low ^ high
         high = high | byte << np.uint64(8 * (size - 9))
         return low, high, low ^ mix64(high)
 
@@ -185,7 +194,7 @@ class Lattice:
         n, size = grid.shape
         for end in range(1, size + 1):
             low = high = np.zeros(n, np.uint64)
-            for back in range(1, min(end, LONGEST) + 1):
+            for back in range(1, min(end, self.longest) + 1):
                 low, high, key = self._extend(low, high, grid[:, end - back], back)
                 keys = self.keys[back]
                 if not len(keys):
@@ -243,25 +252,57 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
-def word_scores(words: DataFrame, lattice: Lattice, tokens: int, kinds: int) -> DataFrame:
-    """hash, count, base and score (log10) of every distinct word."""
+def word_logs(words: DataFrame, lattice: Lattice) -> DataFrame:
+    """hash, count and the lattice's log probability of every distinct word."""
 
     def run(batch):
-        text, count = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
-        inner = np.exp(np.maximum(lattice.words(text), -700.0))
-        mixed = WHOLE * count / max(tokens, 1) + (1 - WHOLE) * inner
-        lone = lattice.words(text) / LN10 + np.log10(1 - WHOLE) if (inner < 1e-300).any() else None
-        score = np.log10(np.maximum(mixed, 1e-300))
-        if lone is not None:  # very long words, below what a double holds
-            score = np.where(mixed < 1e-300, lone, score)
-        return {
-            "hash": hashes(text).view(np.int64),
-            "count": batch.column(1),
-            "base": np.log10((count + 0.1) / (tokens + 0.1 * (kinds + 1))),
-            "score": score,
-        }
-
-    return map_batches(words.select("word", "count"), run, "hash long, count long, base double, score double")
+        text = batch.column(0).to_pylist()
+        return {"hash": hashes(text).view(np.int64), "count": batch.column(1), "inner": lattice.words(text)}
+
+    return map_batches(words.select("word", "count"), run, "hash long, count long, inner double")
+
+
+def likelihoods(count: np.ndarray, inner: np.ndarray, tokens: int) -> np.ndarray:
+    """Log likelihood of the counted words per entry of ODDS, each use judged by the counts without it."""
+    share = 1 / (1 + np.exp(-ODDS))
+    once = (count - 1) / max(tokens - 1, 1)
+    out = np.zeros(len(ODDS))
+    for i, w in enumerate(share):
+        whole = np.log(w) + np.log(once, out=np.full(len(once), -np.inf), where=once > 0)
+        out[i] = (count * np.logaddexp(whole, np.log1p(-w) + inner)).sum()
+    return out
+
+
+def whole_share(logs: DataFrame, tokens: int, ends: int, end: float) -> float:
+    """Likeliest weight of the whole-word arcs; 0 without training words."""
+    schema = logs.sparkSession.createDataFrame([], "i int, log double").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        total = np.zeros(len(ODDS))
+        for batch in batches:
+            total += likelihoods(batch.column(0).to_numpy().astype(float), batch.column(1).to_numpy(), tokens)
+        yield to_batch({"i": np.arange(len(ODDS), dtype=np.int32), "log": total}, arrow)
+
+    rows = map_arrow(logs.where("count > 0").select("count", "inner"), run, schema).collect()
+    if tokens < 2:
+        return 0.0
+    total = likelihoods(np.array([float(ends)]), np.array([end]), tokens) if ends else np.zeros(len(ODDS))
+    for x in sorted((r["i"], r["log"]) for r in rows):
+        total[x[0]] += x[1]
+    return float(1 / (1 + np.exp(-ODDS[np.argmax(total)])))
+
+
+def word_scores(logs: DataFrame, whole: float, tokens: int, kinds: int) -> DataFrame:
+    """hash, count, base and score (log10) of every distinct word."""
+    inner = F.col("inner") / LN10 + float(np.log10(1 - whole))
+    mixed = F.log10(whole * F.col("count") / max(tokens, 1) + F.pow(F.lit(10.0), F.greatest(inner, F.lit(-300.0))))
+    return logs.select(
+        "hash", "count",
+        F.log10((F.col("count") + 0.1) / (tokens + 0.1 * (kinds + 1))).alias("base"),
+        # a word without the arc may lie below what a double holds
+        (F.when(F.col("count") > 0, mixed).otherwise(inner) if whole > 0 else inner).alias("score"),
+    )
 
 
 def document_parts(docs: DataFrame, head: pa.Table) -> DataFrame:
@@ -333,7 +374,9 @@ def lattice_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokens, kinds = (sums[0] or 0) + ends, sums[1] + (ends > 0)
     lattice = Lattice(path, piece_counts(words, path), ends)
     lattice.reweigh(expected_uses(words, lattice))
-    scored = written(word_scores(words, lattice, tokens, kinds))
+    logs = written(word_logs(words, lattice))
+    whole = whole_share(logs, tokens, ends, lattice.end)
+    scored = word_scores(logs, whole, tokens, kinds)
     # the head: all words at least as frequent as the smallest count that keeps it within HEAD
     by_count = scored.where("count > 1").groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).collect()
     size, least = 0, 10_001
@@ -352,7 +395,7 @@ def lattice_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
         (F.col("uses") * F.col("base")).alias("base"), (F.col("uses") * F.col("score")).alias("score"),
     )
     end_base = float(np.log10((ends + 0.1) / (tokens + 0.1 * (kinds + 1))))
-    end_score = float(np.log10(WHOLE * ends / max(tokens, 1) + (1 - WHOLE) * np.exp(lattice.end)))
+    end_score = float(np.log10(whole * ends / max(tokens, 1) + (1 - whole) * np.exp(lattice.end)))
     per_row = parts.where("hash is null").select(rest.columns).unionAll(rest).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.sum("tokens").alias("tokens"), F.sum("known").alias("known"),
         F.sum("base").alias("base"), F.sum("score").alias("score"),

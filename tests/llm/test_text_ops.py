@@ -239,6 +239,28 @@ def test_lattice_base_scores(spark, corpus):
         assert np.isclose(r["base_score"], w[4]) and np.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_lattice_has_the_longest_pieces():
+    path = lattice_lm.default_vocabulary()
+    pieces = lattice_lm.vocabulary(path)[1]
+    i, p = max(((i, p) for i, p in enumerate(pieces) if p and p[:1] == b" "), key=lambda x: len(x[1]))
+    assert len(p) > 16
+    without, with_it = (lattice_lm.Lattice(path, uses, 5).words([p[1:]])[0] for uses in ({0: 1000}, {i: 1000}))
+    assert with_it > without + 1
+
+
+def test_whole_words_weigh_what_the_words_say(spark):
+    rng = random.Random(4)
+    # words that come back favour their own arcs, words that never do favour the pieces
+    back = [" ".join(words_of(rng, 40)) for _ in range(40)]
+    new = [" ".join("".join(rng.choices("aeionrst", k=12)) for _ in range(40)) for _ in range(40)]
+    for docs, low, high in ((back, 0.99, 1.0), (new, 0.0, 0.1)):
+        count = Counter(w for t in docs for w in t.encode().split())
+        lattice = lattice_lm.Lattice(lattice_lm.default_vocabulary(), {}, 40)
+        words = spark.createDataFrame([(bytearray(w), n) for w, n in count.items()], "word binary, count long")
+        share = lattice_lm.whole_share(lattice_lm.word_logs(words, lattice), sum(count.values()), 0, lattice.end)
+        assert low < share < high
+
+
 # 4 toxicity
 
 
