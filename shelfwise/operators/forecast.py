@@ -86,6 +86,12 @@ def holt_forecast(
     )
 
 
+def with_history(forecast: DataFrame, panel: DataFrame, min_rows: int = 52) -> DataFrame:
+    """Forecasts of series with enough rows for the model, by default its longest lag."""
+    enough = panel.groupBy(*SERIES_KEYS).count().where(F.col("count") >= min_rows)
+    return forecast.join(enough, SERIES_KEYS, "left_semi")
+
+
 def forecast_ladder(model: DataFrame, holt: DataFrame, base: DataFrame) -> DataFrame:
     """Model forecast, else trend smoothing, else recent mean, else nothing.
 

@@ -108,6 +108,16 @@ def run_batched(fn: Callable[[date, date], DataFrame], ranges: Sequence[tuple[da
     return out
 
 
+def year_ranges(df: DataFrame, years: int = 2) -> list[tuple[date, date]]:
+    """Ranges of whole years (end exclusive) that hold every row of `df`."""
+    low, high, lost = df.agg(F.min("week"), F.max("week"), F.count_if(F.col("week").isNull())).first()
+    if lost:
+        raise ValueError(f"{lost} rows without a week are in no range")
+    if low is None:
+        return [(date.min, date.max)]
+    return [(date(y, 1, 1), date(y + years, 1, 1)) for y in range(low.year, high.year + 1, years)]
+
+
 # ---------------------------------------------------------------- snapshots and duplicates
 
 

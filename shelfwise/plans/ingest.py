@@ -96,8 +96,7 @@ def _(t):
 
 @query("A8_run_batched", "SELECT year(week) AS yr, count(*) AS pairs FROM c_pool GROUP BY 1")
 def _(t):
-    years = [(dt.date(y, 1, 1), dt.date(y + 2, 1, 1)) for y in (1995, 1997, 1999, 2001)]
-    pools = ing.run_batched(lambda a, b: comparison_pool(t.enriched, t.cfg, a, b), years)
+    pools = ing.run_batched(lambda a, b: comparison_pool(t.enriched, t.cfg, a, b), ing.year_ranges(t.enriched))
     return pools.groupBy(F.year("week").alias("yr")).agg(F.count(F.lit(1)).alias("pairs"))
 
 

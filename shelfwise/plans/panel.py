@@ -545,7 +545,7 @@ def _(t):
 
 @query("J15_forecast_ladder")
 def _(t):
-    model = _recursion(t).where(F.col("upc") != "SKU-03")
+    model = fo.with_history(_recursion(t), own(t))
     holt = fo.holt_forecast(own(t), min_rows=40)
     return fo.forecast_ladder(model, holt, fo.baselines(own(t)))
 

@@ -450,3 +450,21 @@ def test_pack_labels(spark):
 
 def test_series_keys_cover_market():
     assert SERIES_KEYS == ["upc", *MARKET_KEYS]
+
+
+def test_year_ranges_hold_every_week(spark):
+    weeks = [dt.date(1989, 12, 25), dt.date(1996, 5, 6), dt.date(2007, 1, 1)]
+    ranges = ingest.year_ranges(spark.createDataFrame([(w,) for w in weeks], "week date"))
+    assert all(sum(a <= w < b for a, b in ranges) == 1 for w in weeks)
+    with pytest.raises(ValueError):
+        ingest.year_ranges(spark.createDataFrame([(weeks[0],), (None,)], "week date"))
+
+
+def test_ladder_takes_the_model_where_history_reaches(spark):
+    rows = frame(spark, [10.0 + i % 7 for i in range(60)], upc="SKU-03").unionByName(
+        frame(spark, [10.0 + i % 7 for i in range(45)], upc="SKU-04"))
+    model = forecast.with_history(forecast.recursive_forecast(rows, forecast.lag_rule({1: 1.0})), rows)
+    got = forecast.forecast_ladder(
+        model, forecast.holt_forecast(rows, min_rows=40), forecast.baselines(rows)
+    ).groupBy("upc", "forecast_source").count().collect()
+    assert sorted(map(tuple, got)) == [("SKU-03", "model", 13), ("SKU-04", "ets", 13)]
