@@ -17,7 +17,7 @@ from shelfwise.llm.text import map_arrow, map_batches, texts
 
 #: Edits per character of an item.
 RATE = 1 / 16
-#: Shorter items (normalised) are only met by a text that is nothing else.
+#: Shorter items (normalised) are only met exactly: between word borders, or a single word by a text that is nothing else.
 MIN_CHARS = 24
 #: Characters of items that a task matches at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 1_000_000
@@ -65,13 +65,13 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items, self.whole = [], {}
+        self.items, self.whole, short = [], {}, {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text)
             if len(t) < MIN_CHARS:
                 if t:
-                    self.whole.setdefault(t, []).append(item_id)
+                    (short if " " in t else self.whole).setdefault(t, []).append(item_id)
                 continue
             k = int(len(t) * rate)
             at = [len(t) * i // (k + 1) for i in range(k + 2)]
@@ -79,12 +79,17 @@ class Matcher:
                 places.setdefault(t[a:b], []).append((len(self.items), a))
             self.items.append((item_id, t, k, bits(t), bits(t[::-1])))
         self.pieces = ahocorasick.Automaton()
-        for piece, where in places.items():
-            self.pieces.add_word(piece, (len(piece), where))
-        self.any = bool(places)
+        for piece in places.keys() | short.keys():
+            self.pieces.add_word(piece, (len(piece), places.get(piece, ()), short.get(piece, ())))
+        self.any = bool(places or short)
         if self.any:
             self.pieces.make_automaton()
 
+    @staticmethod
+    def _apart(t: str, at: int) -> bool:
+        """Whether no word runs across this place."""
+        return not (0 < at < len(t) and t[at - 1].isalnum() and t[at].isalnum())
+
     def search(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best place of each item within its budget."""
         t = normal(text)
@@ -93,7 +98,13 @@ class Matcher:
         if not self.any:
             return
         starts: dict[int, set[int]] = {}
-        for last, (size, where) in self.pieces.iter(t):
+        met: set[str] = set()
+        for last, (size, where, short) in self.pieces.iter(t):
+            a, b = last + 1 - size, last + 1
+            if short and t[a:b] not in met and self._apart(t, a) and self._apart(t, b):
+                met.add(t[a:b])
+                for item_id in short:
+                    yield item_id, 0, a, b
             for item, offset in where:
                 starts.setdefault(item, set()).add(last + 1 - size - offset)
         for item, found in starts.items():
@@ -133,7 +144,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     """One row per document and item it contains: doc_id, item_id, distance, start, end.
 
     Places are in the normalised text (lower case, white space folded), the least distance first,
-    then the earliest. Null and empty texts and items match nothing; a repeated document or item
+    then the earliest. Items under MIN_CHARS are met exactly,
+    between word borders; a single word only where the text is nothing else. Null and empty texts and items match nothing; a repeated document or item
     matches each time. `docs` needs doc_id and text, `benchmark` item_id and text.
     """
     out = None

@@ -303,6 +303,15 @@ def test_toxic_documents(spark):
 # 5 decontamination
 
 
+def test_short_items_in_longer_texts(spark):
+    bench = spark.createDataFrame([(1, "What is 7 + 5?"), (2, "two plus two"), (3, "Two  plus two")], "item_id long, text string")
+    texts = ["Q: what is\n7 + 5? A: 12", "what is 7 + 5?", "two plus twofold, then two plus two.", "what is 17 + 5?", "two plus twofold"]
+    docs = frame(spark, texts)
+    hits = decontaminate.benchmark_hits(docs, bench).collect()
+    assert sorted(map(tuple, hits)) == [(0, 1, 0, 3, 17), (1, 1, 0, 0, 14), (2, 2, 0, 23, 35), (2, 3, 0, 23, 35)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
+
+
 def test_myers():
     rng = random.Random(7)
 
