@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm.decontaminate import benchmark_hits
+from shelfwise.llm.hard_negatives import hard_negatives
 from shelfwise.llm.host_rules import host_quality
 from shelfwise.llm.lattice_lm import lattice_scores
+from shelfwise.llm.line_dedup import drop_common_lines
 from shelfwise.llm.ngram_join import ngram_jaccard_components
 from shelfwise.llm.packing import pack_documents
 from shelfwise.llm.pii import find_pii
 from shelfwise.llm.quality_gbdt import quality_scores
+from shelfwise.llm.ranked_search import ranked_documents
 from shelfwise.llm.secrets import find_secrets
 from shelfwise.llm.sharding import extendible_shards
 from shelfwise.llm.text import table
@@ -143,6 +146,77 @@ SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), CAST(d AS INTE
 FROM t JOIN leaf ON leaf.p = t.h >> (60 - leaf.d)
 """
 
+
+def op11_levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: A line less the white space at its ends, A-Z lowered, as DuckDB.
+SQL_LINE_KEY = r"translate(regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (
+  SELECT r, doc_id, i, line, {SQL_LINE_KEY.format("line")} AS k
+  FROM (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM t)),
+c AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN c ON l.k = c.k GROUP BY l.r, l.doc_id
+"""
+
+
+def op12_strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, label, scale=256, positives=5, negatives=5, low=80, high=100)
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
+def op13_rmq_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: Maximal runs of letters, digits and anything beyond ASCII, A-Z lowered, as DuckDB.
+SQL_TERMS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {SQL_TERMS.format("text")} AS w FROM documents),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({SQL_TERMS.format("text")}) AS term FROM benchmark),
+s AS MATERIALIZED (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+wt AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, s GROUP BY term, n_docs),
+m AS MATERIALIZED (SELECT r, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_terms AS m FROM t, s WHERE len(w) > 0),
+sc AS MATERIALIZED (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM sc WHERE score > 0 QUALIFY rank <= 10
+"""
+
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_zstd_secret_scan": op2_zstd_secret_scan,
@@ -154,12 +228,18 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weak_supervision_pii": op8_weak_supervision_pii,
     "op9_host_rules": op9_host_rules,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_levelled_line_dedup": op11_levelled_line_dedup,
+    "op12_strassen_hard_negatives": op12_strassen_hard_negatives,
+    "op13_rmq_ranked_search": op13_rmq_ranked_search,
 }
 
 _SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op9_host_rules": OP9_SQL,
     "op10_extendible_sharding": OP10_SQL,
+    "op11_levelled_line_dedup": OP11_SQL,
+    "op12_strassen_hard_negatives": OP12_SQL,
+    "op13_rmq_ranked_search": OP13_SQL,
 }
 
 
