@@ -16,9 +16,17 @@ columns.
 3. The rest are multiplied exactly, stripe by stripe, and dropped as soon as the count so far plus
    what is left cannot reach the bound.
 
-Groups of near copies are not expanded to all pairs: the first round multiplies a spanning forest
-of each agreeing group, the second every surviving pair between components that are still apart.
-Together they find every component exactly. Rows with equal sets are one row from the start.
+Groups of near copies are not expanded to all pairs. Rows of a block meet in parts of bounded size, and
+no step gives more rows than it takes:
+
+* the first round multiplies a spanning forest of each part, the second one of the components' smallest
+  rows, which joins the parts;
+* rows that could still link with another component of their block (by pairs of parts) are named, not
+  their pairs. Only their sets are brought to the block, in tiles of bounded bytes that meet pairwise, are
+  multiplied there, and each tile gives a spanning forest of links that hold.
+
+Together they find every component exactly. Rows with equal sets are one row from the start. Templated
+texts whose pairs all lie just beyond the bound still cost a comparison each, in memory, spread over tiles.
 
 N-grams are compared by 64-bit hash: with a billion distinct sets, odds of one wrong merge are
 about 3 percent.
@@ -31,9 +39,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from shelfwise.llm.text import keep_ids, map_arrow, map_batches, mix64, texts, to_batch
 from shelfwise.scale import written
@@ -42,6 +51,11 @@ from shelfwise.scale import written
 CELLS, PER_CELL = 32, 12
 PARITIES = 512
 STRIPES = 16
+#: Rows of a block that meet in one task, and n-grams of a tile's side.
+PART = 2048
+TILE_GRAMS = 2_000_000
+#: Rows of an output batch, about.
+OUT_ROWS = 10_000
 #: Block hashes a task gathers before it deals them out, and that a stripe holds on average.
 FLUSH = 1_000_000
 PER_STRIPE = 2_000_000
@@ -229,123 +243,166 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: in
     return written(found.dropDuplicates(["set_id"]))
 
 
-def surviving_pairs(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs within each block that pass both bounds: a spanning forest, or all between components.
+def in_parts(rows: DataFrame, weight: Column, limit: int, pairwise: bool) -> DataFrame:
+    """Rows with `cell` (long) and `part`: blocks of more than `limit` weight are cut into parts by id.
+
+    A cell is a part or, `pairwise`, two of them; the rows then come once for each part of their block.
+    Cells are named by hash: should two ever share a name, rows only meet more rows than needed.
+    """
+    heavy = rows.groupBy("block").agg(F.sum(weight).alias("_w")).where(F.col("_w") > limit)
+    cut = rows.join(heavy.select("block", F.ceil(F.col("_w") / limit).cast("int").alias("_n")), "block", "left").withColumn(
+        "_n", F.coalesce("_n", F.lit(1)))
+    part = F.pmod(F.xxhash64("set_id"), F.col("_n")).cast("int")
+    cut = cut.withColumn("part", part)
+    if not pairwise:
+        return cut.withColumn("cell", F.xxhash64("block", "part")).drop("_n")
+    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    return cut.withColumn("_o", other).withColumn(
+        "cell", F.xxhash64("block", F.least("part", "_o"), F.greatest("part", "_o"))).drop("_n", "_o")
+
+
+def by_cell(rows: DataFrame, work, schema: StructType) -> DataFrame:
+    """What `work(columns)` finds in the rows of each cell: two arrays of longs, or None. `cell` is the first column."""
+    arrow = to_arrow_schema(schema)
+
+    def arrays(batch):
+        out = []
+        for c in batch.columns:
+            if pa.types.is_binary(c.type):
+                own = np.empty(len(c), object)
+                own[:] = c.to_pylist()
+                out.append(own)
+            else:
+                out.append(c.to_numpy())
+        return out
+
+    def complete(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = arrays(batch)
+            cell = columns[0]
+            edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            for x, y in zip(edges[:-1], edges[1:]):
+                if held and held[-1][0][0] != cell[x]:
+                    yield [np.concatenate(c) for c in zip(*held)]
+                    held = []
+                held.append([c[x:y] for c in columns])
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    def run(batches):
+        out, size = [], 0
+
+        def flush():
+            return to_batch(dict(zip(arrow.names, map(np.concatenate, zip(*out)))), arrow)
+
+        for columns in complete(batches):
+            found = work(columns) if len(columns[0]) > 1 else None
+            if found is not None:
+                out.append(found)
+                size += len(found[0])
+                if size >= OUT_ROWS:
+                    yield flush()
+                    out, size = [], 0
+        if out:
+            yield flush()
+
+    return map_arrow(rows.repartition("cell").sortWithinPartitions("cell"), run, schema)
+
 
-    `members` has block, set_id, size, cells, component. One block's rows take a hundred bytes
-    and a twelfth of their columns each in a task; distances are taken a row at a time, so memory stays linear in the group.
+def passing(i, j, sizes: np.ndarray, sig: tuple, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows j row i may link with by both bounds, and their distances at least."""
+    low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    odd, counts = sig
+    apart = np.abs(counts[j] - counts[i]).sum(axis=-1)
+    apart = np.maximum(apart, np.bitwise_count(odd[j] ^ odd[i]).sum(axis=-1, dtype=np.int64))
+    return (low * den >= high * num) & (apart <= (low + high) * (den - num) // (den + num)), apart
+
+
+def spanning_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a spanning forest of the pairs within each cell that pass both bounds.
+
+    `members` has cell, set_id, size, cells.
     """
     out = members.sparkSession.createDataFrame([], "a long, b long").schema
-    arrow = to_arrow_schema(out)
-    gap, whole = den - num, den + num
-
-    def passing(i, j, ids, sizes, sig):
-        """Which rows j row i may link with, and their distances."""
-        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        odd, counts = sig
-        apart = np.abs(counts[j] - counts[i]).sum(axis=-1)
-        apart = np.maximum(apart, np.bitwise_count(odd[j] ^ odd[i]).sum(axis=-1, dtype=np.int64))
-        return (low * den >= high * num) & (apart <= (low + high) * gap // whole), apart
-
-    def spanning(ids, sizes, sig):
-        """Prim's forest over passing pairs, nearest first.
-
-        Ties go to the pair with the smallest id, so that blocks with many rows in common choose
-        the same pairs.
-        """
+
+    def forest(columns):
+        """Prim's, nearest first. Ties go to the pair with the smallest id, so that cells with many
+        rows in common choose the same pairs."""
+        _, ids, sizes, sig = columns
+        sig = aligned(sig)
         rest, new = np.arange(1, len(ids)), 0
         best = np.full(len(ids) - 1, np.iinfo(np.int64).max)
         link = np.zeros(len(ids) - 1, np.int64)
+        a, b = [], []
         while len(rest):
-            ok, apart = passing(new, rest, ids, sizes, sig)
+            ok, apart = passing(new, rest, sizes, sig, num, den)
             far = (apart << 32) + (np.minimum(ids[new], ids[rest]) >> 32) + (1 << 31)
             nearer = ok & (far < best)
             best[nearer], link[nearer] = far[nearer], new
             at = int(best.argmin())
             new = int(rest[at])
             if best[at] < np.iinfo(np.int64).max:
-                yield int(link[at]), new
+                a.append(ids[link[at]])
+                b.append(ids[new])
             left = np.arange(len(rest)) != at
             rest, best, link = rest[left], best[left], link[left]
+        return (np.minimum(a, b), np.maximum(a, b)) if a else None
 
-    def across(ids, sizes, sig, component):
+    return by_cell(members.select("cell", "set_id", "size", "cells"), forest, out).distinct()
+
+
+def contested(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, set_id) of rows that pass both bounds with a row of another component of their block.
+
+    `members` has block, set_id, size, cells, component. At most as many rows as come in.
+    """
+    out = members.sparkSession.createDataFrame([], "block long, set_id long").schema
+
+    def named(columns):
+        _, block, ids, sizes, sig, component, part = columns
+        if (component == component[0]).all():
+            return None
+        sig = aligned(sig)
+        hit = np.zeros(len(ids), bool)
+        two = (part != part[0]).any()
         for i in range(len(ids) - 1):
             j = np.arange(i + 1, len(ids))
-            j = j[component[j] != component[i]]
+            # two parts: rows of one part meet in that part's own cell
+            j = j[(component[j] != component[i]) & ((part[j] != part[i]) | ~two)]
             if len(j):
-                for k in j[passing(i, j, ids, sizes, sig)[0]]:
-                    yield i, int(k)
-
-    def pairs(block, ids, sizes, sig, component):
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        counts = np.diff(edges)
-        a, b = [], []
-        two = edges[:-1][counts == 2]
-        two = two[component[two] != component[two + 1]]
-        longest = np.fromiter(map(len, sig), np.int64, len(sig))
-        coarse = np.minimum(longest[two], longest[two + 1])
-        for size in np.unique(coarse):
-            x = two[coarse == size]
-            at, half = np.concatenate([x, x + 1]), np.arange(len(x))
-            ok = passing(half, half + len(x), ids[at], sizes[at], aligned(sig[at]))[0]
-            a.append(ids[x[ok]])
-            b.append(ids[x[ok] + 1])
-        for s, c in zip(edges[:-1][counts > 2], counts[counts > 2]):
-            own = slice(s, s + c)
-            part = component[own]
-            if (part == part[0]).all():
-                continue
-            rows = ids[own], sizes[own], aligned(sig[own])
-            found = list(spanning(*rows) if forest else across(*rows, part))
-            if found:
-                at = np.array(found) + s
-                a.append(ids[at[:, 0]])
-                b.append(ids[at[:, 1]])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        return to_batch({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}, arrow)
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block, ids, sizes, component = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            sig = np.empty(batch.num_rows, object)
-            sig[:] = batch.column(3).to_pylist()
-            now = [block, ids, sizes, sig, component]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last block may go on
-            if cut:
-                yield pairs(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield pairs(*held)
-
-    rows = members.select("block", "set_id", "size", "cells", "component")
-    return map_arrow(rows.repartition("block").sortWithinPartitions("block"), run, out).distinct()
+                ok = j[passing(i, j, sizes, sig, num, den)[0]]
+                hit[ok] = True
+                hit[i] |= len(ok) > 0
+        return block[hit], ids[hit]
+
+    met = in_parts(members, F.lit(1), PART, True)
+    return by_cell(met.select("cell", "block", "set_id", "size", "cells", "component", "part"), named, out).distinct()
+
+
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets overlap enough, counted stripe by stripe until it cannot be."""
+    need = -(-num * (len(x) + len(y)) // (num + den))
+    step = np.linspace(0, 2**64 - 1, STRIPES + 1)[1:-1].astype(np.uint64)
+    ex, ey = (np.r_[0, np.searchsorted(v, step), len(v)] for v in (x, y))
+    overlap, left = 0, np.minimum(len(x) - ex, len(y) - ey)
+    for k in range(STRIPES):
+        if overlap + left[k] < need:
+            return False
+        both = np.concatenate([x[ex[k] : ex[k + 1]], y[ey[k] : ey[k + 1]]])
+        both.sort()
+        overlap += int((both[1:] == both[:-1]).sum())
+    return overlap >= need
 
 
 def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose exact overlap reaches the bound, counted stripe by stripe."""
-
-    def linked(x: np.ndarray, y: np.ndarray) -> bool:
-        need = -(-num * (len(x) + len(y)) // (num + den))
-        step = np.linspace(0, 2**64 - 1, STRIPES + 1)[1:-1].astype(np.uint64)
-        ex, ey = (np.r_[0, np.searchsorted(v, step), len(v)] for v in (x, y))
-        overlap = 0
-        for k in range(STRIPES):
-            if overlap + min(len(x) - ex[k], len(y) - ey[k]) < need:
-                return False
-            both = np.concatenate([x[ex[k] : ex[k + 1]], y[ey[k] : ey[k + 1]]])
-            both.sort()
-            overlap += int((both[1:] == both[:-1]).sum())
-        return overlap >= need
+    """Pairs whose exact overlap reaches the bound."""
 
     def run(batch):
         keep = [
-            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
         ]
         kept = pa.array(keep, pa.bool_())
@@ -356,6 +413,43 @@ def links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that hold between components of a block; of each tile a spanning forest.
+
+    `rows` has block, set_id, size, grams, component. A tile gives fewer rows than it takes.
+    """
+    out = rows.sparkSession.createDataFrame([], "a long, b long").schema
+
+    def forest(columns):
+        _, ids, sizes, grams, component = columns
+        names, root = np.unique(component, return_inverse=True)
+        if len(names) == 1:
+            return None
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        sig = aligned([cells(s) for s in sets])
+        i, j, apart = [], [], []
+        for k in range(len(ids) - 1):
+            rest = np.arange(k + 1, len(ids))
+            rest = rest[root[rest] != root[k]]
+            if len(rest):
+                ok, far = passing(k, rest, sizes, sig, num, den)
+                j.append(rest[ok])
+                i.append(np.full(ok.sum(), k))
+                apart.append(far[ok])
+        i, j, apart = map(np.concatenate, (i, j, apart))
+        a, b = [], []
+        for at in np.argsort(apart, kind="stable"):
+            x, y = int(i[at]), int(j[at])
+            if root[x] != root[y] and linked(sets[x], sets[y], num, den):
+                a.append(ids[x])
+                b.append(ids[y])
+                root[root == root[y]] = root[x]
+        return (np.array(a), np.array(b)) if a else None
+
+    met = in_parts(rows, F.col("size"), TILE_GRAMS, True)
+    return by_cell(met.select("cell", "set_id", "size", "grams", "component"), forest, out)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node each node reaches, by alternating star contractions."""
 
@@ -408,20 +502,36 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     sets = candidate_sets(docs, classes, agree, n, "cells")
     members = written(agree.join(sets, "set_id"))
 
-    def linked(rows: DataFrame, forest: bool) -> DataFrame:
+    def held(cells_of: DataFrame) -> DataFrame:
         # only rows of pairs within the bounds are multiplied, so only theirs are written as sets
-        pairs = written(surviving_pairs(rows, num, den, forest))
+        pairs = written(spanning_pairs(cells_of, num, den))
         named = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b"))
         return written(links(pairs, candidate_sets(docs, classes, named, n, "grams"), num, den))
 
-    first = linked(members.withColumn("component", F.col("set_id")), True)
-    roots = components(first)
-    apart = members.join(roots, members["set_id"] == roots["node"], "left").select(
-        members["*"], F.coalesce("root", "set_id").alias("component")
-    )
-    second = linked(apart, False)
-    if not second.isEmpty():
-        roots = components(first.unionAll(second))
+    def apart(roots: DataFrame) -> DataFrame:
+        """Rows of blocks that still hold several components, with theirs."""
+        now = members.join(roots, members["set_id"] == roots["node"], "left").select(
+            members["*"], F.coalesce("root", "set_id").alias("component"))
+        split = now.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+        return written(now.join(split.select("block"), "block", "left_semi"))
+
+    found = held(in_parts(members, F.lit(1), PART, False))
+    roots = components(found)
+    rest = apart(roots)
+    if not rest.isEmpty():
+        first = F.min(F.struct("set_id", "size", "cells")).alias("_f")
+        ends = rest.groupBy("block", "component").agg(first).select("block", "_f.*")
+        more = held(in_parts(ends, F.lit(1), PART, False))
+        if not more.isEmpty():
+            found = written(found.unionAll(more))
+            roots = components(found)
+            rest = apart(roots)
+        named = written(contested(rest, num, den))
+        grams = candidate_sets(docs, classes, named, n, "grams").select("set_id", "size", "grams")
+        component = rest.select("block", "set_id", "component")
+        last = written(joining_links(named.join(component, ["block", "set_id"]).join(grams, "set_id"), num, den))
+        if not last.isEmpty():
+            roots = components(found.unionAll(last))
     placed = classes.join(roots, classes["set_id"] == roots["node"], "left").select(
         "set_id", "first_id", "n_class", F.coalesce("root", "set_id").alias("root")
     )

@@ -113,6 +113,47 @@ def test_ngram_components(spark, corpus, n, num):
     assert rows == sorted(map(str, brute_components(corpus, ids, n, num, 100)))
 
 
+@pytest.mark.parametrize("part,tile", [(2048, 2_000_000), (7, 1500)])  # a block in one part, and in several
+@pytest.mark.parametrize("edits", [4, 6])  # pairs mostly within the bound, and mostly just beyond it
+def test_templated_texts(spark, monkeypatch, part, tile, edits):
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "TILE_GRAMS", tile)
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(300), edits):
+            w[at] = f"e{k}x{at}"
+        texts.append(" ".join(w))
+    got = ngram_join.ngram_jaccard_components(frame(spark, texts).repartition(3), 5, 80, 100)
+    want = brute_components(texts, list(range(60)), 5, 80, 100)
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == sorted(want)
+    assert 1 < len({c for _, _, c in want}) or edits == 4
+
+
+def test_no_step_of_a_group_gives_more_rows_than_it_takes(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(200):
+        w = list(base)
+        for at in rng.sample(range(400), 8):
+            w[at] = f"e{k}x{at}"
+        texts.append(" ".join(w))
+    sets = [ngram_join.ngram_set(t.encode(), 5) for t in texts]
+    ids = [ngram_join.set_id(x) for x in sets]
+    rows = spark.createDataFrame(
+        [(1, i, len(x), bytearray(ngram_join.cells(x)), i, bytearray(x.tobytes())) for i, x in zip(ids, sets)],
+        "block long, set_id long, size long, cells binary, component long, grams binary")
+    assert ngram_join.spanning_pairs(ngram_join.in_parts(rows, F.lit(1), 50, False), 80, 100).count() < 200
+    assert ngram_join.contested(rows, 80, 100).count() <= 200
+    found = {tuple(r) for r in ngram_join.joining_links(rows, 80, 100).collect()}
+    assert len(found) < 200
+    by_id = dict(zip(ids, sets))
+    assert all(ngram_join.linked(by_id[a], by_id[b], 80, 100) for a, b in found)
+
+
 def test_a_row_without_id_links_its_neighbours(spark):
     words = [f"w{i}" for i in range(200)]
     edit = lambda a, b: " ".join(w + "x" * (a <= i < b) for i, w in enumerate(words))
