@@ -15,8 +15,8 @@ Several intervals are split at a time, so that the lookups are numpy calls over
 Documents of a block lie in an order that makes intervals alike: by their commonest query term (which
 tells languages and subjects apart), then by total impact.
 
-Documents travel as postings of query terms only. Queries come to every block after its postings, one by
-one, so that neither the documents nor the queries have to fit a task, the driver or a broadcast.
+Documents travel as postings of query terms only. Queries come to every block after its postings, in groups
+of a few thousand, so that neither the documents nor the queries have to fit a task, the driver or a broadcast.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BLOCK_ROWS = 8192
 #: (interval, term) pairs looked up at once.
 LOOKUPS = 1 << 15
+#: Queries whose terms a task holds at once, about.
+ITEMS = 4096
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -74,28 +76,28 @@ class BlockIndex:
         self.lowest = self._tables(self.rank, self.size, np.less_equal)
 
     @staticmethod
-    def _tables(values: np.ndarray, longest: int, better) -> list[np.ndarray]:
-        """Per level j, the place of the best of 2**j values; the leftmost of equal ones."""
+    def _tables(values: np.ndarray, longest: int, better) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Level j holds the place of the best of 2**j values, the leftmost of equal ones; the levels lie
+        one after the other. Also where each level starts, and floor(log2) of lengths up to `longest`."""
         tables = [np.arange(len(values), dtype=np.int32)]
         width = 1
         while 2 * width <= longest:
             a, b = tables[-1][:-width], tables[-1][width:]
             tables.append(np.where(better(values[a], values[b]), a, b))
             width *= 2
-        return tables
+        start = np.cumsum([0, *map(len, tables[:-1])])
+        return np.concatenate(tables), start, np.frexp(np.arange(longest + 1))[1] - 1
 
     @staticmethod
     def _best(tables, values, lo, hi, better) -> np.ndarray:
         """Place of the best value of every run [lo, hi); where a run is empty, any place."""
-        length = np.maximum(hi - lo, 1)
-        level = np.frexp(length)[1] - 1  # floor(log2)
-        out = np.zeros(lo.shape, np.int64)
-        for j in np.unique(level):
-            at = level == j
-            a = tables[j][np.minimum(lo[at], len(tables[j]) - 1)]
-            b = tables[j][np.clip(hi[at] - (1 << int(j)), 0, len(tables[j]) - 1)]
-            out[at] = np.where(better(values[a], values[b]), a, b)
-        return out
+        flat, start, log = tables
+        lo = np.minimum(lo, len(values) - 1)
+        hi = np.maximum(hi, lo + 1)
+        level = log[hi - lo]
+        first = start[level]
+        a, b = flat[first + lo], flat[first + hi - (1 << level)]
+        return np.where(better(values[a], values[b]), a, b)
 
     def search(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best documents with a score above 0."""
@@ -200,43 +202,61 @@ def ranked_documents(docs: DataFrame, items: DataFrame, k: int = 10, b: int = 90
     blocks = max(1, -(-documents // block_rows))
     scored = (
         postings.join(weights, "term_id").withColumn("m", m)
-        .select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "term_id", "row", "doc_id", impact.alias("impact"))
+        .select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("group"), "term_id", "row", "doc_id", impact.alias("impact"))
         .where("impact > 0")
     )
-    asked = wanted.join(names, "term").join(weights.select("term_id"), "term_id").groupBy("item_id").agg(F.collect_set("term_id").alias("terms"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    cells = scored.withColumns({"item_id": F.lit(None).cast("long"), "terms": F.lit(None).cast("array<long>")}).unionByName(
-        asked.select(every, F.lit(1).alias("kind"), "item_id", "terms"), allowMissingColumns=True)
-    placed = cells.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
+    asked = wanted.join(names, "term").join(weights.select("term_id"), "term_id").withColumn("item", F.xxhash64("item_id"))
+    item_groups = 1 + items.count() // ITEMS
+    group = 1 + F.pmod("item", F.lit(item_groups)).cast("int")
+    asked = asked.select(every, group.alias("group"), "term_id", "item", "item_id")
+    # one long tells block, kind and group of queries: rows sort by it alone; postings have group 0
+    groups = 1 + item_groups
+    key = (F.col("block").cast("long") * groups + F.col("group")).alias("key")
+    cells = scored.select("block", key, "term_id", "row", "doc_id", "impact").unionAll(
+        asked.select("block", key, "term_id", "item", "item_id", F.lit(0).cast("long")))
+    placed = cells.repartitionById(blocks, F.col("block")).drop("block").sortWithinPartitions("key")
     out = spark.createDataFrame([], "item_id long, doc_id long, score long").schema
     arrow = to_arrow_schema(out)
 
+    def answers(index, terms, item, item_id):
+        order = np.argsort(item, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0, True])
+        for x, y in zip(edges[:-1], edges[1:]):
+            places, scores = index.search(np.sort(terms[order[x:y]]), k)
+            ids, asker = index.doc_id[places], np.repeat(item_id[order[x]], len(places))
+            yield to_batch({
+                "item_id": pa.array(asker, mask=asker == NO_ID),
+                "doc_id": pa.array(ids, mask=ids == NO_ID),
+                "score": pa.array(scores),
+            }, arrow)
+
     def run(batches):
         now, held, index = None, [], None
+
+        def done():
+            """The rows of one key are complete: a block's postings, or a group of its queries."""
+            nonlocal index
+            columns = list(map(np.concatenate, zip(*held)))
+            if now % groups == 0:
+                index = (now // groups, BlockIndex(*columns))
+            elif index is not None and index[0] == now // groups:
+                yield from answers(index[1], *columns[:3])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), True])
+            key = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            columns = [batch.column(i).fill_null(NO_ID).to_numpy() for i in (1, 2, 3, 4)]
             for x, y in zip(edges[:-1], edges[1:]):
-                part = batch.slice(x, y - x)
-                if block[x] != now:
-                    now, held, index = block[x], [], None
-                if kind[x] == 0:
-                    held.append([part.column(i).fill_null(NO_ID).to_numpy() for i in (2, 3, 4, 5)])
-                    continue
-                if held:
-                    index, held = BlockIndex(*map(np.concatenate, zip(*held))), []
-                if index is None:
-                    continue
-                answers = [index.search(np.array(t, np.int64), k) for t in part.column(7).to_pylist()]
-                found = np.concatenate([at for at, _ in answers])
-                ids = index.doc_id[found]
-                yield to_batch({
-                    "item_id": part.column(6).take(pa.array(np.repeat(np.arange(len(answers)), [len(at) for at, _ in answers]))),
-                    "doc_id": pa.array(ids, mask=ids == NO_ID),
-                    "score": pa.array(np.concatenate([s for _, s in answers])),
-                }, arrow)
+                if held and key[x] != now:
+                    yield from done()
+                    held = []
+                now = int(key[x])
+                held.append([c[x:y] for c in columns])
+        if held:
+            yield from done()
 
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return map_arrow(placed, run, out).withColumn("rank", place).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

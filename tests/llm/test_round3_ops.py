@@ -163,6 +163,7 @@ def brute_ranks(docs, items, k=10):
 @pytest.mark.parametrize("block_rows,lookups", [(8192, 1 << 15), (37, 8), (1, 1)])
 def test_ranked_documents(spark, monkeypatch, block_rows, lookups):
     monkeypatch.setattr(rs, "LOOKUPS", lookups)
+    monkeypatch.setattr(rs, "ITEMS", max(3, lookups))
     rng = random.Random(13)
     texts = [" ".join(words_of(rng, rng.randrange(1, 60), 50)) for _ in range(70 if block_rows > 1 else 20)]
     texts += texts[:8] * 3 + [None, "", ".,;", "W1-w1 É é", "w3 " * 30_000, " ".join(f"u{i} w{i % 50}" for i in range(20_000))]
