@@ -22,7 +22,7 @@ no step gives more rows than it takes:
 * the first round multiplies a spanning forest of each part, the second one of the components' smallest
   rows, which joins the parts;
 * rows that could still link with another component of their block (by pairs of parts) are named, not
-  their pairs. Only their sets are brought to the block, in tiles of bounded bytes that meet pairwise, are
+  their pairs; those named are compared once more by finer parities. Only the sets that are left are brought to the block, in tiles of bounded bytes that meet pairwise, are
   multiplied there, and each tile gives a spanning forest of links that hold.
 
 Together they find every component exactly. Rows with equal sets are one row from the start. Templated
@@ -130,6 +130,25 @@ def aligned(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odd, np.stack(counts)
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """Parity bits of a power of two of cells, four or more to a column: almost the whole difference shows."""
+    size = 512
+    while size < 4 * len(grams):
+        size *= 2
+    odd = np.bincount((grams >> np.uint64(17)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def aligned_parities(signatures) -> tuple[np.ndarray, np.ndarray]:
+    """Parity words folded to the coarsest row's cells; no counts."""
+    size = min(map(len, signatures)) // 8
+    odd = [np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size), axis=0) for s in signatures]
+    return np.stack(odd), np.zeros((len(odd), 1), np.int64)
+
+
+SIGNATURES = {"cells": (cells, aligned), "parities": (parities, aligned_parities)}
+
+
 def row_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, set_id (null for an empty set)."""
 
@@ -220,14 +239,15 @@ def agreeing_rows(docs: DataFrame, n: int, num: int, den: int, stripes: int) ->
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, column: str) -> DataFrame:
-    """set_id, size and "cells" or sorted "grams" of the sets that `wanted` names, written, once per set."""
+    """set_id, size and a signature or the sorted "grams" of the sets that `wanted` names, written, once per set."""
+    form = SIGNATURES[column][0] if column in SIGNATURES else np.ndarray.tobytes
 
     def run(batch):
         sets = [ngram_set(t, n) for t in texts(batch)]
         return {
             "set_id": [set_id(s) if len(s) else None for s in sets],
             "size": [len(s) for s in sets],
-            column: [cells(s) if column == "cells" else s.tobytes() for s in sets],
+            column: [form(s) for s in sets],
         }
 
     ids = written(
@@ -262,7 +282,7 @@ def in_parts(rows: DataFrame, weight: Column, limit: int, pairwise: bool) -> Dat
 
 
 def by_cell(rows: DataFrame, work, schema: StructType) -> DataFrame:
-    """What `work(columns)` finds in the rows of each cell: two arrays of longs, or None. `cell` is the first column."""
+    """What `work(columns)` finds in the rows of each cell: arrays of longs, or None. `cell` is the first column."""
     arrow = to_arrow_schema(schema)
 
     def arrays(batch):
@@ -354,18 +374,19 @@ def spanning_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return by_cell(members.select("cell", "set_id", "size", "cells"), forest, out).distinct()
 
 
-def contested(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(block, set_id) of rows that pass both bounds with a row of another component of their block.
+def contested(members: DataFrame, num: int, den: int, signature: str = "cells") -> DataFrame:
+    """(block, set_id, component) of rows that pass both bounds with a row of another component of their block.
 
-    `members` has block, set_id, size, cells, component. At most as many rows as come in.
+    `members` has block, set_id, size, component and the signature. At most as many rows as come in.
     """
-    out = members.sparkSession.createDataFrame([], "block long, set_id long").schema
+    folded = SIGNATURES[signature][1]
+    out = members.sparkSession.createDataFrame([], "block long, set_id long, component long").schema
 
     def named(columns):
         _, block, ids, sizes, sig, component, part = columns
         if (component == component[0]).all():
             return None
-        sig = aligned(sig)
+        sig = folded(sig)
         hit = np.zeros(len(ids), bool)
         two = (part != part[0]).any()
         for i in range(len(ids) - 1):
@@ -376,10 +397,10 @@ def contested(members: DataFrame, num: int, den: int) -> DataFrame:
                 ok = j[passing(i, j, sizes, sig, num, den)[0]]
                 hit[ok] = True
                 hit[i] |= len(ok) > 0
-        return block[hit], ids[hit]
+        return block[hit], ids[hit], component[hit]
 
     met = in_parts(members, F.lit(1), PART, True)
-    return by_cell(met.select("cell", "block", "set_id", "size", "cells", "component", "part"), named, out).distinct()
+    return by_cell(met.select("cell", "block", "set_id", "size", signature, "component", "part"), named, out).distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -426,7 +447,7 @@ def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         if len(names) == 1:
             return None
         sets = [np.frombuffer(g, np.uint64) for g in grams]
-        sig = aligned([cells(s) for s in sets])
+        sig = aligned_parities([parities(s) for s in sets])
         i, j, apart = [], [], []
         for k in range(len(ids) - 1):
             rest = np.arange(k + 1, len(ids))
@@ -527,9 +548,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
             roots = components(found)
             rest = apart(roots)
         named = written(contested(rest, num, den))
-        grams = candidate_sets(docs, classes, named, n, "grams").select("set_id", "size", "grams")
-        component = rest.select("block", "set_id", "component")
-        last = written(joining_links(named.join(component, ["block", "set_id"]).join(grams, "set_id"), num, den))
+        sharp = candidate_sets(docs, classes, named, n, "parities")
+        named = written(contested(named.join(sharp, "set_id"), num, den, "parities"))
+        grams = candidate_sets(docs, classes, named, n, "grams")
+        last = written(joining_links(named.join(grams, "set_id"), num, den))
         if not last.isEmpty():
             roots = components(found.unionAll(last))
     placed = classes.join(roots, classes["set_id"] == roots["node"], "left").select(

@@ -148,6 +148,10 @@ def test_no_step_of_a_group_gives_more_rows_than_it_takes(spark):
         "block long, set_id long, size long, cells binary, component long, grams binary")
     assert ngram_join.spanning_pairs(ngram_join.in_parts(rows, F.lit(1), 50, False), 80, 100).count() < 200
     assert ngram_join.contested(rows, 80, 100).count() <= 200
+    sharp = rows.join(spark.createDataFrame([(i, bytearray(ngram_join.parities(x))) for i, x in zip(ids, sets)], "set_id long, parities binary"), "set_id")
+    for signature in ("cells", "parities"):
+        named = {r["set_id"] for r in ngram_join.contested(sharp, 80, 100, signature).collect()}
+        assert {i for p in itertools.combinations(range(200), 2) if ngram_join.linked(sets[p[0]], sets[p[1]], 80, 100) for i in (ids[p[0]], ids[p[1]])} <= named
     found = {tuple(r) for r in ngram_join.joining_links(rows, 80, 100).collect()}
     assert len(found) < 200
     by_id = dict(zip(ids, sets))
