@@ -451,7 +451,7 @@ def tdp_velocity(panel: DataFrame, forecast: DataFrame | None = None, min_rows:
     )
 
 
-def transfers(forecast: DataFrame, pairs: DataFrame) -> DataFrame:
+def transfers(forecast: DataFrame, pairs: DataFrame, launch_window: int = k.LAUNCH_WINDOW) -> DataFrame:
     """Capped unit transfers from sibling donors to launching products, per forecast week.
 
     Claims on a donor are served by probability (ties by focal UPC) until 20 percent of its
@@ -461,11 +461,11 @@ def transfers(forecast: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     key = [*MARKET_KEYS, "forecast_week_number"]
     focal = forecast.where(
-        (F.col("weeks_since_launch") <= k.LAUNCH_WINDOW)
+        (F.col("weeks_since_launch") <= launch_window)
         & (F.col("forecast_units_base") >= k.MIN_FOCAL_UNITS)
     ).select(
         F.col("upc").alias("focal_upc"), *key, F.col("forecast_units_base").alias("_f"),
-        F.greatest(F.lit(0.0), 1 - F.col("weeks_since_launch") / k.LAUNCH_WINDOW).alias("_decay"))
+        F.greatest(F.lit(0.0), 1 - F.col("weeks_since_launch") / launch_window).alias("_decay"))
     donor = forecast.where(F.col("forecast_units_base") > 0).select(
         F.col("upc").alias("donor_upc"), *key, F.col("forecast_units_base").alias("_d"))
     claims = pairs.where(F.col("transfer_prob") >= k.TRANSFER_MIN_PROB).select(
@@ -487,10 +487,10 @@ def transfers(forecast: DataFrame, pairs: DataFrame) -> DataFrame:
         "focal_upc", "donor_upc", *key, "transfer_prob", "transfer_units")
 
 
-def portfolio_constraint(forecast: DataFrame, pairs: DataFrame) -> DataFrame:
+def portfolio_constraint(forecast: DataFrame, pairs: DataFrame, launch_window: int = k.LAUNCH_WINDOW) -> DataFrame:
     """Move units from donors to launching products; the sum over the portfolio is unchanged."""
     key = ["upc", *MARKET_KEYS, "forecast_week_number"]
-    moved = transfers(forecast, pairs)
+    moved = transfers(forecast, pairs, launch_window)
     side = moved.select(
         F.explode(F.array(
             F.struct(F.col("focal_upc").alias("upc"), F.col("transfer_units").alias("d"), F.lit("FOCAL_LAUNCH").alias("t")),

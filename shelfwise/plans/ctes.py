@@ -684,7 +684,7 @@ FROM (
     max(arp) FILTER (WHERE rb = 1) AS arp, max(base_units) FILTER (WHERE rb = 1) AS anchor_value,
     max(datediff('day', first_week_selling, week) // 7) AS wsl
   FROM (SELECT *, row_number() OVER (PARTITION BY {SERIES} ORDER BY week DESC) AS rb FROM @own
-    WHERE week <= DATE '1998-06-29') q
+    WHERE week <= (SELECT max(week) FROM @own) - 91) q
   GROUP BY ALL
 ) a, (SELECT unnest(range(1, 14)) AS h) s
 """

