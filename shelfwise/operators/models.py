@@ -1,4 +1,4 @@
-"""MLlib models on the pair, price and panel frames (group K, J9, J12, I23)."""
+"""Models on the pair, price and panel frames (group K, J9, J12, I23): boosted trees and MLlib's linear ones."""
 
 from __future__ import annotations
 
@@ -6,15 +6,16 @@ from collections.abc import Sequence
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.scalar import case, flag, safe_div
+from shelfwise.operators.boosting import LABEL_GAIN, Boosted, Lambda, Logistic, Pinball, Squared, explain, fit, predict
 from shelfwise.operators.evaluate import hash_unit, row_key, wmape
 from shelfwise.operators.transfer import TRANSFER_FEATURES
 from shelfwise.scale import exact_quantiles, written
@@ -50,40 +51,51 @@ def pair_key() -> Column:
 
 # ---------------------------------------------------------------- K1-K4
 
+#: Most rounds of the classifiers and of the other pair models; training stops earlier.
+TRANSFER_ROUNDS, PAIR_ROUNDS = 500, 300
 
-def fit_transfer(pairs: DataFrame, iterations: int = 20, depth: int = 4, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """K1: demand-transfer classifier on labelled pairs; validation AUC as a one-row frame."""
-    rows = numeric(pairs.where(F.col("label_deterministic") != "NEUTRAL"), TRANSFER_FEATURES).withColumn(
+
+def _sigmoid(margin: Column) -> Column:
+    return 1 / (1 + F.exp(-margin))
+
+
+def _event_key() -> Column:
+    return F.concat_ws("|", pair_key(), F.lit("event"))
+
+
+def fit_transfer(pairs: DataFrame, iterations: int = TRANSFER_ROUNDS, depth: int = 4) -> tuple[Boosted, DataFrame]:
+    """K1: demand-transfer classifier on labelled pairs; validation AUC and the round kept, a row per side of the split.
+
+    A fifth of the pairs, by key, only tells when to stop.
+    """
+    rows = pairs.where(F.col("label_deterministic") != "NEUTRAL").withColumn(
         "label", flag(F.col("label_deterministic") == "CANNIBALIZING").cast("double"))
     rows = hash_split(rows, pair_key())
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed)
-    model = Pipeline(stages=[_assembler(TRANSFER_FEATURES), gbt]).fit(rows.where("is_train"))
-    scored = model.transform(rows.where(~F.col("is_train")))
-    auc = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC").evaluate(scored)
-    metrics = rows.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")).withColumn(
-        "auc", F.when(~F.col("is_train"), F.lit(float(auc))))
+    model = fit(rows, TRANSFER_FEATURES, "label", Logistic(), iterations=iterations, depth=depth)
+    scored = rows.where(~F.col("is_train")).select("label", predict(model)[0].alias("margin"))
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="margin", metricName="areaUnderROC").evaluate(scored)
+    metrics = rows.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")).withColumns({
+        "auc": F.when(~F.col("is_train"), F.lit(float(auc))), "rounds": F.lit(model.rounds[0])})
     return model, metrics
 
 
-def score_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+def score_pairs(model: Boosted, pairs: DataFrame) -> DataFrame:
     """Probability of demand transfer for every pair."""
-    scored = model.transform(numeric(pairs, TRANSFER_FEATURES))
-    return scored.select(*pairs.columns, vector_to_array("probability")[1].alias("transfer_prob"))
-
+    return pairs.withColumn("transfer_prob", _sigmoid(predict(model)[0]))
 
-def fit_ranker(frame: DataFrame, features: Sequence[str] = TRANSFER_FEATURES, iterations: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """K2: donor ranking by pointwise regression on graded relevance."""
-    rows = numeric(frame, features).withColumn("label", F.col("relevance").cast("double"))
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[_assembler(features), gbt]).fit(rows)
 
+def fit_ranker(frame: DataFrame, features: Sequence[str] = TRANSFER_FEATURES, iterations: int = PAIR_ROUNDS, depth: int = 4) -> Boosted:
+    """K2: donor ranking by list-wise gradients of NDCG within each focal product and market.
 
-def rank_scores(model: PipelineModel, frame: DataFrame, features: Sequence[str] = TRANSFER_FEATURES) -> DataFrame:
-    return model.transform(numeric(frame, features)).select(*frame.columns, F.col("prediction").alias("rank_score"))
+    A fifth of the lists, by focal product and market, only tells when to stop.
+    """
+    group = ["focal_upc", *MARKET_KEYS]
+    rows = hash_split(frame, F.concat_ws("|", *group), salt="rank")
+    return fit(rows, features, "relevance", Lambda(gains=LABEL_GAIN), group=group, iterations=iterations, depth=depth, min_rows=5)
 
 
-#: Gain of relevance 0, 1, 2.
-LABEL_GAIN = (0.0, 1.0, 3.0)
+def rank_scores(model: Boosted, frame: DataFrame) -> DataFrame:
+    return frame.withColumn("rank_score", predict(model)[0])
 
 
 def ndcg(ranked: DataFrame, k: int = 10, score: str = "rank_score") -> DataFrame:
@@ -99,11 +111,10 @@ def ndcg(ranked: DataFrame, k: int = 10, score: str = "rank_score") -> DataFrame
     return g.groupBy("focal_upc", *MARKET_KEYS).agg(safe_div(F.sum("_d"), F.sum("_i")).alias("ndcg"))
 
 
-def fit_event(frame: DataFrame, iterations: int = 10, depth: int = 3, seed: int = 42) -> PipelineModel:
+def fit_event(frame: DataFrame, iterations: int = PAIR_ROUNDS, depth: int = 4) -> Boosted:
     """K3: event significance classifier; unit changes are clipped to +-500 percent."""
-    rows = numeric(clip_outliers(frame), EVENT_FEATURES).withColumn("label", F.col("event_significant").cast("double"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[_assembler(EVENT_FEATURES), gbt]).fit(rows)
+    rows = hash_split(clip_outliers(frame), _event_key())
+    return fit(rows, EVENT_FEATURES, "event_significant", Logistic(), iterations=iterations, depth=depth)
 
 
 def clip_outliers(frame: DataFrame, limit: float = 5.0) -> DataFrame:
@@ -111,24 +122,23 @@ def clip_outliers(frame: DataFrame, limit: float = 5.0) -> DataFrame:
     return frame.withColumns({c: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col(c))) for c in cols})
 
 
-def score_events(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    out = model.transform(numeric(clip_outliers(frame), EVENT_FEATURES))
-    return out.select(*frame.columns, vector_to_array("probability")[1].alias("event_prob"))
+def score_events(model: Boosted, frame: DataFrame) -> DataFrame:
+    out = clip_outliers(frame).select(F.struct(*frame.columns).alias("_clipped"), *EVENT_FEATURES, _event_key().alias("_k"))
+    scored = out.select("_clipped", _sigmoid(predict(model)[0]).alias("event_prob"))
+    return scored.select("_clipped.*", "event_prob")
 
 
-def fit_price(frame: DataFrame, iterations: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """K4: own-price response on real price moves.
+def fit_price(frame: DataFrame, iterations: int = PAIR_ROUNDS, depth: int = 4) -> Boosted:
+    """K4: own-price response on real price moves; a fifth of the rows, by key, only tells when to stop.
 
     The naive elasticity is left out: it is built from the target.
     """
-    rows = numeric(frame.where("real_price_move"), PRICE_FEATURES)
-    gbt = GBTRegressor(featuresCol="features", labelCol="log_unit_change", maxIter=iterations, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[_assembler(PRICE_FEATURES), gbt]).fit(rows)
+    rows = hash_split(frame.where("real_price_move"), row_key(), salt="price")
+    return fit(rows, PRICE_FEATURES, "log_unit_change", Squared(), iterations=iterations, depth=depth)
 
 
-def score_price(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    out = model.transform(numeric(frame, PRICE_FEATURES))
-    return out.select(*frame.columns, F.col("prediction").alias("predicted_log_unit_change"))
+def score_price(model: Boosted, frame: DataFrame) -> DataFrame:
+    return frame.withColumn("predicted_log_unit_change", predict(model)[0])
 
 
 # ---------------------------------------------------------------- K5-K7
@@ -145,30 +155,27 @@ def predict_linear(model: PipelineModel, frame: DataFrame, features: Sequence[st
     return model.transform(numeric(frame, features)).select(*frame.columns, "prediction")
 
 
-def top_drivers(scored: DataFrame, features: Sequence[str], score: str, n: int = 3) -> DataFrame:
-    """K6: the n features that move a row's score most, by a linear surrogate of the score.
+def top_drivers(frame: DataFrame, model: Boosted, n: int = 3) -> DataFrame:
+    """K6: the n features that move a row's margin most, along the paths of the fitted trees.
 
-    Contribution = coefficient x (value - mean).
+    Adds `margin`, `driver_base` and `drivers`: (feature, contribution), largest size first. The base
+    and the contributions of all features add up to the margin.
     """
-    model = fit_linear(scored, features, score, alpha=1e-3).stages[-1]
-    rows = numeric(scored, features)
-    mean = rows.agg(*[F.avg(f"x_{c}").alias(c) for c in features])
-    packed = mean.select(F.struct(*features).alias("m")).scalar()
-    rows = rows.withColumn("_mean", packed)
+    rows = frame.withColumns({"margin": predict(model)[0], "_parts": explain(model)})
     parts = F.array(*[
-        F.struct(F.abs((F.col(f"x_{c}") - F.col(f"_mean.{c}")) * float(b)).alias("size"), F.lit(c).alias("feature"),
-                 ((F.col(f"x_{c}") - F.col(f"_mean.{c}")) * float(b)).alias("contribution"))
-        for c, b in zip(features, model.coefficients)])
+        F.struct(F.abs(F.col("_parts")[i + 1]).alias("size"), F.lit(c).alias("feature"), F.col("_parts")[i + 1].alias("contribution"))
+        for i, c in enumerate(model.features)])
     ordered = F.slice(F.reverse(F.array_sort(parts)), 1, n)
-    return rows.select(*scored.columns, F.transform(ordered, lambda d: F.struct(
-        d["feature"].alias("feature"), d["contribution"].alias("contribution"))).alias("drivers"))
+    return rows.select(
+        *frame.columns, "margin", F.col("_parts")[0].alias("driver_base"), "_parts",
+        F.transform(ordered, lambda d: F.struct(d["feature"].alias("feature"), d["contribution"].alias("contribution"))).alias("drivers"))
 
 
-def importance(spark, model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """K7: features by importance; as many rows as the model has inputs."""
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(features, values)],
-                                 "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def importance(model: Boosted, frame: DataFrame) -> DataFrame:
+    """K7: features by mean absolute contribution over `frame`; as many rows as the model has inputs."""
+    rows = frame.select(explain(model).alias("_parts"))
+    sizes = rows.agg(*[F.avg(F.abs(F.col("_parts")[i + 1])).alias(c) for i, c in enumerate(model.features)])
+    return sizes.unpivot([], list(model.features), "feature", "importance").orderBy(F.desc("importance"), "feature")
 
 
 # ---------------------------------------------------------------- panel models
@@ -194,73 +201,69 @@ def temporal_split(frame: DataFrame, weeks: int = 13) -> DataFrame:
         "is_train", F.col("week") <= F.date_sub("_newest", 7 * weeks)).drop("_newest")
 
 
-def fit_quantiles(
-    panel: DataFrame, iterations: int = 15, depth: int = 4, seed: int = 42, target: str = "base_units", share: float = 1.0
-) -> tuple[PipelineModel, DataFrame]:
-    """Boosted trees on log units, with conformal residual quantiles per channel.
+#: Quantiles of low, base and high; most rounds of the panel models.
+QUANTILES = {"low": 0.1, "base": 0.5, "high": 0.9}
+PANEL_ROUNDS = 300
+
+
+def _held_part(share: float) -> Column:
+    """The held-out rows that stop the training and set the offsets."""
+    return ~F.col("is_train") & (hash_unit(row_key(), "bands") < share)
 
-    MLlib has no quantile loss; the spread comes from held-out residuals (10th and 90th percentile).
-    With a `share` below one, bands see only that part of the held-out rows; the rest, which
-    `unseen_rows` returns, can tell how often they hold.
+
+def fit_quantiles(
+    panel: DataFrame, iterations: int = PANEL_ROUNDS, depth: int = 4, target: str = "base_units", share: float = 1.0,
+    lags: Sequence[int] = (1, 4, 13, 52), log: bool = True, rate: float = 0.3, patience: int = 3,
+) -> tuple[Boosted, DataFrame]:
+    """Boosted trees on the pinball loss, one model per quantile, with offsets per channel.
+
+    The newest 13 weeks are held out. Part of them (`share`, by row key) says when each quantile's training
+    stops, and how far its model must move in a channel to cover what it claims there; `unseen_rows`
+    returns the others, which can tell how often the bands hold.
     """
-    frame = temporal_split(numeric(lag_frame(panel, target), PANEL_FEATURES))
-    gbt = GBTRegressor(featuresCol="features", labelCol="log_target", maxIter=iterations, maxDepth=depth, seed=seed)
-    model = Pipeline(stages=[_assembler(PANEL_FEATURES), gbt]).fit(frame.where("is_train"))
-    held = frame.where(~F.col("is_train") & (hash_unit(row_key(), "bands") < share))
-    held = model.transform(held).withColumn("_r", F.col("log_target") - F.col("prediction"))
-    bands = exact_quantiles(held, ["channel_outlet"], "_r", {"r10": 0.1, "r50": 0.5, "r90": 0.9})
-    return model, bands
+    frame = temporal_split(lag_frame(panel, target, lags) if log else _raw_lags(panel, target, lags))
+    features = [*(f"lag{n}" for n in lags), "week_sin", "week_cos"]
+    label = "log_target" if log else "actual"
+    frame = written(frame.where(F.col("is_train") | _held_part(share)))
+    model = fit(frame, features, label, Pinball(tuple(QUANTILES.values())), iterations=iterations, depth=depth, rate=rate, patience=patience)
+    held = frame.where(_held_part(share)).withColumn("_s", predict(model))
+    offsets = None
+    for i, (name, q) in enumerate(QUANTILES.items()):
+        part = exact_quantiles(held.withColumn("_r", F.col(label) - F.col("_s")[i]), ["channel_outlet"], "_r", {f"off_{name}": q})
+        offsets = part if offsets is None else offsets.join(part, "channel_outlet")
+    return model, offsets
 
 
 def unseen_rows(panel: DataFrame, share: float, target: str = "base_units") -> DataFrame:
-    """Held-out rows of `fit_quantiles` that its bands have not seen."""
+    """Held-out rows of `fit_quantiles` that neither the trees nor the offsets have seen."""
     frame = temporal_split(lag_frame(panel, target))
-    return frame.where(~F.col("is_train") & (hash_unit(row_key(), "bands") >= share))
+    return frame.where(~F.col("is_train") & ~_held_part(share))
 
 
-def quantile_predictions(model: PipelineModel, bands: DataFrame, frame: DataFrame) -> DataFrame:
-    """Low, base and high units for rows with lags on the log scale."""
-    p = model.transform(numeric(frame, PANEL_FEATURES)).join(bands, "channel_outlet", "left")
-    return p.select(*frame.columns, *[
-        F.greatest(F.expm1(F.col("prediction") + F.coalesce(r, F.lit(0.0))), F.lit(0.0)).alias(q)
-        for q, r in (("low", "r10"), ("base", "r50"), ("high", "r90"))])
+def quantile_predictions(
+    model: Boosted, offsets: DataFrame, frame: DataFrame, log: bool = True, ceiling: float | None = None
+) -> DataFrame:
+    """Low, base and high for rows with lags (on the log scale, if `log`); in order, and not below zero."""
+    p = frame.withColumn("_s", predict(model)).join(offsets, "channel_outlet", "left")
+    moved = F.array_sort(F.array(*[F.col("_s")[i] + F.coalesce(F.col(f"off_{n}"), F.lit(0.0)) for i, n in enumerate(QUANTILES)]))
 
+    def units(x: Column) -> Column:
+        x = F.greatest(F.expm1(x) if log else x, F.lit(0.0))
+        return x if ceiling is None else F.least(x, F.lit(ceiling))
 
-def step_predictor(model: PipelineModel, bands: DataFrame):
-    """Adapter of a fitted panel model to the recursive forecast (its lags arrive in units)."""
+    return p.withColumn("_q", moved).select(*frame.columns, *[units(F.col("_q")[i]).alias(n) for i, n in enumerate(QUANTILES)])
 
-    def predict(df: DataFrame) -> DataFrame:
-        logged = df.withColumns({c: F.log1p(c) for c in ("lag1", "lag4", "lag13", "lag52")})
-        out = quantile_predictions(model, bands, logged)
-        raw = {c: F.expm1(c) for c in ("lag1", "lag4", "lag13", "lag52")}
-        return out.withColumns(raw)
 
-    return predict
+def step_predictor(model: Boosted, offsets: DataFrame, log: bool = True, ceiling: float | None = None):
+    """Adapter of fitted quantile models to the recursive forecast (its lags arrive in units)."""
+    lags = [c for c in model.features if c.startswith("lag")]
 
+    def predict_step(df: DataFrame) -> DataFrame:
+        logged = df.withColumns({c: F.log1p(c) for c in lags}) if log else df
+        out = quantile_predictions(model, offsets, logged, log, ceiling)
+        return out.withColumns({c: F.expm1(c) for c in lags}) if log else out
 
-def fit_linear_rule(panel: DataFrame, target: str, lags: Sequence[int] = (1, 4, 8), log: bool = False):
-    """A linear lag model as a closed-form rule for the folded recursion, with residual band."""
-    frame = temporal_split(lag_frame(panel, target, (*lags,)) if log else _raw_lags(panel, target, lags))
-    feats = [f"lag{n}" for n in lags] + ["week_sin", "week_cos"]
-    label = "log_target" if log else "actual"
-    model = fit_linear(frame.where("is_train"), feats, label, alpha=1e-3).stages[-1]
-    coef, b0 = [float(v) for v in model.coefficients], float(model.intercept)
-    fitted = F.lit(b0)
-    for c, v in zip(feats, coef):
-        fitted = fitted + F.coalesce(F.col(c), F.lit(0.0)) * v
-    held = frame.where(~F.col("is_train")).withColumn("_r", F.col(label) - fitted)
-    q = exact_quantiles(held, [], "_r", {"r10": 0.1, "r90": 0.9}).first()
-    lo, hi = (float(q.r10), float(q.r90)) if q is not None else (0.0, 0.0)
-
-    def rule(f: dict[str, Column]) -> tuple[Column, Column, Column]:
-        p = F.lit(b0)
-        for c, v in zip(feats, coef):
-            x = F.log1p(f[c]) if log and c.startswith("lag") else f[c]
-            p = p + F.coalesce(x, F.lit(0.0)) * v
-        out = (p + lo, p, p + hi)
-        return tuple(F.expm1(c) for c in out) if log else out
-
-    return rule
+    return predict_step
 
 
 def _raw_lags(panel: DataFrame, target: str, lags: Sequence[int]) -> DataFrame:

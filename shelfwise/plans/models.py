@@ -96,16 +96,15 @@ def _(t):
 
 @query("K6_top_drivers", trim_launch=False)
 def _(t):
-    scored = pair_table(t).withColumn("transfer_prob", F.expr(
-        "least(0.99, greatest(0.01, 0.5 - 0.4 * donor_base_units_pct_chg - 0.05 * relationship_distance))"))
-    return mo.top_drivers(scored, tr.TRANSFER_FEATURES, "transfer_prob").select(
-        "focal_upc", "donor_upc", *MARKET_KEYS, "drivers")
+    frame = pair_table(t)
+    model, _ = mo.fit_transfer(frame)
+    return mo.top_drivers(frame, model).select("focal_upc", "donor_upc", *MARKET_KEYS, "margin", "drivers")
 
 
 @query("K7_importance", trim_launch=False)
 def _(t):
-    model, _ = mo.fit_transfer(pair_table(t))
-    return mo.importance(t.spark, model, tr.TRANSFER_FEATURES)
+    frame = pair_table(t)
+    return mo.importance(mo.fit_transfer(frame)[0], frame)
 
 
 @query("K8_ablation")
@@ -137,29 +136,58 @@ def _(t):
     return mo.ipw(durable(pr.response_rows(prices(t))), "y", "x", list(pr.CONFOUNDERS))
 
 
+def held_out_quantiles(t):
+    """Bands from one half of the held-out rows, on the other."""
+    panel = weekly_units(t)
+    model, offsets = mo.fit_quantiles(panel, share=0.5)
+    return mo.quantile_predictions(model, durable(offsets), mo.unseen_rows(panel, 0.5))
+
+
 @query("J9_quantile_model")
 def _(t):
-    panel = weekly_units(t)
-    # bands from one half of the held-out rows, reported on the other
-    model, bands = mo.fit_quantiles(panel, share=0.5)
-    p = mo.quantile_predictions(model, bands, mo.unseen_rows(panel, 0.5))
-    return p.select("week", *SERIES_KEYS, "actual", "low", "base", "high",
-                    F.col("actual").between(F.col("low"), F.col("high")).alias("covered"))
+    return held_out_quantiles(t).select(
+        "week", *SERIES_KEYS, "actual", "low", "base", "high",
+        F.col("actual").between(F.col("low"), F.col("high")).alias("covered"))
+
+
+@query("J9_quantile_quality", f"""
+WITH lagged AS (
+  SELECT week, {SERIES}, base_units, lag(base_units) OVER (PARTITION BY {SERIES} ORDER BY week) AS l1 FROM c_filtered
+), held AS (
+  SELECT * FROM lagged WHERE l1 IS NOT NULL AND week > (SELECT max(week) FROM lagged WHERE l1 IS NOT NULL) - 91
+    AND CAST('0x' || substr(md5(concat_ws('|', upc, channel_outlet, retail_account, geography_raw, CAST(week AS VARCHAR)) || 'bands'), 1, 8) AS BIGINT)
+      / 4294967296.0 >= 0.5
+)
+--
+SELECT channel_outlet, count(*) AS n, sum(base_units) AS actual_units, TRUE AS in_order, TRUE AS share_adds_up FROM held GROUP BY 1
+""")
+def _(t):
+    # the scores are beyond SQL; rows, actuals and what must hold of every band are not
+    p = held_out_quantiles(t)
+    below, inside, above = (F.sum(c.cast("int")) for c in (
+        F.col("actual") < F.col("low"), F.col("actual").between(F.col("low"), F.col("high")), F.col("actual") > F.col("high")))
+    return p.groupBy("channel_outlet").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("actual").alias("actual_units"),
+        F.bool_and((F.col("low") <= F.col("base")) & (F.col("base") <= F.col("high"))).alias("in_order"),
+        (below + inside + above == F.count(F.lit(1))).alias("share_adds_up"))
 
 
 @query("J11_recursive_model")
 def _(t):
     panel = own(t)
-    model, bands = mo.fit_quantiles(panel)
+    model, offsets = mo.fit_quantiles(panel)
     return fo.recursive_model_forecast(
-        panel, mo.step_predictor(model, durable(bands)), seasonal=durable(fo.seasonal_index(panel)))
+        panel, mo.step_predictor(model, durable(offsets)), seasonal=durable(fo.seasonal_index(panel)))
 
 
 @query("J12_rate_forecast")
 def _(t):
     r = durable(rates(t).withColumnRenamed("focal_upc", "upc"))
-    rule = mo.fit_linear_rule(r, "cannibalization_rate")
-    f = fo.recursive_forecast(r, rule, target="cannibalization_rate", lags=(1, 4, 8), clip=(0.0, 1.0), blend=0.0)
+    lags = (1, 4, 8)
+    model, offsets = mo.fit_quantiles(r, target="cannibalization_rate", lags=lags, log=False)
+    f = fo.recursive_model_forecast(
+        r, mo.step_predictor(model, durable(offsets), log=False, ceiling=1.0), target="cannibalization_rate",
+        lags=lags, clip=(0.0, 1.0), blend=0.0)
     return f.select("week", *SERIES_KEYS, "forecast_week_number", *[
         F.col(f"forecast_units_{q}").alias(f"forecast_rate_{q}") for q in ("low", "base", "high")])
 
