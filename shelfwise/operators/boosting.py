@@ -276,6 +276,9 @@ def fit(
         one = one.select(F.array("bins").alias("bins"), F.array("y").alias("y"), "train")
     data = written(one)
     model.base = loss.start(data.where("train"))
+    if data.where("train").isEmpty():
+        model.rounds = [0] * loss.models
+        return model
     stored, active = 0, list(range(loss.models))
     best = [(np.inf, 0)] * loss.models
     mark = [(np.inf, 0)] * loss.models
