@@ -10,6 +10,7 @@ from shelfwise.functions.scalar import weeks_between
 from shelfwise.operators import evaluate as ev
 from shelfwise.operators import panel as pa
 from shelfwise.operators import ranking as ra
+from shelfwise.operators import refit
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import own_scored
 from shelfwise.plans.panel import flat_forecast
@@ -116,6 +117,121 @@ def _(t):
     return ev.rollforward(t.filtered, CUTS)
 
 
+_P = range(len(refit.TERMS))
+_X = ["CAST(1 AS DOUBLE)", "lag(y, 1) OVER p", "avg(y) OVER (p ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)", "lag(y, 13) OVER p",
+      "sin(dayofyear(week) * (2 * pi() / 365.25))", "cos(dayofyear(week) * (2 * pi() / 365.25))"]
+_FIT_SUMS = [(f"a{i}{j}", f"x{i} * x{j}") for i, j in refit.PAIRS] + [(f"b{i}", f"x{i} * y") for i in _P] + [
+    ("yy", "y * y"), ("n", "CAST(1 AS DOUBLE)")]
+
+
+def _cell(a: str, i: int, j: int) -> str:
+    return f"{a}{min(i, j)}{max(i, j)}"
+
+
+def _fit_sums_sql(cuts) -> str:
+    """Sums of the training weeks (t..) and the gap (v..) per cutpoint."""
+    values = ", ".join(f"(DATE '{d}')" for d in cuts)
+    parts = ", ".join(f"coalesce(sum({e}) FILTER (WHERE {w}), 0) AS {k}{n}" for k, w in (
+        ("t", "week < cutpoint - 56"), ("v", "week >= cutpoint - 56")) for n, e in _FIT_SUMS)
+    return f"""
+fp AS (SELECT week, {SERIES}, CAST(base_units AS DOUBLE) AS v, ln(1 + greatest(CAST(base_units AS DOUBLE), 0)) AS y
+  FROM c_filtered WHERE base_units IS NOT NULL),
+fx AS (SELECT week, y, {', '.join(f'{e} AS x{i}' for i, e in enumerate(_X))} FROM fp
+  WINDOW p AS (PARTITION BY {SERIES} ORDER BY week)),
+fs AS (SELECT cutpoint, {parts} FROM fx, (VALUES {values}) q(cutpoint) WHERE x3 IS NOT NULL AND week < cutpoint
+  GROUP BY 1 HAVING tn > 0)"""
+
+
+def _fits_sql(cuts) -> str:
+    """Ridge weights per cutpoint by elimination, a common table expression per pivot; fw: cutpoint, penalty, w."""
+    cells = [f"({_cell('ta', i, j)} / tn){f' + penalty' if i == j > 0 else ''} AS m{i}{j}" for i in _P for j in _P]
+    steps = [f"f0 AS (SELECT cutpoint, penalty, {', '.join(cells)}, {', '.join(f'tb{i} / tn AS r{i}' for i in _P)} "
+             f"FROM fs, (VALUES {', '.join(f'(CAST({v} AS DOUBLE))' for v in refit.PENALTIES)}) q(penalty))"]
+    for k in _P:
+        row = []
+        for i in _P:
+            for name, top in [(f"m{i}{j}", f"m{k}{j}") for j in _P] + [(f"r{i}", f"r{k}")]:
+                row.append(f"{top} / m{k}{k} AS {name}" if i == k else f"{name} - m{i}{k} / m{k}{k} * {top} AS {name}")
+        steps.append(f"f{k + 1} AS (SELECT cutpoint, penalty, {', '.join(row)} FROM f{k})")
+    quad = " + ".join(f"r{i} * r{j} * {_cell('va', i, j)}" for i in _P for j in _P)
+    line = " + ".join(f"r{i} * vb{i}" for i in _P)
+    steps.append(f"fl AS (SELECT cutpoint, penalty, [{', '.join(f'r{i}' for i in _P)}] AS w, "
+                 f"vyy - 2 * ({line}) + ({quad}) AS loss FROM f{len(refit.TERMS)} JOIN fs USING (cutpoint))")
+    steps.append("fw AS (SELECT cutpoint, arg_min(penalty, loss) AS penalty, arg_min(w, loss) AS w FROM fl GROUP BY 1)")
+    return _fit_sums_sql(cuts) + ",\n" + ",\n".join(steps)
+
+
+def _paths_sql(use) -> str:
+    """Recursive forecasts of (cutpoint, model, cutpoint of the fit): fr has a row per forecast week."""
+    values = ", ".join(f"(DATE '{d}', '{m}', DATE '{f}')" for d, m, f in use)
+    dot = ("w[1] + w[2] * hist[-1] + w[3] * ((hist[-1] + hist[-2] + hist[-3] + hist[-4]) / 4) + w[4] * hist[-13] "
+           f"+ w[5] * {_X[4]} + w[6] * {_X[5]}")
+    return f"""
+fu AS (SELECT q.cutpoint, model, w FROM (VALUES {values}) q(cutpoint, model, fitted) JOIN fw ON fw.cutpoint = fitted),
+fh AS (SELECT {SERIES}, cutpoint, model, any_value(w) AS w, list(y ORDER BY week)[-13:] AS hist, list(v ORDER BY week) AS seen,
+    list(v ORDER BY week) FILTER (WHERE week < cutpoint - 56) AS learned
+  FROM fp, fu WHERE week < cutpoint GROUP BY ALL HAVING count(*) >= 13),
+ft AS (SELECT {SERIES}, cutpoint, model, week, v, row_number() OVER (PARTITION BY {SERIES}, cutpoint, model ORDER BY week) AS h
+  FROM fp, fu WHERE week >= cutpoint AND week < cutpoint + 91),
+fr AS (
+  SELECT {SERIES}, cutpoint, model, w, hist, CAST(0 AS BIGINT) AS h, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS DOUBLE) AS pred FROM fh
+  UNION ALL
+  SELECT {SERIES}, cutpoint, model, w, list_append(hist[2:], value), h, v, exp(value) - 1 FROM (
+    SELECT {SERIES}, cutpoint, model, w, hist, ft.h, ft.v, greatest({dot}, 0) AS value
+    FROM fr JOIN ft USING ({SERIES}, cutpoint, model) WHERE ft.h = fr.h + 1) q
+)"""
+
+
+@query("L3_refit_sums", f"""
+WITH {_fit_sums_sql(CUTS)}
+--
+SELECT cutpoint, {', '.join(f"{k}{n} AS {k}_{s}" for k in "tv" for (n, _), s in zip(_FIT_SUMS, refit.SUMS))} FROM fs
+""")
+def _(t):
+    sums = refit.cutpoint_sums(refit.weekly_sums(refit.lag_rows(t.filtered)), CUTS)
+    return sums.select("cutpoint", *[F.element_at(part, i + 1).alias(f"{part[0]}_{s}")
+                                     for part in ("train", "valid") for i, s in enumerate(refit.SUMS)])
+
+
+@query("L3_refit_fits", f"""
+WITH {_fits_sql(CUTS)}
+--
+SELECT cutpoint, tn AS n_train, vn AS n_valid, penalty, {', '.join(f"w[{i + 1}] AS w_{n}" for i, n in enumerate(refit.TERMS))}
+FROM fw JOIN fs USING (cutpoint)
+""")
+def _(t):
+    return refit.fit_cutpoints(t.filtered, CUTS).select(
+        "cutpoint", "n_train", "n_valid", "penalty",
+        *[F.element_at("weights", i + 1).alias(f"w_{n}") for i, n in enumerate(refit.TERMS)])
+
+
+@query("L3_refit_cv", f"""
+WITH RECURSIVE {_fits_sql(CUTS)}, {_paths_sql([(d, "ridge", d) for d in CUTS])}
+--
+SELECT {SERIES}, cutpoint, len(any_value(learned)) AS n_train, count(*) AS n_test_rows, sum(v) AS test_units,
+  100 * sum(abs(v - pred)) / sum(abs(v)) AS wmape, 100 * sum(abs(v - greatest(learned[-1], 0))) / sum(abs(v)) AS naive_wmape
+FROM fr JOIN (SELECT {SERIES}, cutpoint, learned FROM fh WHERE len(learned) >= 52) q USING ({SERIES}, cutpoint) WHERE h > 0
+GROUP BY {SERIES}, cutpoint HAVING count(*) >= 8 AND sum(abs(v)) > 0
+""")
+def _(t):
+    return refit.refit_cv(t.filtered, CUTS, min_test=8)
+
+
+_STALE = [d - dt.timedelta(weeks=13) for d in CUTS]
+
+
+@query("L5_refit_rollforward", f"""
+WITH RECURSIVE {_fits_sql(sorted({*CUTS, *_STALE}))},
+{_paths_sql([(d, "retrained", d) for d in CUTS] + [(d, "stale", s) for d, s in zip(CUTS, _STALE)])},
+fa AS (SELECT cutpoint, model, v, pred FROM fr WHERE h > 0 UNION ALL
+  SELECT cutpoint, 'ma4', ft.v, list_avg(seen[-4:]) FROM ft JOIN fh USING ({SERIES}, cutpoint, model) WHERE model = 'retrained')
+--
+SELECT cutpoint, model, count(*) AS n, 100 * sum(abs(v - pred)) / sum(abs(v)) AS wmape FROM fa GROUP BY 1, 2
+""")
+def _(t):
+    return refit.refit_rollforward(t.filtered, CUTS)
+
+
 @query("L6_backtest", """
 WITH m AS (
   SELECT retail_account, channel_outlet, log_unit_change AS a, predicted_log_unit_change AS p FROM c_elas
