@@ -656,7 +656,14 @@ def ols_slope2(df: DataFrame, keys: Sequence[str], y: str, x: str, z: Sequence[s
     # covar_samp merges partial moments, so nothing is centred by a second pass over the rows
     prods = [(F.covar_samp(cols[i], cols[j]) * (n - 1)).alias(f"s{i}_{j}")
              for i in range(p + 1) for j in range(i, p + 1)]
-    s = rows.groupBy(*keys).agg(n.alias("n"), *prods).where(F.col("n") >= min_rows)
+    return slope_of_moments(rows.groupBy(*keys).agg(n.alias("n"), *prods).where(F.col("n") >= min_rows), keys, p)
+
+
+def slope_of_moments(s: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """Coefficient and standard error of the first of `p` regressors, from centred sums.
+
+    `s`: keys, n and the sums of products s{i}_{j}, i <= j, of the regressors and y (index p).
+    """
     # eliminate the confounders, the last name first, leaving the system of x alone
     for k in range(p - 1, 0, -1):
         pivot = F.col(f"s{k}_{k}")

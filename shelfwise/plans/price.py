@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import launch as la
 from shelfwise.operators import price as pr
+from shelfwise.operators import refute
 from shelfwise.plans.registry import query
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, SERIES_KEYS
 
@@ -410,6 +411,68 @@ def _(t):
     return pr.refute(prices(t))
 
 
+_Z = (*refute.CONFOUNDERS, "zr")
+
+
+def _refute_sql(replicates=200, seed=42):
+    """The draws row by row: every replicate's rows in full, then one regression per replicate."""
+    draws = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(refute.draw_constants(replicates, seed)))
+    weight = " ".join(f"WHEN v / {refute.PRIME}.0 <= {t!r} THEN {n}" for n, t in enumerate(refute.poisson_steps()))
+    cols = ["x", *_Z, "y"]
+    cells = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = ", ".join(f"sum(wt * {cols[i]} * {cols[j]}) - sum(wt * {cols[i]}) * sum(wt * {cols[j]}) / sum(wt) AS s{i}_{j}"
+                     for i, j in cells)
+    p, steps, last = len(cols) - 1, [], "g"
+    for k in range(p - 1, 0, -1):
+        left = [*range(k), p]
+        row = ", ".join(
+            f"CASE WHEN s{k}_{k} > 1e-9 THEN s{i}_{j} - s{min(i, k)}_{max(i, k)} * s{min(k, j)}_{max(k, j)} / s{k}_{k} "
+            f"ELSE s{i}_{j} END AS s{i}_{j}" for i in left for j in left if i <= j)
+        steps.append(f"g{k} AS (SELECT variant, r, n, {row} FROM {last})")
+        last = f"g{k}"
+    z = ", ".join(refute.CONFOUNDERS)
+    return f"""
+WITH q AS (
+  SELECT *, abs(arp - lag(arp) OVER o) AS mv, lag(arp) OVER o AS bf FROM c_price
+  WINDOW o AS (PARTITION BY {SERIES} ORDER BY week)
+), b AS (
+  SELECT {SERIES}, week, ln(base_units) AS y, ln(arp) AS x, CAST(tdp AS DOUBLE) AS tdp,
+    CAST(datediff('day', first_week_selling, week) // 7 AS DOUBLE) AS weeks_since_launch,
+    CAST(pack_count AS DOUBLE) AS pack_count, CAST(week_of_year AS DOUBLE) AS week_of_year,
+    CAST('0x' || substr(md5(concat_ws('|', {SERIES}, CAST(week AS VARCHAR))), 1, 7) AS BIGINT) AS h
+  FROM q WHERE (mv >= 0.05 OR mv / nullif(bf, 0) >= 0.025) AND base_units > 0 AND arp > 0
+), rw AS (SELECT * FROM b WHERE y + x + tdp + weeks_since_launch + pack_count + week_of_year IS NOT NULL),
+d AS (SELECT rw.*, r, (h * da + db) % {refute.PRIME} AS v FROM rw, (VALUES {draws}) t(r, da, db)),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY {SERIES}, r ORDER BY week) AS i,
+  row_number() OVER (PARTITION BY {SERIES}, r ORDER BY v, week) AS k FROM d),
+al AS (
+  SELECT 'estimate' AS variant, 0 AS r, 1.0 AS wt, x, {z}, 0.0 AS zr, y FROM rw
+  UNION ALL SELECT 'placebo', r, 1.0, o.x, {", ".join("o1." + c for c in refute.CONFOUNDERS)}, 0.0, o1.y
+    FROM o1 JOIN (SELECT {SERIES}, r, k, x FROM o1) o USING ({SERIES}, r) WHERE o1.i = o.k
+  UNION ALL SELECT 'random_cause', r, 1.0, x, {z}, v / {refute.PRIME}.0, y FROM d
+  UNION ALL SELECT 'subset_80', r, 1.0, x, {z}, 0.0, y FROM d WHERE v / {refute.PRIME}.0 < {refute.SHARE}
+  UNION ALL SELECT 'bootstrap', r, CASE {weight} ELSE {len(refute.poisson_steps())} END, x, {z}, 0.0, y FROM d
+), al2 AS (SELECT variant, r, CAST(wt AS DOUBLE) AS wt, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)} FROM al),
+g AS (SELECT variant, r, sum(wt) AS n, {sums} FROM al2 GROUP BY 1, 2 HAVING sum(wt) >= 20),
+{", ".join(steps)},
+sl AS MATERIALIZED (SELECT variant, r, n, CASE WHEN s0_0 > 1e-9 THEN s0_{p} / s0_0 END AS coef FROM {last}),
+e AS (SELECT coef AS estimate, n AS rws FROM sl WHERE variant = 'estimate'),
+m AS (SELECT *, CASE WHEN variant = 'placebo' THEN 0 ELSE estimate END AS target FROM sl, e
+  WHERE variant <> 'estimate' AND coef IS NOT NULL)
+--
+SELECT variant, estimate, CAST(rws AS BIGINT) AS rows, count(*) AS replicates, avg(coef) AS mean_effect,
+  stddev_samp(coef) AS sd_effect, least(2 * least((count(*) FILTER (WHERE coef <= target) + 1) / (count(*) + 1),
+    (count(*) FILTER (WHERE coef >= target) + 1) / (count(*) + 1)), 1.0) AS p_value,
+  CASE WHEN variant = 'placebo' THEN (count(*) FILTER (WHERE abs(coef) >= abs(estimate)) + 1) / (count(*) + 1) END AS p_effect
+FROM m GROUP BY 1, 2, 3
+"""
+
+
+@query("I22_refutation_pvalues", _refute_sql())
+def _(t):
+    return refute.refute_replicated(prices(t))
+
+
 @query("I24_validate_events", """
 WITH x AS (SELECT predicted_log_unit_change AS p, log_unit_change AS o, promo_confounded
   FROM c_elas WHERE real_price_move),
