@@ -4,9 +4,10 @@ Each word carries a log-odds of toxic against clean documents under an informati
 less a drift, so that ordinary text scores below zero. One linear scan (Ruzzo and Tompa) finds all
 maximal segments of a text. How high the best segment of a clean text of n words reaches follows an
 extreme-value law, fitted to clean documents; a segment is significant by its probability under
-that law, and a text's evidence is turned into a probability. Both are fitted crosswise: each half
-of the training documents is scored with the log-odds of the other half, so no document vouches
-for itself. The log-odds in use come from both halves.
+that law, the evidence of all significant segments adds up, and the sum is turned into a
+probability. Both are fitted crosswise: each half of the training documents is scored with the
+log-odds of the other half, so no document vouches for itself. The log-odds in use come from both
+halves.
 
 A word that was not seen in training is judged by its first five, else its first four letters.
 """
@@ -97,22 +98,35 @@ class Scores(dict):
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments: (score, first, end)."""
+    """All maximal scoring segments: (score, first, end), in linear time.
+
+    Every candidate keeps the index of the last earlier one whose left sum is smaller, so no candidate
+    is walked over twice.
+    """
     total = np.cumsum(scores)
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
-    for i in np.flatnonzero(scores > 0):
-        left, right = float(total[i] - scores[i]), float(total[i])
-        first, end = int(i), int(i) + 1
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= right:
+    at = np.flatnonzero(scores > 0)
+    lefts, rights = (total[at] - scores[at]).tolist(), total[at].tolist()
+    low: list[float] = []  # sum before each candidate
+    high: list[float] = []  # sum after it
+    span: list[tuple[int, int]] = []
+    smaller: list[int] = []  # the last earlier candidate with a smaller sum before it, or -1
+    for i, left, right in zip(at.tolist(), lefts, rights):
+        first, j = i, len(low) - 1
+        while True:
+            while j >= 0 and low[j] >= left:
+                j = smaller[j]
+            if j < 0 or high[j] >= right:
                 break
-            left, first = found[j][0], found[j][2]
-            del found[j:]
-        found.append((left, right, first, end))
-    return [(right - left, first, end) for left, right, first, end in found]
+            # the candidate j and all after it become one segment
+            left, first = low[j], span[j][0]
+            back = smaller[j]
+            del low[j:], high[j:], span[j:], smaller[j:]
+            j = back
+        low.append(left)
+        high.append(right)
+        span.append((first, i + 1))
+        smaller.append(j)
+    return [(r - lo, first, end) for lo, r, (first, end) in zip(low, high, span)]
 
 
 def passage_scores(docs: DataFrame, odds: dict[str, float], keep: str) -> DataFrame:
@@ -177,12 +191,29 @@ def platt(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def expected_hits(score, rate: float, log_k: float):
+    """Segments of at least `score` that a clean text of so many words is expected to have."""
+    return F.exp(F.lit(log_k) + F.log(F.greatest("words", F.lit(1))) - rate * score)
+
+
+#: A segment is significant when at most so many as good are expected.
+FEW_HITS = -log(1 - SIGNIFICANT)
+
+
 def evidence(rate: float, log_k: float):
-    """-log10 of the chance that a clean text has a segment as good as its best; 0 without any."""
+    """Sum over all significant passages of -log10 of their chance in a clean text.
+
+    The chance is the extreme-value law's. A text without a significant passage has the evidence of its
+    best segment, 0 without any.
+    """
+
+    def one(score):
+        return -F.log10(F.greatest(-F.expm1(-expected_hits(score, rate, log_k)), F.lit(1e-30)))
+
     best = F.array_max("found.score")
-    hits = F.exp(F.lit(log_k) + F.log(F.greatest("words", F.lit(1))) - rate * best)
-    # greatest() would take the constant for a text without segments
-    return F.when(best.isNull(), 0.0).otherwise(-F.log10(F.greatest(-F.expm1(-hits), F.lit(1e-30))))
+    total = F.aggregate("found.score", F.lit(0.0), lambda t, s: t + F.when(
+        expected_hits(s, rate, log_k) <= FEW_HITS, one(s)).otherwise(0.0))
+    return F.when(best.isNull(), 0.0).when(total > 0, total).otherwise(one(best))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,9 +245,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     slope, offset = platt([(r["e"], r["label"], r["count"]) for r in grid])
     found = passage_scores(text, odds, "doc_id")
     score = 1 / (1 + F.exp(-(slope * evidence(rate, log_k) + offset)))
-    # a segment of score s is significant when K n exp(-lambda s) is at most this
-    limit = -log(1 - SIGNIFICANT)
-    passages = F.filter("found", lambda s: F.exp(F.lit(log_k) - rate * s["score"]) * F.greatest("words", F.lit(1)) <= limit)
+    passages = F.filter("found", lambda s: expected_hits(s["score"], rate, log_k) <= FEW_HITS)
     return found.select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),

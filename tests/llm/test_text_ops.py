@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -326,6 +327,58 @@ def test_segments():
         assert got == sorted((a, b, round(x, 9)) for x, a, b in brute_segments(list(s)))
 
 
+def test_segments_of_a_million_words():
+    """Scores whose partial sums fall, rise and fall, so that every word meets a long list of candidates."""
+    import time
+
+    n = 1_000_000
+    for drift in (-0.01, 0.01, 0.0):
+        s = np.where(np.arange(n) % 2 == 0, 1.0, -1.0 + drift)
+        start = time.process_time()
+        found = toxicity.segments(s)
+        assert time.process_time() - start < 10
+        if drift > 0:
+            assert [(a, b) for _, a, b in found] == [(0, n - 1)]
+        else:
+            assert len(found) == n // 2
+
+
+def test_evidence_of_all_significant_passages(spark):
+    rate, log_k = 1.2, -2.0
+    rows = [(0, 50, [3.0, 9.0, 8.0]), (1, 50, [9.0]), (2, 50, [1.0, 2.0]), (3, 0, []), (4, 100_000, [9.0, 30.0]), (5, 50, [80.0])]
+    df = spark.createDataFrame([(i, n, [(x, 0, 1) for x in xs]) for i, n, xs in rows],
+                               "id int, words long, found array<struct<score:double,first:int,end:int>>")
+    got = {r["id"]: r["e"] for r in df.select("id", toxicity.evidence(rate, log_k).alias("e")).collect()}
+
+    def chance(x, n):
+        return max(-math.expm1(-math.exp(log_k) * max(n, 1) * math.exp(-rate * x)), 1e-30)
+
+    for i, n, xs in rows:
+        p = [chance(x, n) for x in xs]
+        few = [v for v in p if v <= toxicity.SIGNIFICANT]
+        want = sum(-math.log10(v) for v in few) if few else -math.log10(min(p)) if p else 0.0
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert got[0] > got[1] > got[2] > got[3] == 0
+
+
+def test_toxic_texts_at_the_edges(spark):
+    """Long texts, repeated rows and empty tables."""
+    rng = random.Random(9)
+    base = words_of(rng, 60_000, 400)
+    docs = [" ".join(base), " ".join(base[:30_000] + ["vileness"] * 6 + base[30_000:])]
+    texts, labels = [], []
+    for i in range(300):
+        texts.append(" ".join(words_of(rng, 60, 400) + (["vileness"] * 3 if i % 5 == 0 else [])))
+        labels.append((i, 1, int(i % 5 == 0)))
+    frame_ = frame(spark, texts + docs)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(frame_, table).collect()}
+    assert got[301]["score"] > got[300]["score"] and got[301]["passages"] != ""
+    twice = toxicity.toxicity_scores(frame_.where("doc_id = 5").unionAll(frame_.where("doc_id = 5")), table).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    assert toxicity.toxicity_scores(frame_.limit(0), table).count() == 0
+
+
 def test_toxic_documents(spark):
     rng = random.Random(5)
     texts, labels = [], []
@@ -456,11 +509,14 @@ def test_pieces_round_trip(spark, corpus):
 
 def test_best_two_fit_is_tight():
     rng = np.random.default_rng(8)
-    for room, high in ((100, 60), (2048, 2047), (50, 49)):
+    for room, high in ((100, 60), (2048, 2047), (50, 49), (2048, 300)):
         lengths = rng.integers(1, high, 5000)
         where, offset = packing.best_two_fit(lengths, room)
         used = np.bincount(where, lengths)
-        assert used.max() <= room and len(used) <= -(-lengths.sum() // room) * 1.02 + 1 or high * 2 > room
+        assert used.max() <= room and used.min() > 0
+        # no packing can do with fewer: the total, and a bin for each piece of more than half a room
+        least = max(-(-lengths.sum() // room), (2 * lengths > room).sum())
+        assert len(used) <= least * 1.02 + 1
         for s in range(0, len(used), 50):
             of = np.flatnonzero(where == s)
             of = of[np.argsort(offset[of])]
