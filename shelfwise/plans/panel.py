@@ -12,6 +12,7 @@ from shelfwise.operators import forecast as fo
 from shelfwise.operators import panel as pa
 from shelfwise.operators import price as pr
 from shelfwise.operators import ranking as ra
+from shelfwise.operators import segment as sg
 from shelfwise.operators import wins as wi
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import own_scored
@@ -735,6 +736,45 @@ def _(t):
     return fo.change_points(t.filtered)
 
 
+@query("J21_segments", f"""
+WITH RECURSIVE q1 AS (
+  SELECT {SERIES}, week, CAST(base_units AS DOUBLE) AS v, row_number() OVER p AS i, count(*) OVER a AS n,
+    CAST(base_units AS DOUBLE) - avg(CAST(base_units AS DOUBLE)) OVER a AS x,
+    CAST(base_units AS DOUBLE) - lag(CAST(base_units AS DOUBLE)) OVER p AS d
+  FROM c_filtered WHERE base_units IS NOT NULL
+  WINDOW p AS (PARTITION BY {SERIES} ORDER BY week), a AS (PARTITION BY {SERIES})
+), q2 AS (
+  SELECT *, sum(x) OVER p AS one, sum(x * x) OVER p AS two FROM q1
+  WINDOW p AS (PARTITION BY {SERIES} ORDER BY week ROWS UNBOUNDED PRECEDING)
+), q3 AS (
+  SELECT {SERIES}, max(n) AS n, [CAST(0 AS DOUBLE)] || list(one ORDER BY i) AS one,
+    [CAST(0 AS DOUBLE)] || list(two ORDER BY i) AS two, 3 * pow(coalesce(
+      nullif(median(abs(d)) / 0.6744897501960817, 0), stddev_pop(d), 0) / sqrt(2), 2) * ln(greatest(max(n), 2)) + 1e-9 AS pen
+  FROM q2 GROUP BY ALL
+), dp AS (
+  SELECT {SERIES}, n, one, two, pen, CAST(0 AS BIGINT) AS t, [-pen] AS least, [CAST(0 AS BIGINT)] AS origin FROM q3
+  UNION ALL
+  SELECT {SERIES}, n, one, two, pen, t, list_append(least, coalesce(list_min(costs) + pen, CAST('inf' AS DOUBLE))),
+    list_append(origin, coalesce(list_position(costs, list_min(costs)) - 1, 0)) FROM (
+    SELECT {SERIES}, n, one, two, pen, t + 1 AS t, least, origin, list_transform(range(0, t + 2 - 8),
+      lambda s: least[s + 1] + greatest(two[t + 2] - two[s + 1] - pow(one[t + 2] - one[s + 1], 2) / (t + 1 - s), 0)) AS costs
+    FROM dp WHERE t < n) g
+), bt AS (
+  SELECT {SERIES}, n, origin, n AS stop, CASE WHEN n < 16 THEN 0 ELSE origin[n + 1] END AS start FROM dp WHERE t = n
+  UNION ALL
+  SELECT {SERIES}, n, origin, start, origin[start + 1] FROM bt WHERE start > 0
+), sg AS (
+  SELECT {SERIES}, start, min(week) AS first_week, max(week) AS last_week, count(*) AS n_rows, avg(v) AS level
+  FROM bt JOIN q1 USING ({SERIES}) WHERE i > start AND i <= stop GROUP BY ALL
+)
+--
+SELECT {SERIES}, row_number() OVER p AS segment, first_week, last_week, n_rows, level, level - lag(level) OVER p AS shift
+FROM sg WINDOW p AS (PARTITION BY {SERIES} ORDER BY start)
+""")
+def _(t):
+    return sg.change_segments(t.filtered)
+
+
 @query("J22_scenario_totals", f"""
 SELECT {SERIES}, sum(forecast_units_low) AS p10_units_total, sum(forecast_units_base)
     AS p50_units_total, sum(forecast_units_high) AS p90_units_total,
