@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.config import RetailConfig
+from shelfwise.functions.beta import beta_quantile
 from shelfwise.functions.scalar import case, flag, pct_change, safe_div
 from shelfwise.operators import windows as w
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, SERIES_KEYS
@@ -202,6 +203,18 @@ def win_posterior(wins: DataFrame, a0: float = 1.0, b0: float = 1.0, z: float =
     )
 
 
+def win_interval(wins: DataFrame, a0: float = 1.0, b0: float = 1.0, level: float = 0.95) -> DataFrame:
+    """Beta-binomial posterior of the win share with the equal-tailed interval of the beta distribution itself.
+
+    Small groups get the skewed interval they have; it stays inside 0 and 1 by itself. Null counts give nulls.
+    """
+    a, b = F.col("weekly_win_count") + a0, F.col("weekly_loss_count") + b0
+    return wins.select(
+        "*", (a / (a + b)).alias("win_rate_mean"),
+        beta_quantile((1 - level) / 2, a, b).alias("win_rate_low"),
+        beta_quantile((1 + level) / 2, a, b).alias("win_rate_high"))
+
+
 def competitor_pressure(pool: DataFrame, cfg: RetailConfig, new_within_weeks: int = 13) -> DataFrame:
     """Similarity-weighted pressure on each own product per market-week."""
     sim = 1 / F.col("relationship_distance")

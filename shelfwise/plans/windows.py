@@ -350,6 +350,28 @@ def _(t):
     return wi.relation_map(assoc(t)).select("focal_upc", "comparison_upc", *MARKET_KEYS, "relation")
 
 
+@query("H16_win_interval", """
+WITH RECURSIVE wl AS (
+  SELECT week, flavor, 1 + count(*) FILTER (WHERE sku_week_win_flag) AS a,
+    1 + count(*) FILTER (WHERE NOT sku_week_win_flag) AS b FROM c_flags GROUP BY ALL
+), hv AS (
+  SELECT a, b, p, 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  FROM (SELECT DISTINCT a, b FROM wl) d, (VALUES (0.025), (0.975)) q(p)
+  UNION ALL
+  SELECT a, b, p, step + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (
+    SELECT *, list_sum(list_transform(range(a, a + b), lambda j: exp(lgamma(a + b) - lgamma(j + 1) - lgamma(a + b - j)
+      + j * ln(mid) + (a + b - 1 - j) * ln(1 - mid)))) < p AS below
+    FROM (SELECT *, (lo + hi) / 2 AS mid FROM hv WHERE step < 40) m) h
+), qt AS (SELECT a, b, p, (lo + hi) / 2 AS x FROM hv WHERE step = 40)
+--
+SELECT week, flavor, a / (a + b) AS win_rate_mean, l.x AS win_rate_low, h.x AS win_rate_high
+FROM wl JOIN qt l USING (a, b) JOIN qt h USING (a, b) WHERE l.p < 0.5 AND h.p > 0.5
+""")
+def _(t):
+    return wi.win_interval(wi.group_wins(wi.win_flags(t.enriched), ["week", "flavor"])).select(
+        "week", "flavor", "win_rate_mean", "win_rate_low", "win_rate_high")
+
+
 @query("H16_win_posterior", f"""
 WITH x AS (
   SELECT week, flavor, 1.0 + count(*) FILTER (WHERE sku_week_win_flag) AS a,
