@@ -16,7 +16,8 @@ C1_comparison_pool C16_asof_join D1_focal_prepost D2_donor_prepost D9_pack_norms
 E13_rolling_elasticity E17_pack_family F2_dominant_channel G2_classify_new G4_ramp_monitor_12w
 H1_pair_features_single_channel H7_rate_weekly H11_win_association I2_pack_ladder I4_price_windows
 I19_promo_events J2_price_cascade J11_recursive_rule J17_portfolio_constraint J18_tdp_velocity
-L3_rolling_cv L11_ks_shift M6_diff_in_diff""".split()
+L3_rolling_cv L3_refit_fits L5_refit_rollforward L11_ks_shift M6_diff_in_diff H16_win_interval
+I22_refutation_pvalues J21_segments""".split()
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="fixture tables not present")
 
