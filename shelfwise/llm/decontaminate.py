@@ -3,6 +3,7 @@
 An item of m characters may be met with up to `k = m * rate` edits. Cut into k + 1 pieces, at
 least one survives any k edits unharmed, so exact hits of pieces (one Aho-Corasick pass over a
 text) name every place worth a look. Each place is verified by Myers' bit-parallel distance.
+An item too short for a single edit is its own only piece and is met exactly, between word borders.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from shelfwise.llm.text import map_arrow, map_batches, texts
 
 #: Edits per character of an item.
 RATE = 1 / 16
-#: Shorter items (normalised) are only met exactly: between word borders, or a single word by a text that is nothing else.
-MIN_CHARS = 24
 #: Characters of items that a task matches at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 1_000_000
 
@@ -62,18 +61,18 @@ def myers(eq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """Items of one block, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, single_words: bool = False):
         import ahocorasick
 
         self.items, self.whole, short = [], {}, {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text)
-            if len(t) < MIN_CHARS:
+            k = int(len(t) * rate)
+            if not k:
                 if t:
-                    (short if " " in t else self.whole).setdefault(t, []).append(item_id)
+                    (short if single_words or " " in t else self.whole).setdefault(t, []).append(item_id)
                 continue
-            k = int(len(t) * rate)
             at = [len(t) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(at, at[1:]):
                 places.setdefault(t[a:b], []).append((len(self.items), a))
@@ -140,13 +139,15 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
             yield sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r))
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, single_words: bool = False) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, distance, start, end.
 
     Places are in the normalised text (lower case, white space folded), the least distance first,
-    then the earliest. Items under MIN_CHARS are met exactly,
-    between word borders; a single word only where the text is nothing else. Null and empty texts and items match nothing; a repeated document or item
-    matches each time. `docs` needs doc_id and text, `benchmark` item_id and text.
+    then the earliest. Items too short for an edit (`int(length * rate)` is 0) are met exactly,
+    between word borders. Such an item of one word names any text about it, so by default only a
+    text that is nothing else matches; `single_words` meets it between word borders as well.
+    Null and empty texts and items match nothing; a repeated document or item matches each time.
+    `docs` needs doc_id and text, `benchmark` item_id and text.
     """
     out = None
     schema = "doc_id long, item_id long, distance int, start long, end long"
@@ -154,7 +155,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
         def run(batch, items=items, held={}):
             if "m" not in held:  # once per task
-                held["m"] = Matcher(items, rate)
+                held["m"] = Matcher(items, rate, single_words)
             rows = [
                 (d, *hit)
                 for d, raw in zip(batch.column(0).to_pylist(), texts(batch))
@@ -167,12 +168,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no item. Nothing is shuffled."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, single_words: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no item by the rules of `benchmark_hits`.
+
+    Rows with null or empty texts stay, as they hold none; of repeated rows all stay or all go.
+    Nothing is shuffled.
+    """
     for items in blocks(benchmark):
 
         def run(batches, items=items):
-            matcher = Matcher(items, rate)
+            matcher = Matcher(items, rate, single_words)
             for batch in batches:
                 clean = [next(matcher.search(raw.decode()), None) is None for raw in texts(batch)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

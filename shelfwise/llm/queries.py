@@ -70,7 +70,7 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), single_words=True)
 
 
 def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,18 @@ def test_short_items_in_longer_texts(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4]
 
 
+def test_items_of_one_edit_and_single_words(spark):
+    bench = spark.createDataFrame([(1, "capital of france is"), (2, "Canberra")], "item_id long, text string")
+    texts = ["x capital of frence is y", "The capital of Australia is Canberra .", "canberra", "Canberras", "capital of spain is", None, ""]
+    docs = frame(spark, texts)
+    hits = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    assert hits == {(0, 1, 1), (2, 2, 0)}
+    hits = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.benchmark_hits(docs, bench, single_words=True).collect()}
+    assert hits == {(0, 1, 1), (1, 2, 0), (2, 2, 0)}
+    kept = decontaminate.drop_contaminated(docs, bench, single_words=True)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
+
+
 def test_myers():
     rng = random.Random(7)
 
@@ -581,6 +593,39 @@ def test_em_finds_the_reliable_labeler():
             assert (p > 0.5) == (votes[0] == 1)
 
 
+def test_free_weak_spans_against_all_pairs(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(200):
+        spans = [[("k", a, a + rng.randrange(1, 12), str(j)) for j in range(rng.randrange(0, 9)) for a in [rng.randrange(60)]] for _ in range(2)]
+        rows.append((i, *spans))
+    shape = "array<struct<kind:string,start:int,end:int,value:string>>"
+    got = spark.createDataFrame(rows, f"i int, weak {shape}, base {shape}").select(
+        "i", pii._free(F.col("weak"), F.col("base")).alias("free")).collect()
+    for r, (_, weak, base) in zip(sorted(got), rows):
+        assert [tuple(x) for x in r["free"]] == [w for w in weak if not any(w[1] < b[2] and b[1] < w[2] for b in base)]
+
+
+def test_many_spans_in_one_text_and_repeated_rows(spark):
+    rng = random.Random(22)
+    parts = ["jo.%d@site.com", "10.0.0.%d", "+1 415 555 1%03d", "word %d é😀", "4111 1111 1111 1111 x%d"]
+    t = ", ".join(rng.choice(parts) % rng.randrange(200) for _ in range(3000))
+    docs = frame(spark, [t, "jo@site.com"])
+    docs = docs.unionAll(docs)
+    want = pii_base(t)
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == 4 and len({r["base_sha256"] for r in rows}) == 2
+    text = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+    assert next(r for r in rows if r["doc_id"] == 0)["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    out, at = [], 0
+    for s, e, k in sorted((s, e, k) for k, s, e in want):
+        if s >= at:
+            out.append(t[at:s] + f"<{k.upper()}>")
+        at = max(at, e)
+    got = [r["text"] for r in pii.redact_pii(docs).collect() if r["doc_id"] == 0]
+    assert got == ["".join(out) + t[at:]] * 2
+
+
 def test_weak_spans_need_support_and_redaction(spark):
     texts = [f"contact mail jo.{i}@site.com or phone +1 415 555 {1000 + i}." for i in range(60)]
     texts += ["call my phone (415) 555-2671 now", "serial build 000-00-0000", None, "plain text, no data", "é x@y.com, 10.0.0.1 ok"]
