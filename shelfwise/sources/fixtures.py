@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from shelfwise.config import PriceRules, RetailConfig
 from shelfwise.functions.scalar import case, flag, safe_div
 from shelfwise.scale import written
-from shelfwise.schema import SERIES_KEYS
 
 CUSTOMERS_PER_ACCOUNT = 1000
 OWN_SKUS = 8
 CATEGORY_START = date(1995, 1, 2)
 FIRST_LAUNCH = date(1997, 1, 6)
 LAUNCH_STEP_DAYS = 56
+#: measures with a year-ago twin
+YEAR_AGO = ("units", "base_units", "tdp", "arp", "dollars", "avg_weekly_units_spm")
 
 FIXTURE_CONFIG = RetailConfig(
     own_brands=("OWN CORE", "OWN PLUS"),
@@ -119,40 +120,57 @@ class Tables:
         return _STORED[key]
 
     def build_filtered(self) -> DataFrame:
-        """One row per SKU x channel x account x market x week, measures included."""
-        money = "cast(l_extendedprice as decimal(18,2))"
-        disc = "cast(l_discount as decimal(4,2))"
+        """One row per SKU x channel x account x market x week, measures included.
+
+        Order lines are the bulk of the input. They meet the customer of their order on the order
+        key and then move once more, as narrow rows, to their channel and account. An account is a
+        block of customers, so its rows are bounded; folding, store counts and year-ago twins all
+        run where they lie, and columns that follow from others are only added after that.
+        """
         lines = self.read("lineitem").select(
             "l_orderkey",
             "l_partkey",
             F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"),
             F.col("l_quantity").alias("qty"),
-            F.col("l_discount").alias("disc"),
-            F.expr(money).alias("gross"),
-            F.expr(f"{money} * (1 - {disc})").alias("net"),
+            # 1 base price, 2 promotion, 0 neither
+            F.when(F.col("l_discount") <= 0.05, 1).when(F.col("l_discount") > 0.07, 2).otherwise(0)
+            .alias("offer"),
+            F.expr("cast(l_discount as decimal(4,2))").alias("disc"),
+            F.expr("cast(l_extendedprice as decimal(18,2))").alias("gross"),
         )
-        orders = self.read("orders").select("o_orderkey", "o_custkey")
         parts = self.read("part").select(
             "p_partkey", F.substring_index("p_brand", "#", -1).cast("int").alias("bn")
         )
+        sold = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+        if self.trim_launch:
+            sold = sold.where(F.col("week") >= sku_columns(F.col("bn"))["first_week_selling"])
         account = F.floor(F.col("c_custkey") / CUSTOMERS_PER_ACCOUNT).cast("int")
         segment = F.col("c_mktsegment") if self.channel == "segment" else F.lit("ALL")
         customers = self.read("customer").select(
             "c_custkey", "c_nationkey", segment.alias("channel_outlet"), account.alias("acct")
         )
+        stores = customers.groupBy("channel_outlet", "acct").agg(
+            F.count(F.lit(1)).alias("store_count")
+        )
+        buyers = self.read("orders").select("o_orderkey", "o_custkey").join(
+            customers, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+        # a constant channel is no partition key: all later steps could not rely on it
+        place = ["channel_outlet", "acct"] if self.channel == "segment" else ["acct"]
+        # a stated number is never merged into fewer: many groups wait here, and large tasks would spill
+        n_tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # rows of one customer are folded first, so the distinct counts below need no second pass
         cell = ["week", "bn", "channel_outlet", "acct"]
         per_customer = (
-            lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+            sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+            .drop("l_orderkey", "o_orderkey")
+            .repartition(n_tasks, *place)
             .groupBy(*cell, "c_custkey", "c_nationkey")
             .agg(
                 F.sum("qty").alias("units"),
-                F.sum(F.when(F.col("disc") <= 0.05, F.col("qty")).otherwise(0.0)).alias("base_units"),
-                F.sum(F.when(F.col("disc") > 0.07, F.col("qty")).otherwise(0.0)).alias("units_promo"),
+                F.sum(F.when(F.col("offer") == 1, F.col("qty")).otherwise(0.0)).alias("base_units"),
+                F.sum(F.when(F.col("offer") == 2, F.col("qty")).otherwise(0.0)).alias("units_promo"),
                 F.sum("gross").alias("gross"),
-                F.sum("net").alias("net"),
+                F.sum(F.expr("gross * (1 - disc)")).alias("net"),
             )
         )
         cells = per_customer.groupBy(*cell).agg(
@@ -164,16 +182,26 @@ class Tables:
             F.count_distinct("c_nationkey").cast("double").alias("tdp"),
             F.count(F.lit(1)).alias("stores_selling"),
         )
-        stores = customers.groupBy("channel_outlet", "acct").agg(
-            F.count(F.lit(1)).alias("store_count")
-        )
         sku = sku_columns(F.col("bn"))
-        rows = cells.join(stores, ["channel_outlet", "acct"]).select(
-            "*", *[sku[n].alias(n) for n in sku if n != "specific_flavor"]
+        priced = cells.join(stores, ["channel_outlet", "acct"]).select(
+            "*",
+            sku["upc"].alias("upc"),
+            safe_div("dollars", "units").alias("arp"),
+            safe_div("units", "tdp").alias("avg_weekly_units_spm"),
         )
-        if self.trim_launch:
-            rows = rows.where(F.col("week") >= F.col("first_week_selling"))
+        # year-ago twins: the row exactly 52 weeks earlier; an account has one name and one market
+        year_ago = Window.partitionBy("channel_outlet", "acct", "upc").orderBy(
+            F.datediff("week", F.lit(CATEGORY_START))).rangeBetween(-364, -364)
+        rows = priced.select(
+            "*",
+            *[F.max(c).over(year_ago).alias(f"{c}_yago") for c in YEAR_AGO],
+        )
+        rows = rows.select(
+            "*", *[sku[n].alias(n) for n in sku if n not in ("upc", "specific_flavor")]
+        )
+        twins = [f"{c}_yago" for c in YEAR_AGO]
         rows = rows.select(
+            *twins,
             "week",
             "upc",
             "channel_outlet",
@@ -188,10 +216,10 @@ class Tables:
             (F.col("units") - F.col("base_units")).alias("incr_units"),
             (F.col("units") - F.col("units_promo")).alias("units_non_promo"),
             safe_div("units_promo", "units").alias("units_pct_promo"),
-            safe_div("dollars", "units").alias("arp"),
+            "arp",
             safe_div("base_dollars", "units").alias("base_arp"),
             (1 - safe_div("dollars", "base_dollars")).alias("arp_pct_discount_any_promo"),
-            safe_div("units", "tdp").alias("avg_weekly_units_spm"),
+            "avg_weekly_units_spm",
             safe_div("units", "stores_selling").alias(
                 "avg_weekly_units_per_store_selling_per_item"),
             safe_div("stores_selling", "store_count").alias("pct_stores_selling"),
@@ -204,14 +232,7 @@ class Tables:
             (F.col("units_pct_promo") / 2).alias("units_lift_any_display"),
             safe_div("incr_units", "units").alias("units_lift_any_feature"),
         )
-        # year-ago twins: the row exactly 52 weeks earlier, on the series shuffle all windows share
-        year_ago = Window.partitionBy(*SERIES_KEYS).orderBy(
-            F.datediff("week", F.lit(CATEGORY_START))).rangeBetween(-364, -364)
-        return rows.select(
-            "*",
-            *[F.max(c).over(year_ago).alias(f"{c}_yago")
-              for c in ("units", "base_units", "tdp", "arp", "dollars", "avg_weekly_units_spm")],
-        )
+        return rows.select(*[c for c in rows.columns if c not in twins], *twins)
 
     @cached_property
     def enriched(self) -> DataFrame:
