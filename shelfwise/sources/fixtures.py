@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import PriceRules, RetailConfig
 from shelfwise.functions.scalar import case, flag, safe_div
-from shelfwise.scale import written
+from shelfwise.scale import config_lookup, written
 
 CUSTOMERS_PER_ACCOUNT = 1000
 OWN_SKUS = 8
@@ -66,7 +66,7 @@ def sku_columns(bn: Column) -> dict[str, Column]:
     }
 
 
-#: (application, directory, channel, trimmed) -> stored panel
+#: (application, directory, channel, trimmed) -> stored panel; (application, directory, "skus") -> SKUs
 _STORED: dict[tuple, DataFrame] = {}
 
 
@@ -83,12 +83,19 @@ class Tables:
 
     @cached_property
     def skus(self) -> DataFrame:
-        """One row per SKU found in `part`."""
-        bn = F.substring_index("p_brand", "#", -1).cast("int")
-        cols = sku_columns(F.col("bn"))
-        return self.read("part").select(bn.alias("bn")).distinct().select(
-            "bn", *[c.alias(n) for n, c in cols.items()]
-        )
+        """One row per SKU found in `part`.
+
+        Stored on first use, so joins plan with its own size. Derived, it counts as large as `part`,
+        and each join would move the panel by its few product keys.
+        """
+        key = (self.spark.sparkContext.applicationId, self.dir, "skus")
+        if key not in _STORED:
+            bn = F.substring_index("p_brand", "#", -1).cast("int")
+            cols = sku_columns(F.col("bn"))
+            _STORED[key] = written(self.read("part").select(bn.alias("bn")).distinct().select(
+                "bn", *[c.alias(n) for n, c in cols.items()]
+            ))
+        return _STORED[key]
 
     @cached_property
     def flavor_map(self) -> DataFrame:
@@ -105,7 +112,7 @@ class Tables:
 
     @cached_property
     def overrides(self) -> DataFrame:
-        return self.spark.createDataFrame(OVERRIDES, "upc string, flavor_canonical string")
+        return config_lookup(self.spark, OVERRIDES, "upc string, flavor_canonical string")
 
     @cached_property
     def filtered(self) -> DataFrame:

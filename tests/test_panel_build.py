@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from shelfwise.operators.enrich import enrich
 from shelfwise.sources.fixtures import Tables
 
 MON = dt.datetime(1999, 3, 1)
@@ -79,3 +80,26 @@ def test_order_lines_move_once_to_their_account(spark, folder, channel):
     assert plan.split("REPARTITION_BY_NUM")[0].count("Exchange ") == 1
     # lines, parts, lines to orders, orders, customers, buyers, account, the two sides of store counts
     assert plan.count("Exchange ") <= 9
+
+
+def test_enrichment_leaves_the_panel_where_it_lies(spark, tmp_path):
+    """Neither lookup moves the panel by product, however large `part` is."""
+    t = Tables(spark, str(tmp_path))
+    spark.createDataFrame([(k, f"Brand#{k % 25 + 1}") for k in range(20000)], "p_partkey long, p_brand string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    panel = [(f"SKU-{k:02d}", "A", "ACCT-0", "OWN CORE", "FL9", 1) for k in (6, 7, 99)]
+    spark.createDataFrame(panel, "upc string, channel_outlet string, retail_account string, source_brand string, "
+                          "flavor_raw string, source_pack_count long").write.parquet(f"{tmp_path}/panel.parquet")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        # less than `part` counts for, more than its SKUs do
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = enrich(t.read("panel"), t.flavor_map, t.overrides, t.cfg)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
+    assert {r.upc: (r.flavor, r.pack_count) for r in out.collect()} == {
+        "SKU-06": ("FL1", 4), "SKU-07": ("FL1", 4), "SKU-99": ("FL9", 1)}
