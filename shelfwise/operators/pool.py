@@ -80,7 +80,7 @@ def comparison_type(distance: str | Column = "relationship_distance") -> Column:
 
 
 def comparison_pool(
-    enriched: DataFrame, cfg: RetailConfig, start=None, end=None
+    enriched: DataFrame, cfg: RetailConfig, start=None, end=None, by_market: bool = False
 ) -> DataFrame:
     """Directed pairs of related products selling in the same market-week.
 
@@ -90,6 +90,10 @@ def comparison_pool(
     the join free of a quadratic residual, splits large market-weeks by token, and needs no
     de-duplication. Pairs of an own and a foreign product are emitted in both directions from the
     same match.
+
+    `by_market` deals rows by market, once and before they get their tokens. Executed under
+    `scale.keys_in_part`, the join by week and token runs on that, and so does whatever folds the
+    pairs of a market over its weeks: a pair lies in one task.
     """
     rows = enriched.where(F.col("market_excluded_flag") == 0)
     if start is not None:
@@ -109,6 +113,10 @@ def comparison_pool(
     )
 
     def side(prefix: str, df: DataFrame) -> DataFrame:
+        if by_market:
+            # a stated number is never merged into fewer: pairs are many more than rows
+            n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartition(n_tasks, *MARKET_KEYS)
         return df.select(
             *MARKET_WEEK_KEYS, "geography_level", tokens.alias("_token"),
             *[F.col(c).alias(f"{prefix}{n}") for c, n in names.items()],

@@ -12,7 +12,7 @@ from shelfwise.functions.stats import student_sf2
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import own_scored, parent_brand
 from shelfwise.operators.pool import LAUNCH_PAIR, launch_pairs
-from shelfwise.scale import join_null_safe, written
+from shelfwise.scale import join_null_safe, keys_in_part, written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 _AVG4 = ("velocity_spm", "velocity_store_selling", "pct_stores_selling", "arp", "units_pct_promo")
@@ -63,9 +63,12 @@ def donor_prepost(pool: DataFrame, filtered: DataFrame, cfg: RetailConfig) -> Da
 
     The windows depend on (candidate series, launch date) only, so history is joined and
     aggregated once per such pair, not once per focal product, and then attached to the pairs.
+
+    A pair recurs every week. Of a pool dealt by market, the pairs are folded where they lie.
     """
     # the distinct pairs are small next to the weekly pool and used twice: join the pool only once
-    pairs = written(launch_pairs(pool))
+    with keys_in_part(pool.sparkSession):
+        pairs = written(launch_pairs(pool))
     anchors = pairs.select(
         F.col("candidate_upc").alias("upc"), *MARKET_KEYS,
         F.col("focal_first_week_selling").alias("_launch"),

@@ -18,8 +18,8 @@ MARKET = "channel_outlet, retail_account, geography_raw"
 PAIR = f"focal_upc, donor_upc, {MARKET}"
 
 
-def pool(t):
-    return po.comparison_pool(t.enriched, t.cfg)
+def pool(t, by_market=False):
+    return po.comparison_pool(t.enriched, t.cfg, by_market=by_market)
 
 
 def prepost(t):
@@ -27,7 +27,7 @@ def prepost(t):
 
 
 def pairs(t, min_weeks=8, **kw):
-    donor = tr.donor_prepost(pool(t), t.filtered, t.cfg)
+    donor = tr.donor_prepost(pool(t, by_market=True), t.filtered, t.cfg)
     return tr.pair_features(prepost(t), donor, min_weeks, **kw)
 
 
@@ -138,7 +138,7 @@ def _(t):
 
 @query("D2_donor_prepost", "SELECT * FROM c_donor")
 def _(t):
-    return tr.donor_prepost(pool(t), t.filtered, t.cfg)
+    return tr.donor_prepost(pool(t, by_market=True), t.filtered, t.cfg)
 
 
 @query("D3_filtered_aggregates", f"""

@@ -12,7 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def keys_in_part(spark: SparkSession) -> Iterator[None]:
+    """Within it, a join runs where both sides lie if both are dealt by the same part of its keys.
+
+    Spark's default deals them again by all keys, against skew; use it where the part's groups are
+    bounded. A plan is made when a job starts, so the job has to run inside.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on `keys` in which null meets null; keeps the left side's keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
