@@ -33,6 +33,8 @@ FAN_OUT = 4
 BATCHES = 8
 #: Keys a task counts before it hands them on.
 FLUSH = 200_000
+#: Counted keys, of all batches together, that make one more bucket.
+BUCKET_ROWS = 200_000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -71,6 +73,19 @@ def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
     return map_arrow(docs.select("batch", "text"), run, out)
 
 
+def bucket_count(counts: DataFrame) -> int:
+    """Buckets of the runs of `counts`: by its rows, at most the session's shuffle partitions.
+
+    Each bucket of each run is a file, so more buckets than the keys need are many tiny files. Where the
+    session forbids Spark to merge small partitions, its own number holds.
+    """
+    conf = counts.sparkSession.conf
+    most = int(conf.get("spark.sql.shuffle.partitions"))
+    if conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true":
+        return most
+    return min(most, max(1, -(-counts.count() // BUCKET_ROWS)))
+
+
 class LineRuns:
     """Sorted runs of (key, n_docs) on levels; `add` takes a batch, `common` gives the common keys."""
 
@@ -86,7 +101,10 @@ class LineRuns:
         return self.spark.table(name)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Runs merged by key: a full outer merge join of each two neighbours, bucket by bucket."""
+        """Runs merged by key: a full outer merge join of each two neighbours, bucket by bucket.
+
+        Results of joins are dealt by bucket again, so that each task of the last join writes one file.
+        """
         n = F.least(F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0)), F.lit(self.min_docs))
         while len(runs) > 1:
             pairs = [runs[i : i + 2] for i in range(0, len(runs), 2)]
@@ -95,6 +113,8 @@ class LineRuns:
                 if len(p) == 2 else p[0]
                 for p in pairs
             ]
+            if len(runs) > 1:  # a full outer join's rows lie by bucket, but Spark does not know it
+                runs = [r.repartition(self.buckets, "key") for r in runs]
         return runs[0]
 
     def add(self, counts: DataFrame) -> None:
@@ -124,7 +144,7 @@ def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batche
     """(key) of the lines that at least `min_docs` rows of `docs` hold, by batches of its rows."""
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "text")
     counts = written(line_counts(dealt, min_chars))
-    runs = LineRuns(docs.sparkSession, min_docs)
+    runs = LineRuns(docs.sparkSession, min_docs, buckets=bucket_count(counts))
     for b in range(batches):
         runs.add(counts.where(F.col("batch") == b).select("key", "n_docs"))
     return written(runs.common())

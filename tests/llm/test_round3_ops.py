@@ -66,6 +66,28 @@ def test_runs_are_compacted(spark):
     assert {bytes(r[0]) for r in runs.common().collect()} == {b"a", b"b", b"d"}
 
 
+def test_runs_have_no_more_files_than_their_keys_need(spark, tmp_path, monkeypatch):
+    """One file a bucket and run, buckets by the keys: many shuffle partitions made as many tiny files a run."""
+    at = iter(range(100))
+    monkeypatch.setattr(ld, "scratch_dir", lambda _: str(tmp_path / f"run{next(at)}"))
+    docs = frame(spark, [f"same\nline {i}\nline {i % 400}" for i in range(800)]).repartition(3)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def files():
+        runs = [len(list(d.glob("*.parquet"))) for d in tmp_path.iterdir()]
+        got = {r["text"] for r in ld.drop_common_lines(docs, 10).collect()}
+        assert got == {f"line {i}\nline {i % 400}" for i in range(800)}
+        return [len(list(d.glob("*.parquet"))) for d in tmp_path.iterdir()][len(runs):]
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert set(files()) == {1}
+        monkeypatch.setattr(ld, "BUCKET_ROWS", 300)
+        assert 2 <= max(files()) <= 8  # compacted runs too: some 2000 counted keys
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_no_documents_no_lines(spark):
     assert ld.drop_common_lines(frame(spark, [])).count() == 0
     clash = frame(spark, ["a\nb"] * 3).withColumn("n_lines", F.lit("mine"))
