@@ -6,13 +6,16 @@ from collections.abc import Sequence
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwise.functions.scalar import case, flag, safe_div
 from shelfwise.functions.stats import normal_sf2, student_sf2
 from shelfwise.operators.windows import day_number
-from shelfwise.scale import durable
+from shelfwise.scale import MAX_BROADCAST_ROWS, durable, growing, written
 from shelfwise.schema import SERIES_KEYS
 
 EVENT_KEYS = [*SERIES_KEYS, "event_week"]
@@ -22,6 +25,11 @@ EVENT_KEYS = [*SERIES_KEYS, "event_week"]
 PEARSON_GRID = (0.30, 0.40, 0.50)
 PRICE_GRID = (0.10, 0.05, 0.03)
 BASELINE = (0.40, 0.05)
+SENSITIVITY = [(a, b) for a in PEARSON_GRID for b in PRICE_GRID]
+TOP_CONTROLS = 3
+
+#: Controls and events that meet in one task at a time, and pairs where all of them are returned.
+TILE_CONTROLS, TILE_EVENTS, TILE_PAIRS = 512, 8192, 512 * 512
 
 
 def price_event_windows(windows: DataFrame, min_move: float = 0.05) -> DataFrame:
@@ -34,12 +42,11 @@ def price_event_windows(windows: DataFrame, min_move: float = 0.05) -> DataFrame
         F.col("post_13w_weeks_count").cast("int").alias("post_weeks"))
 
 
-def _week_maps(panel: DataFrame) -> DataFrame:
+def _week_series(panel: DataFrame) -> DataFrame:
     """Units and price of a series by day number; one entry per week, so bounded by the calendar."""
+    values = F.struct(F.col("base_units").cast("double").alias("u"), F.col("arp").cast("double").alias("p"))
     return panel.groupBy(*SERIES_KEYS).agg(
-        F.map_from_entries(F.collect_list(F.struct(day_number().alias("d"), F.col("base_units").cast("double").alias("u")))).alias("units"),
-        F.map_from_entries(F.collect_list(F.struct(day_number().alias("d"), F.col("arp").cast("double").alias("p")))).alias("prices"),
-    )
+        F.map_from_entries(F.collect_list(F.struct(day_number().alias("d"), values.alias("v")))).alias("_weeks"))
 
 
 def _at(m: str | Column, days: Column) -> Column:
@@ -72,36 +79,174 @@ def _moments(xs: Column, ys: Column) -> Column:
     return let(means, with_means)
 
 
-def control_pairs(panel: DataFrame, events: DataFrame, min_weeks: int = 8) -> DataFrame:
+def _price_drift(prices: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Relative change from the first to the last known price of each column."""
+    each, last = np.arange(prices.shape[1]), len(prices) - 1
+    a = prices[known.argmax(axis=0), each]
+    b = prices[last - known[::-1].argmax(axis=0), each]
+    return np.abs((b - a) / np.maximum(a, 0.01))
+
+
+def _correlations(x: np.ndarray, ys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation of `x` with each column of `ys` where it is known, and whether there is one.
+
+    Adds row by row, as the fold over a week array does, so the sums are the same to the last bit.
+    """
+    n = known.sum(axis=0)
+
+    def total(terms: np.ndarray) -> np.ndarray:
+        out = np.zeros(terms.shape[1])
+        for row in terms:
+            out += row
+        return out
+
+    with np.errstate(all="ignore"):
+        dx = np.where(known, x[:, None] - total(np.where(known, x[:, None], 0.0)) / n, 0.0)
+        dy = np.where(known, ys - total(np.where(known, ys, 0.0)) / n, 0.0)
+        spread = np.sqrt(total(dx * dx) * total(dy * dy))
+        return total(dx * dy) / spread, spread != 0
+
+
+def _judge(events: pa.Table, controls: pa.Table, min_weeks: int, rules: Sequence[tuple[float, float]] | None, top: int):
+    """Pairs of one tile: positions in `events` and `controls`, correlation, drift, control units before and after."""
+    account, geography = (controls[c].to_pylist() for c in ("control_account", "control_geography"))
+    order = sorted(range(len(account)), key=lambda i: (account[i], geography[i] is not None, geography[i] or ""))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    days = controls["_days"].combine_chunks()
+    calendar, day = np.unique(days.flatten().to_numpy(), return_inverse=True)
+    rows = {d: i for i, d in enumerate(calendar.tolist())}
+    series = np.repeat(place, days.value_lengths().to_numpy())
+
+    def grid(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Values by day and series and where there are any; the last row stands for days that no series has."""
+        flat = controls[name].combine_chunks().flatten()
+        values, known = np.zeros((len(rows) + 1, len(order))), np.zeros((len(rows) + 1, len(order)), dtype=bool)
+        known[day, series] = flat.is_valid().to_numpy(zero_copy_only=False)
+        values[day, series] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        return values, known
+
+    (units, units_known), (prices, prices_known) = grid("_units"), grid("_prices")
+    codes = {a: i for i, a in enumerate(dict.fromkeys(account))}
+    code = np.array([codes[account[i]] for i in order])
+    # the least correlation by price tolerance: what another rule of the same tolerance takes comes first here too
+    floors = {} if rules is None else {t: min(r for r, u in rules if u == t) for _, t in rules}
+
+    wanted = list(zip(*(events[c].to_pylist() for c in ("_pre", "_post", "_y0", "retail_account"))))
+    window, found = None, []
+    for i in sorted(range(len(wanted)), key=lambda i: wanted[i][:2]):
+        pre, post, y, own = wanted[i]
+        if (pre, post) != window:
+            # events of one window share the drift of the controls, which has nothing to do with the focal
+            window = (pre, post)
+            before, after = ([rows.get(d, -1) for d in w] for w in window)
+            drift = _price_drift(prices[before + after], prices_known[before + after])
+            usable = prices_known[before + after].sum(axis=0) >= 2
+            if rules is not None:
+                usable &= drift < max(floors)
+            usable = np.flatnonzero(usable)
+            near, near_known = units[before][:, usable], units_known[before][:, usable]
+        seen = [k for k, v in enumerate(y) if v is not None]
+        if len(seen) < min_weeks or not len(usable):
+            continue
+        at = np.flatnonzero((near_known[seen].sum(axis=0) >= min_weeks) & (code[usable] != codes.get(own, -1)))
+        if not len(at):
+            continue
+        r, has = _correlations(np.array([y[k] for k in seen], dtype=float), near[seen][:, at], near_known[seen][:, at])
+        moved = drift[usable[at]]
+        if rules is None:
+            kept = np.arange(len(at))
+        else:
+            # Spark orders NaN above all numbers; ties go by account and geography, the order of the columns
+            ranked = np.argsort(-np.where(np.isnan(r), np.inf, r), kind="stable")
+            ranked = ranked[has[ranked]]
+            kept = np.unique(np.concatenate(
+                [ranked[(moved[ranked] < t) & ~(r[ranked] < floor)][:top] for t, floor in floors.items()]))
+        if len(kept):
+            c = usable[at[kept]]
+            found.append((np.full(len(c), i), np.array(order)[c], r[kept], has[kept], moved[kept],
+                          *((units[w][:, c], units_known[w][:, c]) for w in (before, after))))
+    return found
+
+
+def _values(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """One list per column of each part, in order."""
+    lengths = np.concatenate([np.full(v.shape[1], v.shape[0]) for v, _ in parts])
+    values = pa.array(np.concatenate([v.T.ravel() for v, _ in parts]), mask=~np.concatenate([k.T.ravel() for _, k in parts]))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values)
+
+
+def control_pairs(panel: DataFrame, events: DataFrame, min_weeks: int = 8,
+                  rules: Sequence[tuple[float, float]] | None = None, top: int = TOP_CONTROLS) -> DataFrame:
     """M1: every usable control of an event with its pre-period correlation and price drift.
 
-    Controls sell the same product in the same channel at another account. Series meet as whole
-    rows (week maps), so a pair is judged inside its row and no weekly pairs are shuffled.
+    Controls sell the same product in the same channel at another account. All pairs of a product
+    and channel are judged, in tiles of bounded size: a tile holds the weeks of some controls as
+    arrays and passes each of its events over all of them at once. Of the focal only the weeks of
+    the event's window travel.
+
+    `rules` lists correlation floors and price tolerances of a choice that follows. Then a tile
+    returns the `top` controls of an event by each rule, in the order of `select_controls`; no
+    other pair can be chosen. Without them all usable pairs are returned.
     """
-    maps = _week_maps(panel)
-    focal = events.join(maps, SERIES_KEYS).withColumnsRenamed({"units": "_fu"}).drop("prices")
-    cand = maps.select(
-        "upc", "channel_outlet", F.col("retail_account").alias("control_account"),
-        F.col("geography_raw").alias("control_geography"), F.col("units").alias("_cu"),
-        F.col("prices").alias("_cp"))
+    weeks = written(_week_series(panel))
     end = day_number("event_week")
     post_start = end - 7 * F.col("post_weeks")
     pre_start = post_start - 7 - 7 * F.col("pre_weeks")
-    j = focal.join(cand, ["upc", "channel_outlet"]).where(
-        F.col("control_account") != F.col("retail_account")).select(
-        "*", F.sequence(pre_start, post_start - 7, F.lit(7)).alias("_pre"),
-        F.sequence(post_start, end, F.lit(7)).alias("_post"))
-    path = F.filter(_at("_cp", F.concat("_pre", "_post")), lambda p: p.isNotNull())
-    j = j.select("*", _moments(_at("_fu", F.col("_pre")), _at("_cu", F.col("_pre"))).alias("_m"), path.alias("_p"))
-    r = safe_div("_m.sxy", F.sqrt(F.col("_m.sxx") * F.col("_m.syy")))
-    first, last = F.try_element_at("_p", F.lit(1)), F.try_element_at("_p", F.lit(-1))
-    drift = (last - first) / F.greatest(first, F.lit(0.01))
-    return j.where((F.size("_p") >= 2) & (F.col("_m.n") >= min_weeks)).select(
-        *EVENT_KEYS, "price_pct_chg", "control_account", "control_geography",
-        r.alias("pre_corr"), F.abs(drift).alias("control_price_drift"), "_fu", "_cu", "_pre", "_post")
-
-
-def select_controls(pairs: DataFrame, pearson: float = BASELINE[0], price_tol: float = BASELINE[1], top: int = 3) -> DataFrame:
+    seen = lambda days: F.transform(_at("_weeks", F.col(days)), lambda v: v["u"])
+    focal = written(
+        growing(events).join(growing(weeks), SERIES_KEYS).select(
+            *EVENT_KEYS, "price_pct_chg", "_weeks",
+            F.sequence(pre_start, post_start - 7, F.lit(7)).alias("_pre"),
+            F.sequence(post_start, end, F.lit(7)).alias("_post"))
+        .select(*EVENT_KEYS, "price_pct_chg", "_pre", "_post", seen("_pre").alias("_y0"), seen("_post").alias("_y1"))
+        # a pair has at most the focal's own weeks
+        .where(F.size(F.filter("_y0", lambda v: v.isNotNull())) >= min_weeks))
+    cand = weeks.select(
+        "upc", "channel_outlet", F.col("retail_account").alias("control_account"),
+        F.col("geography_raw").alias("control_geography"), F.map_keys("_weeks").alias("_days"),
+        F.map_values("_weeks")["u"].alias("_units"), F.map_values("_weeks")["p"].alias("_prices"),
+    ).where(F.col("control_account").isNotNull())
+    group = ["upc", "channel_outlet"]
+    per_tile = TILE_PAIRS if rules is None else TILE_EVENTS * TILE_CONTROLS
+    many = lambda df, size: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
+    # one row for each product and channel with an event
+    tiles = written(many(focal, per_tile // TILE_CONTROLS).withColumnRenamed("_n", "_events").join(
+        many(cand, TILE_CONTROLS).withColumnRenamed("_n", "_controls"), group))
+    tiles = F.broadcast(tiles) if tiles.count() <= MAX_BROADCAST_ROWS else growing(tiles)
+    deal = [*group, "_e", "_c"]
+    n_tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str, by: Sequence[str]) -> DataFrame:
+        """Each row once for every tile of the other side. Tiles cost time, not bytes: their tasks are never merged."""
+        return df.join(tiles, group).withColumn(own, F.pmod(F.xxhash64(*by), n_own).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_events", "_controls").repartition(n_tasks, *deal)
+
+    left = dealt(focal, "_e", "_events", "_c", "_controls", ["retail_account", "geography_raw", "event_week"])
+    right = dealt(cand, "_c", "_controls", "_e", "_events", ["control_account", "control_geography"])
+    lists = T.ArrayType(T.DoubleType())
+    own = [*EVENT_KEYS, "price_pct_chg"]
+    out = T.StructType([focal.schema[c] for c in own] + [
+        T.StructField("control_account", T.StringType()), T.StructField("control_geography", T.StringType()),
+        T.StructField("pre_corr", T.DoubleType()), T.StructField("control_price_drift", T.DoubleType()),
+        *[T.StructField(c, lists) for c in ("_y0", "_y1", "_c0", "_c1")]])
+    arrow = to_arrow_schema(out)
+
+    def judge(events: pa.Table, controls: pa.Table) -> pa.Table:
+        found = _judge(events, controls, min_weeks, rules, top) if events.num_rows and controls.num_rows else []
+        if not found:
+            return arrow.empty_table()
+        e, c, r, has, drift, before, after = zip(*found)
+        mine, theirs = events.take(np.concatenate(e)), controls.take(np.concatenate(c))
+        columns = {n: mine[n] for n in (*own, "_y0", "_y1")} | {n: theirs[n] for n in ("control_account", "control_geography")}
+        columns |= {"pre_corr": pa.array(np.concatenate(r), mask=~np.concatenate(has)),
+                    "control_price_drift": pa.array(np.concatenate(drift)), "_c0": _values(before), "_c1": _values(after)}
+        return pa.table({n: columns[n] for n in arrow.names}).cast(arrow)
+
+    return left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInArrow(judge, out)
+
+
+def select_controls(pairs: DataFrame, pearson: float = BASELINE[0], price_tol: float = BASELINE[1], top: int = TOP_CONTROLS) -> DataFrame:
     """M1: the best-correlated controls with a stable price."""
     ok = pairs.where((F.col("pre_corr") >= pearson) & (F.col("control_price_drift") < price_tol))
     order = Window.partitionBy(*EVENT_KEYS).orderBy(F.desc("pre_corr"), "control_account", "control_geography")
@@ -113,19 +258,19 @@ def _impact(chosen: DataFrame, keys: Sequence[str], min_pre: int, min_post: int)
     g = chosen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_control_series"),
         F.array_join(F.sort_array(F.collect_list("control_account")), "|").alias("control_accounts"),
-        F.collect_list("_cu").alias("_cus"), F.first("_fu").alias("_fu"), F.first("_pre").alias("_pre"),
-        F.first("_post").alias("_post"), F.first("price_pct_chg").alias("price_pct_chg"))
+        F.collect_list("_c0").alias("_c0s"), F.collect_list("_c1").alias("_c1s"), F.first("_y0").alias("_y0"),
+        F.first("_y1").alias("_y1"), F.first("price_pct_chg").alias("price_pct_chg"))
 
-    def mean_at(days: str) -> Column:
-        def one(d: Column) -> Column:
-            vals = F.transform("_cus", lambda m: F.try_element_at(m, d))
+    def mean_of(lists: str) -> Column:
+        def one(_, i: Column) -> Column:
+            vals = F.transform(lists, lambda v: F.get(v, i))
             whole = F.forall(vals, lambda v: v.isNotNull())
             return F.when(whole, F.aggregate(vals, F.lit(0.0), lambda a, v: a + v) / F.size(vals))
 
-        return F.transform(days, one)
+        # the lists of an event have an entry for each week of its window
+        return F.transform(F.get(lists, F.lit(0)), one)
 
-    g = g.select("*", mean_at("_pre").alias("_c0"), mean_at("_post").alias("_c1"),
-                 _at("_fu", F.col("_pre")).alias("_y0"), _at("_fu", F.col("_post")).alias("_y1"))
+    g = g.select("*", mean_of("_c0s").alias("_c0"), mean_of("_c1s").alias("_c1"))
     g = g.withColumn("_m", _moments(F.col("_c0"), F.col("_y0")))
     slope = F.coalesce(safe_div("_m.sxy", "_m.sxx"), F.lit(0.0))
     g = g.select("*", slope.alias("_b"))
@@ -165,12 +310,12 @@ def event_impact(pairs: DataFrame, pearson: float = BASELINE[0], price_tol: floa
     return _impact(select_controls(pairs, pearson, price_tol), EVENT_KEYS, min_pre, min_post)
 
 
-def impact_sensitivity(pairs: DataFrame, min_pre: int = 8, min_post: int = 4, top: int = 3) -> DataFrame:
+def impact_sensitivity(pairs: DataFrame, min_pre: int = 8, min_post: int = 4, top: int = TOP_CONTROLS) -> DataFrame:
     """M3: the nine control rules at once; how often the baseline finding holds, in words.
 
     Pairs are judged once; the grid is a column of the same frame.
     """
-    grid = [(a, b) for a in PEARSON_GRID for b in PRICE_GRID]
+    grid = SENSITIVITY
     variants = F.explode(F.array(*[
         F.struct(F.lit(i).alias("variant"), F.lit(a).alias("pearson"), F.lit(b).alias("tol"))
         for i, (a, b) in enumerate(grid)]))

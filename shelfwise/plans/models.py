@@ -199,8 +199,8 @@ def events(t):
     return ca.price_event_windows(pr.price_windows(prices(t), 4))
 
 
-def control_pairs(t):
-    return ca.control_pairs(own_scored(t.enriched, t.cfg), events(t))
+def control_pairs(t, rules=None):
+    return ca.control_pairs(own_scored(t.enriched, t.cfg), events(t), rules=rules)
 
 
 EVENT_SQL = f"""
@@ -243,12 +243,12 @@ SELECT {SERIES}, event_week, control_account, rn AS control_rank FROM (SELECT *,
   FROM prs WHERE pre_corr >= 0.40 AND control_price_drift < 0.05) q WHERE rn <= 3
 """)
 def _(t):
-    return ca.select_controls(control_pairs(t)).select(*ca.EVENT_KEYS, "control_account", "control_rank")
+    return ca.select_controls(control_pairs(t, [ca.BASELINE])).select(*ca.EVENT_KEYS, "control_account", "control_rank")
 
 
 @query("M2_event_impact")
 def _(t):
-    return ca.event_impact(control_pairs(t))
+    return ca.event_impact(control_pairs(t, [ca.BASELINE]))
 
 
 @query("M3_impact_sensitivity")

@@ -70,6 +70,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join by series, pair or event: it grows with the data and is never sent whole.
+
+    Spark would decide by the size of files. Repeated keys take a hundredth of their memory there, so
+    a table of a few MB can be GB in the driver. A key's rows have to be bounded.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def keys_in_part(spark: SparkSession) -> Iterator[None]:
     """Within it, a join runs where both sides lie if both are dealt by the same part of its keys.
