@@ -253,7 +253,7 @@ def _(t):
 
 @query("M3_impact_sensitivity")
 def _(t):
-    return ca.impact_sensitivity(control_pairs(t))
+    return ca.impact_sensitivity(control_pairs(t, ca.SENSITIVITY))
 
 
 PRE, CUT, END = dt.date(1999, 1, 4), dt.date(2000, 1, 3), dt.date(2000, 7, 3)
