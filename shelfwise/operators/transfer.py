@@ -12,7 +12,7 @@ from shelfwise.functions.stats import student_sf2
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import own_scored, parent_brand
 from shelfwise.operators.pool import LAUNCH_PAIR, launch_pairs
-from shelfwise.scale import join_null_safe, keys_in_part, written
+from shelfwise.scale import growing, join_null_safe, keys_in_part, written
 from shelfwise.schema import MARKET_KEYS, SERIES_KEYS
 
 _AVG4 = ("velocity_spm", "velocity_store_selling", "pct_stores_selling", "arp", "units_pct_promo")
@@ -87,7 +87,7 @@ def donor_prepost(pool: DataFrame, filtered: DataFrame, cfg: RetailConfig) -> Da
            "candidate_brand_line"]
     # only weeks that some window can hold are joined; pairs without any keep zero sums
     first, last = min(s.first for s, *_ in DONOR_SPEC), max(s.last for s, *_ in DONOR_SPEC)
-    tagged = anchors.join(history, SERIES_KEYS).withColumn(
+    tagged = anchors.join(growing(history), SERIES_KEYS).withColumn(
         "_offset", weeks_between("week", "_launch")
     ).where(F.col("_offset").between(first, last))
     stats = tagged.groupBy(*SERIES_KEYS, "_launch", *ids).agg(
@@ -101,7 +101,8 @@ def donor_prepost(pool: DataFrame, filtered: DataFrame, cfg: RetailConfig) -> Da
     return (
         # a candidate may lack its description, flavor or pack count
         join_null_safe(
-            pairs.join(products, series), stats, [*series, "focal_first_week_selling", *ids], "left"
+            pairs.join(growing(products), series), growing(stats),
+            [*series, "focal_first_week_selling", *ids], "left",
         )
         .select(
             *LAUNCH_PAIR, *ids,
@@ -164,7 +165,7 @@ def pair_features(
          and c != "candidate_upc"}
     )
     keys = ["focal_upc", *MARKET_KEYS, "focal_first_week_selling"]
-    j = f.join(d, keys).where(
+    j = f.join(growing(d), keys).where(
         (F.col("post_13w_weeks_count") >= min_weeks)
         & (F.col("donor_pre_13w_weeks_count") >= min_weeks)
         & (F.col("donor_post_13w_weeks_count") >= min_weeks)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Largest configuration list that may be shipped to every executor.
 MAX_BROADCAST_ROWS = 10_000
+#: Largest table of few numbers that Spark may broadcast by the size of its files: some 150 MB in memory.
+MAX_LOOKUP_ROWS = 2_000_000
 #: Rank error of the sketch used to bracket exact quantiles is n / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
@@ -79,6 +81,11 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def counted(df: DataFrame, rows: int) -> DataFrame:
+    """A lookup of that many rows: the optimizer's to place while they are few, else `growing`."""
+    return df if rows <= MAX_LOOKUP_ROWS else growing(df)
+
+
 @contextmanager
 def keys_in_part(spark: SparkSession) -> Iterator[None]:
     """Within it, a join runs where both sides lie if both are dealt by the same part of its keys.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.config import PriceRules, RetailConfig
 from shelfwise.functions.scalar import case, flag, safe_div
-from shelfwise.scale import config_lookup, written
+from shelfwise.scale import config_lookup, counted, written
 
 CUSTOMERS_PER_ACCOUNT = 1000
 OWN_SKUS = 8
@@ -148,6 +148,7 @@ class Tables:
         parts = self.read("part").select(
             "p_partkey", F.substring_index("p_brand", "#", -1).cast("int").alias("bn")
         )
+        parts = counted(parts, self.read("part").count())
         sold = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
         if self.trim_launch:
             sold = sold.where(F.col("week") >= sku_columns(F.col("bn"))["first_week_selling"])
@@ -160,7 +161,7 @@ class Tables:
             F.count(F.lit(1)).alias("store_count")
         )
         buyers = self.read("orders").select("o_orderkey", "o_custkey").join(
-            customers, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+            counted(customers, self.read("customer").count()), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
         # a constant channel is no partition key: all later steps could not rely on it
         place = ["channel_outlet", "acct"] if self.channel == "segment" else ["acct"]
         # a stated number is never merged into fewer: many groups wait here, and large tasks would spill

@@ -79,3 +79,13 @@ def test_setting_is_restored_after_an_error(spark):
     with pytest.raises(RuntimeError), keys_in_part(spark):
         raise RuntimeError
     assert spark.conf.get(PART) == was
+
+
+def test_pairs_and_histories_are_never_sent_whole(spark):
+    """However few bytes their files take: a pair of launches takes a hundredth there."""
+    df = rows(spark)
+    filtered = df.withColumns({"flavor_raw": F.col("flavor"), "source_pack_count": F.col("pack_count")})
+    donors = transfer.donor_prepost(pool.comparison_pool(df, CFG, by_market=True), filtered, CFG)
+    pairs = transfer.pair_features(transfer.focal_prepost(df, CFG), donors, min_weeks=0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan

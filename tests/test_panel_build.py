@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 
+from shelfwise import scale
 from shelfwise.operators.enrich import enrich
 from shelfwise.sources.fixtures import Tables
 
@@ -103,3 +104,14 @@ def test_enrichment_leaves_the_panel_where_it_lies(spark, tmp_path):
     assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
     assert {r.upc: (r.flavor, r.pack_count) for r in out.collect()} == {
         "SKU-06": ("FL1", 4), "SKU-07": ("FL1", 4), "SKU-99": ("FL9", 1)}
+
+
+def test_large_lookups_are_not_broadcast_by_the_size_of_their_files(spark, folder, monkeypatch):
+    def joins():
+        plan = Tables(spark, folder).build_filtered()._jdf.queryExecution().executedPlan().toString()
+        return [f"BroadcastHashJoin [{k}" in plan for k in ("l_partkey", "o_custkey")]
+
+    assert joins() == [True, True]
+    was = rows(Tables(spark, folder))
+    monkeypatch.setattr(scale, "MAX_LOOKUP_ROWS", 2)
+    assert joins() == [False, False] and rows(Tables(spark, folder)) == was
