@@ -15,7 +15,7 @@ from shelfwise.functions.scalar import (
 )
 from shelfwise.operators import windows as w
 from shelfwise.operators.enrich import attach_tier, excluded_market, is_own, own_scored, price_quality
-from shelfwise.scale import exact_quantiles, join_null_safe, written
+from shelfwise.scale import exact_quantiles, growing, join_null_safe, sizes_measured, written
 from shelfwise.schema import MARKET_KEYS, MARKET_WEEK_KEYS, PRICE_EVENT_SCHEMA, SERIES_KEYS
 
 #: Fixed value: log price moves from here on are drastic (15 percent).
@@ -208,8 +208,11 @@ def pack_norms(competitive: DataFrame, min_skus: int = 3) -> DataFrame:
     counts = spread.groupBy(*keys).agg(F.count_distinct("competitor_upc").alias("norm_sku_count"))
     price = exact_quantiles(spread, keys, "price", {"norm_median_price": 0.5})
     velocity = exact_quantiles(spread, keys, "velocity", {"norm_median_velocity": 0.5})
-    norms = counts.where(F.col("norm_sku_count") >= min_skus).join(price, keys).join(
-        velocity, keys, "left")
+    norms = counts.where(F.col("norm_sku_count") >= min_skus).join(growing(price), keys).join(
+        growing(velocity), keys, "left")
+    # a scope has few keys or as many as there are accounts, with few values each or most of them
+    with sizes_measured(item.sparkSession):
+        norms = written(norms)
     return step_discount(norms).withColumn("pack_size_bucket", pack_bucket("pack_count", "range"))
 
 
@@ -231,7 +234,7 @@ def norm_lookup(rows: DataFrame, norms: DataFrame) -> DataFrame:
         return norms.where(F.col("norm_scope") == name).select(
             *keys, "pack_count", *[F.col(v).alias(f"{tag}_{v}") for v in val])
 
-    out = rows.join(scope("account", ["channel_outlet", "retail_account"], "_a"),
+    out = rows.join(growing(scope("account", ["channel_outlet", "retail_account"], "_a")),
                     ["channel_outlet", "retail_account", "pack_count"], "left")
     out = out.join(scope("channel", ["channel_outlet"], "_c"), ["channel_outlet", "pack_count"], "left")
     out = out.join(scope("overall", [], "_o"), ["pack_count"], "left")

@@ -102,6 +102,25 @@ def keys_in_part(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
+@contextmanager
+def sizes_measured(spark: SparkSession) -> Iterator[None]:
+    """Within it, a side of a join is broadcast only if a stage has found it small, not because its files are.
+
+    For jobs over stored tables whose joins hold few keys or many, which only the run can tell: the
+    same limit then applies to rows as they lie in memory. Both sides are dealt before that is
+    known, so lookups should be joined outside. The job has to run inside.
+    """
+    files, stages = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    limit, was = spark.conf.get(files), spark.conf.get(stages, None)
+    spark.conf.set(stages, limit if was is None else was)
+    spark.conf.set(files, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(files, limit)
+        spark.conf.unset(stages) if was is None else spark.conf.set(stages, was)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on `keys` in which null meets null; keeps the left side's keys."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
